@@ -55,28 +55,35 @@ def _prefix(groups: Sequence[str], measure: Measure) -> tuple[str, ...]:
     return tuple(groups[:_depth(groups, measure.per) + 1]) if measure.per else tuple(groups)
 
 
-def _list_rows(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-               measures: Sequence[Measure]) -> DataFrame:
-    """A7 without ``columns``, A8-A10 with them."""
+def _group_rows(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
+    """One row per distinct group tuple, with the aggregates of its own and coarser groups."""
     by_prefix: dict[tuple[str, ...], list[Measure]] = {}
     for m in measures:
         by_prefix.setdefault(_prefix(groups, m), []).append(m)
-    if columns:
-        rows = df.select(*groups, *[c for c in columns if c not in groups])
-    elif groups:
-        own = by_prefix.pop(tuple(groups), [])
-        rows = level_totals(df, groups, [groups], own).drop(SET) if own else df.select(*groups).distinct()
-    else:
-        own = by_prefix.pop((), [])
-        rows = level_totals(df, (), [()], own).drop(SET)
-        # No rows, no list row; only totals stand for an empty set.
-        rows = rows.filter(df.select(F.count(F.lit(1))).scalar() > 0)
+    own = by_prefix.pop(tuple(groups), [])
+    rows = level_totals(df, groups, [groups], own).drop(SET) if own else df.select(*groups).distinct()
     for prefix, ms in by_prefix.items():
-        totals = level_totals(df, prefix, [prefix], ms)
-        rows = attach(rows, totals, prefix, [m.name for m in ms])
+        rows = attach(rows, level_totals(df, prefix, [prefix], ms), prefix, [m.name for m in ms])
     return rows
 
 
+def _list_rows(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
+               measures: Sequence[Measure]) -> DataFrame:
+    """A7 without ``columns``, A8-A10 with them."""
+    if columns:
+        rows = df.select(*groups, *[c for c in columns if c not in groups])
+        if not measures:
+            return rows
+        # All aggregates are first put beside their groups, so that the rows are joined once.
+        keys = max((_prefix(groups, m) for m in measures), key=len)
+        return attach(rows, _group_rows(df, keys, measures), keys, [m.name for m in measures])
+    if groups:
+        return _group_rows(df, groups, measures)
+    # No rows, no list row; only totals stand for an empty set.
+    alone = level_totals(df, (), [()], [*measures, Measure("__n", "COUNT")])
+    return alone.filter("__n > 0").drop(SET, "__n")
+
+
 def _summary_rows(df: DataFrame, groups: Sequence[str], summaries: Sequence[Summary]) -> DataFrame:
     """Every summary row of every level, from one pass over the levels."""
     levels = sorted({_depth(groups, s.by) for s in summaries}, reverse=True)
@@ -159,34 +166,48 @@ def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str]
                 deepest_summary: str | None = None) -> DataFrame:
     """M1, M2: how many list rows each merged cell covers and which row carries it.
 
-    ``rows`` are list rows, ``order_by`` makes their order total within a group. ``spans`` maps an
+    ``rows`` are list rows, ``order_by`` names the columns that make their ascending order total
+    within a group (none for rows that are groups themselves). ``spans`` maps an
     output name to the group column whose prefix it repeats over (a coarse aggregate names its
     ``per`` group); by default every group column. ``deepest_summary`` is the innermost group with
     a subtotal, which cuts the runs. Adds ``<name>__span`` and ``<name>__head``.
 
     A run is always a whole prefix of the groups, so counting and taking the least row of each
-    prefix is enough; both are aggregates that shrink a hot group where it is read.
+    prefix is enough. Rows are reduced to their groups once, which shrinks a hot group where it is
+    read; the prefixes are built from that, and the rows are joined to the result once.
     """
     spans = {g: g for g in groups} if spans is None else spans
     spans = spans if isinstance(spans, dict) else {g: g for g in spans}
     cut = _depth(groups, deepest_summary) + 1
-    by_length: dict[int, list[str]] = {}
-    for name, group in spans.items():
-        by_length.setdefault(max(_depth(groups, group) + 1, cut), []).append(name)
-    for length, names in by_length.items():
-        prefix, tail = groups[:length], groups[length:]
-        place = [c for g in tail for c in (V.null_text(rows, F.col(g)), F.col(g))] + [F.col(c) for c in order_by]
-        if not place:
-            # Grouped rows at their finest groups: every run is one row.
-            for name in names:
-                rows = rows.withColumns({f"{name}__span": F.lit(1).cast("bigint"), f"{name}__head": F.lit(True)})
+    length = {name: max(_depth(groups, group) + 1, cut) for name, group in spans.items()}
+    if not order_by and all(n == len(groups) for n in length.values()):
+        # Grouped rows at their finest groups: every run is one row.
+        return rows.withColumns({c: v for name in spans for c, v in (
+            (f"{name}__span", F.lit(1).cast("bigint")), (f"{name}__head", F.lit(True)))})
+
+    def least(columns: Sequence[Column]) -> Column:
+        return columns[0] if len(columns) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+
+    at = least([F.col(c) for c in order_by]) if order_by else F.lit(0)
+    finest = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__at"))
+    beside = finest
+    added = {}
+    for n in sorted(set(length.values())):
+        added[n] = (f"__n{n}", f"__first{n}")
+        if n == len(groups):
+            beside = beside.withColumns({f"__n{n}": F.col("__n"), f"__first{n}": F.lit(True)})
             continue
-        at = place[0] if len(place) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(place)])
-        runs = rows.groupBy(*prefix).agg(F.count(F.lit(1)).alias("__span"), F.min(at).alias("__least"))
-        rows = attach(rows, runs, prefix, ["__span", "__least"])
-        head = at.eqNullSafe(F.col("__least"))
-        added = {}
-        for name in names:
-            added |= {f"{name}__span": F.col("__span"), f"{name}__head": head}
-        rows = rows.withColumns(added).drop("__span", "__least")
-    return rows
+        place = least([*[c for g in groups[n:] for c in (V.null_text(finest, F.col(g)), F.col(g))], F.col("__at")])
+        runs = finest.groupBy(*groups[:n]).agg(F.sum("__n").alias(f"__n{n}"), F.min(place).alias("__least"))
+        runs = runs.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups[:n])], f"__n{n}", "__least")
+        match = V.all_of(F.col(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups[:n]))
+        beside = beside.join(runs, match).withColumn(f"__first{n}", place.eqNullSafe(F.col("__least")))
+        beside = beside.drop("__least", *[f"__k{i}" for i in range(n)])
+    names = ["__n", "__at", *[c for pair in added.values() for c in pair]]
+    keyed = attach(rows, beside, groups, names)
+    here = at.eqNullSafe(F.col("__at"))
+    cells = {}
+    for name, n in length.items():
+        count, first = added[n]
+        cells |= {f"{name}__span": F.col(count), f"{name}__head": F.col(first) & here}
+    return keyed.withColumns(cells).drop(*names)

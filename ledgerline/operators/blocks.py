@@ -12,7 +12,7 @@ from ledgerline.functions.aggregates import COMBINE, Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.levels import SET, level_totals
 from ledgerline.operators.ordering import distinct_first, number_rows
-from ledgerline.session import cut_lineage
+from ledgerline.session import write_down
 
 Pairs = Sequence[tuple[str, str]]
 
@@ -28,8 +28,6 @@ def records(driving: DataFrame, where: Sequence[Condition] = (), group_by: Seque
 
 def _keyed(recs: DataFrame, other: DataFrame, on: Pairs) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with join keys that are equal exactly when the fields are loosely equal."""
-    if not on:
-        raise ValueError("a correlated cell needs at least one equality between record and other rows")
     left, right, names = {}, {}, []
     for i, (mine, theirs) in enumerate(on):
         a, b = V.kind(recs, F.col(mine)), V.kind(other, F.col(theirs))
@@ -41,6 +39,11 @@ def _keyed(recs: DataFrame, other: DataFrame, on: Pairs) -> tuple[DataFrame, Dat
 
 
 def _match(recs: DataFrame, found: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    if not keys:
+        # The same row for every record.
+        value = found.select(F.struct(*names).alias("v")).scalar()
+        whole = recs.withColumn("__all", value)
+        return whole.select("*", *[F.col("__all")[n].alias(n) for n in names]).drop("__all")
     side = found.select(*[F.col(k).alias(f"{k}r") for k in keys], *names)
     on = V.all_of(F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys)
     return recs.join(side, on, "left").drop(*keys, *[f"{k}r" for k in keys])
@@ -54,7 +57,7 @@ def lookup(recs: DataFrame, other: DataFrame, on: Pairs, take: Mapping[str, str
     One row per key is kept before anything is joined.
     """
     recs, other, keys = _keyed(recs, filter_all(other, *where), on)
-    first = distinct_first(other, keys, order_by)
+    first = distinct_first(other, keys, order_by) if keys else other.orderBy(*order_by).limit(1)
     found = first.select(*keys, *[V.col_of(c).alias(name) for name, c in take.items()])
     return _match(recs, found, keys, list(take))
 
@@ -112,7 +115,7 @@ def _running(recs: DataFrame, other: DataFrame, keys: list[str], measures: Seque
         bounds.withColumn("__turn", F.lit(mine)), allowMissingColumns=True)
     # A missing value compares as the greatest.
     at = F.col("__at").asc_nulls_last() if op in ("LT", "LE") else F.col("__at").desc_nulls_first()
-    pinned = cut_lineage(events.orderBy(*keys, at, "__turn").select("*", F.spark_partition_id().alias("__part")))
+    pinned = write_down(events.orderBy(*keys, at, "__turn").select("*", F.spark_partition_id().alias("__part")))
 
     inside = Window.partitionBy("__part", *keys).orderBy(at, "__turn").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

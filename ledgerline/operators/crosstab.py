@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.values import all_of
 from ledgerline.operators.levels import SET, level_totals
-from ledgerline.session import cut_lineage
+from ledgerline.session import write_down
 
 MAX_COLUMNS = 10_000
 MARGINS = ("cell", "row_total", "column_total", "grand_total")
@@ -48,7 +48,7 @@ def crosstab_cells(df: DataFrame, rows: Sequence[str], column: str, measures: Se
     """
     cells = level_totals(df, [*rows, column], [[*rows, column]], measures).drop(SET)
     if dense:
-        cells = _filled_grid(cut_lineage(cells), rows, column, measures, max_columns)
+        cells = _filled_grid(write_down(cells), rows, column, measures, max_columns)
     return cells.orderBy(*[F.col(c).asc_nulls_first() for c in (*rows, column)])
 
 
@@ -61,7 +61,7 @@ def crosstab_wide(df: DataFrame, rows: Sequence[str], column: str, measure: Meas
     """
     cells = level_totals(df, [*rows, column], [[*rows, column]], [measure]).drop(SET)
     if values is None:
-        cells = cut_lineage(cells)
+        cells = write_down(cells)
         found = cells.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).limit(max_columns + 1)
         values = [r[0] for r in found.collect()]
         if len(values) > max_columns:
@@ -94,7 +94,7 @@ def crosstab_totals(df: DataFrame, row: str, column: str, cell: Measure,
         margin = F.when(F.col(SET) == i, F.lit(label)).otherwise(margin)
     out = totals.select(row, column, margin.alias("margin"), value.alias(name))
     if dense:
-        out = cut_lineage(out)
+        out = write_down(out)
         is_cell = F.col("margin") == MARGINS[0]
         shown = Measure(name, cell.how, cell.of, None, cell.typed, cell.approx, cell.empty)
         grid = _filled_grid(out.filter(is_cell), [row], column, [shown], max_columns)

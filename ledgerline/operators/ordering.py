@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
-from ledgerline.session import cut_lineage
+from ledgerline.session import write_down
 
 
 def group_keys(df: DataFrame, group: str, typed: bool = False) -> list[Column]:
@@ -44,7 +44,7 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
     parts, one number per part, plus its place within its own part. The write pins the parts:
     recomputed ones could cut the ranges elsewhere.
     """
-    pinned = cut_lineage(
+    pinned = write_down(
         df.orderBy(*order_by).select("*", F.spark_partition_id().alias("__part"),
                                      F.monotonically_increasing_id().alias("__at")))
     in_part = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))

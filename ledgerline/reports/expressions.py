@@ -125,16 +125,20 @@ def agg_expression(t):
 
 
 @report("""
-    SELECT c_mktsegment, median(c_acctbal) AS mid,
-           COUNT(*) FILTER (WHERE c_acctbal > 5000) AS rich
+    SELECT c_mktsegment, round(MAX(c_acctbal) - MIN(c_acctbal), 2) AS spread,
+           COUNT(*) FILTER (WHERE c_acctbal > 5000) AS rich, round(stddev_samp(c_acctbal), 4) AS deviation
     FROM customer GROUP BY c_mktsegment
 """)
 def custom_aggregate(t):
-    A.register_aggregate("MEDIAN", F.median)
+    A.register_aggregate("SPREAD", lambda v: F.max(v) - F.min(v),
+                         parts=lambda v: {"low": F.min(v), "high": F.max(v)}, finish=lambda p: p["high"] - p["low"])
     A.register_aggregate("TRUE_COUNT", F.count_if, numeric=False,
                          parts=lambda v: {"n": F.count_if(v)}, finish=lambda p: p["n"])
-    return group_list(t.customer, ["c_mktsegment"], [
-        Measure("mid", "MEDIAN", "c_acctbal"), Measure("rich", "TRUE_COUNT", F.col("c_acctbal") > 5000)])
+    A.register_aggregate("DEVIATION", F.stddev_samp)
+    out = group_list(t.customer, ["c_mktsegment"], [
+        Measure("spread", "SPREAD", "c_acctbal"), Measure("rich", "TRUE_COUNT", F.col("c_acctbal") > 5000),
+        Measure("deviation", "DEVIATION", "c_acctbal")])
+    return rounded(rounded(out, "spread"), "deviation", digits=4)
 
 
 @report("""

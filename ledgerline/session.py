@@ -1,10 +1,12 @@
-"""Session settings the library is written for, and reliable cutting of lineage."""
+"""Session settings the library is written for, and results written down between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,18 +27,31 @@ def build_session(app: str = "ledgerline", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, shared by all executors.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without one gets a folder of its own.
+    Only a local session without one gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def write_down(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once and read back.
+
+    What reads the result starts from files: nothing is computed again after the loss of an
+    executor, and Spark knows the size when it chooses a join.
+    """
+    folder = _shared_folder(df.sparkSession)
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):
+        return df.checkpoint()
+    path = f"{folder}/ledgerline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
