@@ -18,6 +18,7 @@ from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.functions.scalars import text
 from ledgerline.operators.levels import SET, attach, level_totals
 from ledgerline.operators.ordering import group_keys
+from ledgerline.session import write_down
 
 LEVEL, SUMMARY_NO = "level", "summary_no"
 
@@ -55,63 +56,29 @@ def _prefix(groups: Sequence[str], measure: Measure) -> tuple[str, ...]:
     return tuple(groups[:_depth(groups, measure.per) + 1]) if measure.per else tuple(groups)
 
 
-def _group_rows(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
-    """One row per distinct group tuple, with the aggregates of its own and coarser groups."""
-    by_prefix: dict[tuple[str, ...], list[Measure]] = {}
-    for m in measures:
-        by_prefix.setdefault(_prefix(groups, m), []).append(m)
-    own = by_prefix.pop(tuple(groups), [])
-    rows = level_totals(df, groups, [groups], own).drop(SET) if own else df.select(*groups).distinct()
-    for prefix, ms in by_prefix.items():
-        rows = attach(rows, level_totals(df, prefix, [prefix], ms), prefix, [m.name for m in ms])
-    return rows
-
-
-def _list_rows(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-               measures: Sequence[Measure]) -> DataFrame:
-    """A7 without ``columns``, A8-A10 with them."""
-    if columns:
-        rows = df.select(*groups, *[c for c in columns if c not in groups])
-        if not measures:
-            return rows
-        # All aggregates are first put beside their groups, so that the rows are joined once.
-        keys = max((_prefix(groups, m) for m in measures), key=len)
-        return attach(rows, _group_rows(df, keys, measures), keys, [m.name for m in measures])
-    if groups:
-        return _group_rows(df, groups, measures)
-    # No rows, no list row; only totals stand for an empty set.
-    alone = level_totals(df, (), [()], [*measures, Measure("__n", "COUNT")])
-    return alone.filter("__n > 0").drop(SET, "__n")
-
-
-def _summary_rows(df: DataFrame, groups: Sequence[str], summaries: Sequence[Summary]) -> DataFrame:
-    """Every summary row of every level, from one pass over the levels."""
-    levels = sorted({_depth(groups, s.by) for s in summaries}, reverse=True)
-    sets = [tuple(groups[:d + 1]) for d in levels]
-    inner = [(no, s, [Measure(f"__s{no}_{m.name}", m.how, m.of, None, m.typed, m.approx, m.empty)
-                      for m in s.measures]) for no, s in enumerate(summaries)]
-    totals = level_totals(df, groups, sets, [m for _, _, ms in inner for m in ms])
-
-    outputs: dict[str, str] = {}
-    for _, s, ms in inner:
-        for outer, m in zip(s.measures, ms):
-            outputs.setdefault(outer.name, totals.schema[m.name].dataType.simpleString())
-        if s.label:
-            outputs[s.label_in] = "string"
-    if clash := set(outputs) & set(groups):
-        raise ValueError(f"summary cells need columns of their own, not the groups {sorted(clash)}")
-    structs = []
-    for no, s, ms in inner:
-        depth = _depth(groups, s.by)
-        cells = {outer.name: F.col(m.name) for outer, m in zip(s.measures, ms)}
-        if s.label:
-            group = F.col(s.by) if s.by else F.lit(None).cast("string")
-            parts = [group if p is GROUP else F.col(f"__s{no}_{p.name}") if isinstance(p, Measure) else p
-                     for p in s.label]
-            cells[s.label_in] = text(totals, *parts)
-        structs.append(F.struct(
-            F.lit(levels.index(depth)).alias(SET), F.lit(depth).alias(LEVEL), F.lit(no).alias(SUMMARY_NO),
-            *[cells.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in outputs.items()]))
+class _Figures:
+    """Each distinct aggregate of a band once, under an internal name."""
+
+    def __init__(self):
+        self.measures: dict[tuple, Measure] = {}
+
+    def column(self, m: Measure) -> str:
+        of = m.of if isinstance(m.of, (str, type(None))) else id(m.of)
+        key = (m.how, of, m.typed, m.approx, m.empty)
+        if key not in self.measures:
+            self.measures[key] = Measure(f"__f{len(self.measures)}", m.how, m.of, None, m.typed, m.approx, m.empty)
+        return self.measures[key].name
+
+
+def _row_struct(which: Column, level: int, summary_no: int | None, cells: dict[str, Column],
+                outputs: dict[str, str]) -> Column:
+    return F.struct(
+        which.alias(SET), F.lit(level).alias(LEVEL), F.lit(summary_no).cast("int").alias(SUMMARY_NO),
+        *[cells.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in outputs.items()])
+
+
+def _rows_of(totals: DataFrame, groups: Sequence[str], structs: Sequence[Column], outputs: dict[str, str]) -> DataFrame:
+    """One row per level row and struct of that level."""
     mine = F.filter(F.array(*structs), lambda s: s[SET] == F.col(SET))
     return totals.select(*groups, F.explode(mine).alias("__row")).select(
         *groups, *[F.col(f"__row.{c}").alias(c) for c in (LEVEL, SUMMARY_NO, *outputs)])
@@ -134,18 +101,72 @@ def band_order(df: DataFrame, groups: Sequence[str], order_by: Sequence[str | Co
 def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
          measures: Sequence[Measure] = (), summaries: Sequence[Summary] = (),
          order_by: Sequence[str | Column] = (), where: Sequence[Condition] = (),
-         typed_sort: bool = False) -> DataFrame:
+         typed_sort: bool = False, ordered: bool = True) -> DataFrame:
     """A list with optional groups, aggregates, subtotals and grand totals, in report order.
 
     Without ``columns`` there is one row per distinct group tuple (A7); with them every source row
-    stays (A8) and aggregates are repeated beside it (A9, A10).
+    stays (A8) and aggregates are repeated beside it (A9, A10). ``ordered=False`` leaves out the
+    final sort, for results that are written or sorted later by :func:`band_order`.
+
+    All aggregates of the list and of every summary come from one pass over the source.
     """
     df = filter_all(df, *where)
-    rows = _list_rows(df, groups, columns, measures).withColumn(LEVEL, F.lit(len(groups)))
-    rows = rows.withColumn(SUMMARY_NO, F.lit(None).cast("int"))
-    if summaries:
-        rows = rows.unionByName(_summary_rows(df, groups, summaries), allowMissingColumns=True)
-    return rows.orderBy(*band_order(rows, groups, order_by, typed_sort))
+    groups, n = tuple(groups), len(groups)
+    figures = _Figures()
+    beside: dict[tuple[str, ...], dict[str, str]] = {}
+    for m in measures:
+        beside.setdefault(_prefix(groups, m), {})[m.name] = figures.column(m)
+    depth = {no: _depth(groups, s.by) for no, s in enumerate(summaries)}
+    cells = {no: {m.name: figures.column(m) for m in s.measures} for no, s in enumerate(summaries)}
+    inside = {no: {id(p): figures.column(p) for p in s.label if isinstance(p, Measure)} for no, s in enumerate(summaries)}
+    if not columns and not groups:
+        presence = figures.column(Measure("rows", "COUNT"))
+
+    sets = list(dict.fromkeys([*([] if columns else [groups]), *beside, *[groups[:d + 1] for d in depth.values()]]))
+    totals = level_totals(df, groups, sets, list(figures.measures.values())) if sets else None
+    kind = {c: f.dataType.simpleString() for c, f in zip(totals.columns, totals.schema)} if sets else {}
+    outputs = {name: kind[c] for cs in (*beside.values(), *cells.values()) for name, c in cs.items()}
+    outputs |= {s.label_in: "string" for s in summaries if s.label}
+    if clash := set(outputs) & set(groups):
+        raise ValueError(f"measures and labels need columns of their own, not the groups {sorted(clash)}")
+
+    structs = []
+    for no, s in enumerate(summaries):
+        own = {name: F.col(c) for name, c in cells[no].items()}
+        if s.label:
+            group = F.col(s.by) if s.by else F.lit(None).cast("string")
+            own[s.label_in] = text(totals, *[
+                group if p is GROUP else F.col(inside[no][id(p)]) if isinstance(p, Measure) else p for p in s.label])
+        structs.append(_row_struct(F.lit(sets.index(groups[:depth[no] + 1])), depth[no], no, own, outputs))
+
+    coarse = [p for p in beside if p != groups]
+    if not columns and not coarse:
+        own = {name: F.col(c) for name, c in beside.get(groups, {}).items()}
+        which = F.lit(sets.index(groups))
+        if not groups:
+            # No rows, no list row; only totals stand for an empty set.
+            which = F.when(F.col(presence) > 0, which)
+        out = _rows_of(totals, groups, [_row_struct(which, n, None, own, outputs), *structs], outputs)
+    else:
+        # The totals are used more than once here, and are small beside the rows.
+        totals = write_down(totals) if totals is not None else None
+        level = lambda prefix: totals.filter(F.col(SET) == sets.index(prefix))
+        wanted = sorted(beside, key=len)
+        base = groups if not columns else (wanted[-1] if wanted else ())
+        rows = df.select(*groups, *[c for c in columns if c not in groups]) if columns else None
+        if wanted or not columns:
+            held = level(base).select(*base, *[F.col(c).alias(name) for name, c in beside.get(base, {}).items()])
+            for prefix in (p for p in wanted if p != base):
+                names = beside[prefix]
+                side = level(prefix).select(*prefix, *[F.col(c).alias(name) for name, c in names.items()])
+                held = attach(held, side, prefix, list(names))
+            names = [name for p in wanted for name in beside[p]]
+            rows = held if rows is None else attach(rows, write_down(held) if len(wanted) > 1 else held, base, names)
+        rows = rows.withColumns({LEVEL: F.lit(n), SUMMARY_NO: F.lit(None).cast("int")})
+        out = rows
+        if structs:
+            out = rows.unionByName(_rows_of(totals, groups, structs, outputs), allowMissingColumns=True)
+    return out.orderBy(*band_order(out, groups, order_by, typed_sort)) if ordered else out
 
 
 def group_list(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure] = (),
@@ -204,7 +225,7 @@ def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str]
         beside = beside.join(runs, match).withColumn(f"__first{n}", place.eqNullSafe(F.col("__least")))
         beside = beside.drop("__least", *[f"__k{i}" for i in range(n)])
     names = ["__n", "__at", *[c for pair in added.values() for c in pair]]
-    keyed = attach(rows, beside, groups, names)
+    keyed = attach(rows, write_down(beside), groups, names)
     here = at.eqNullSafe(F.col("__at"))
     cells = {}
     for name, n in length.items():

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.values import all_of
-from ledgerline.session import write_down
 
 SET = "__set"
 
@@ -43,7 +42,7 @@ def level_totals(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str
     else:
         base = source
         finals = [m.rule.direct(F.col(f"__v{i}")) for i, m in enumerate(measures)]
-    results = [m.filled(f).alias(m.name) for m, f in zip(measures, finals)]
+    results = [m.filled(f).alias(m.name) for m, f in zip(measures, finals)] or [F.lit(1).alias("__one")]
     names = [m.name for m in measures]
 
     def shaped(totals: DataFrame, present: Sequence[str], which: Column) -> DataFrame:
@@ -79,11 +78,10 @@ def level_totals(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str
 def attach(rows: DataFrame, totals: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """``rows`` with the columns ``names`` of their group; ``totals`` has one row per key tuple.
 
-    A join rather than a window: a window would bring a whole group into one task. The totals are
-    written down first, so Spark knows their size: small ones are broadcast and the rows are not
-    shuffled at all, large ones are joined by key with hot keys split.
+    A join rather than a window: a window would bring a whole group into one task. Callers write
+    the totals down first, so Spark knows their size: small ones are broadcast and the rows are
+    not shuffled at all, large ones are joined by key with hot keys split.
     """
-    totals = write_down(totals)
     if not keys:
         value = totals.select(F.struct(*names).alias("v")).scalar()
         rows = rows.withColumn("__all", value)

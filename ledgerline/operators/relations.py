@@ -47,6 +47,9 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], ho
             null_match: bool = True, left_unique: bool = False, right_unique: bool = False) -> DataFrame:
     """Join frames with distinct column names; missing sides are null.
 
+    A unique side is one whose key is its primary key: that key is never missing, so a plain
+    equality does and table layouts by key stay usable.
+
     Spark splits a hot key of either side of an inner join, but not of the null-padded side of an
     outer join. Unless that side is declared unique on its key, an outer join is therefore written
     as the inner join plus the rows without a partner.
@@ -54,6 +57,7 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], ho
     how = how or "INNER"
     if how not in JOINS:
         raise ValueError(f"unknown join type {how!r}; known: {JOINS}")
+    null_match = null_match and not (len(on) == 1 and (left_unique or right_unique))
     match = V.all_of(_same_key(left, right, a, b, null_match) for a, b in on)
     if how == "INNER":
         return left.join(right, match, "inner")
