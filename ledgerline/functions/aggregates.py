@@ -96,8 +96,7 @@ class Measure:
     def operand(self, df: DataFrame) -> Column:
         if self.of is None:
             return F.lit(None).cast("string")
-        value = V.col_of(self.of)
-        return V.number(df, value) if self.rule.numeric and not self.typed else value
+        return V.number(df, self.of) if self.rule.numeric and not self.typed else V.col_of(self.of)
 
     def filled(self, result: Column) -> Column:
         keeps_null = self.empty is None or self.typed or self.how == "NONE"

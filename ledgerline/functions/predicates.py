@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
 
-Predicate = Callable[[DataFrame, Column, Any], Column]
+Predicate = Callable[[DataFrame, str | Column, Any], Column]
 
 
 @dataclass(frozen=True)
@@ -39,50 +39,51 @@ def _item_array(df: DataFrame, right: Column) -> Column:
     return F.filter(F.transform(parts, V.trimmed), lambda item: item != "")
 
 
-def contains(df: DataFrame, left: Column, right) -> Column:
+def contains(df: DataFrame, left: str | Column, right) -> Column:
     if right is None:
         return F.lit(False)
     needle = V.plain_text(df, right) if isinstance(right, Column) else F.lit(V.literal_text(right))
     return F.coalesce(F.contains(V.plain_text(df, left), needle), F.lit(False))
 
 
-def is_in(df: DataFrame, left: Column, right) -> Column:
+def is_in(df: DataFrame, left: str | Column, right) -> Column:
     if isinstance(right, Column):
         # The loose key of text is also the key of the list's members, which are all text.
         key = V.code_text(df, left)
         keys = F.transform(_item_array(df, right), V.text_code)
         return F.coalesce(F.array_contains(keys, key), F.lit(False))
     items = _items(right)
-    found = V.kind(df, left)
+    found, column = V.kind(df, left), V.col_of(left)
     numbers = [n for n in map(V.literal_number, items) if n is not None]
     if found == V.NUMBER:
-        return (left.isNotNull() & left.isin(numbers)) if numbers else F.lit(False)
+        return (column.isNotNull() & column.isin(numbers)) if numbers else F.lit(False)
     if found in (V.DATE, V.DATETIME):
         moments = [m for m in map(V.literal_moment, items) if m is not None]
-        return (left.isNotNull() & left.isin(moments)) if moments else F.lit(False)
+        return (column.isNotNull() & column.isin(moments)) if moments else F.lit(False)
     words = [V.literal_text(item) for item in items if V.literal_number(item) is None]
     text = V.plain_text(df, left)
     hits = [text.isin(words)] if words else []
     if numbers and found == V.TEXT:
         hits.append(F.coalesce(V.number(df, left).isin(numbers), F.lit(False)))
-    return (left.isNotNull() & V.any_of(hits)) if hits else F.lit(False)
+    return (column.isNotNull() & V.any_of(hits)) if hits else F.lit(False)
 
 
-def between(df: DataFrame, left: Column, right) -> Column:
+def between(df: DataFrame, left: str | Column, right) -> Column:
     if isinstance(right, Column):
         bounds = _item_array(df, right)
         low, high = F.get(bounds, 0), F.get(bounds, 1)
         inside = V.compare(df, "GE", left, low) & V.compare(df, "LE", left, high)
-        return F.coalesce(left.isNotNull() & (F.size(bounds) >= 2) & inside, F.lit(False))
+        return F.coalesce(V.col_of(left).isNotNull() & (F.size(bounds) >= 2) & inside, F.lit(False))
     bounds = _items(right)
     if len(bounds) < 2:
         return F.lit(False)
-    return (left.isNotNull() & V.compare(df, "GE", left, bounds[0])
+    return (V.col_of(left).isNotNull() & V.compare(df, "GE", left, bounds[0])
             & V.compare(df, "LE", left, bounds[1]))
 
 
-def is_null(df: DataFrame, left: Column, right=None) -> Column:
-    return (left.isNull() | (left == "")) if V.kind(df, left) == V.TEXT else left.isNull()
+def is_null(df: DataFrame, left: str | Column, right=None) -> Column:
+    column = V.col_of(left)
+    return (column.isNull() | (column == "")) if V.kind(df, left) == V.TEXT else column.isNull()
 
 
 def _compares(op: str) -> Predicate:
@@ -115,8 +116,9 @@ SQL_PREDICATES: dict[str, Predicate] = {
 }
 
 
-def register_predicate(op: str, predicate: Predicate) -> None:
-    PREDICATES[op] = predicate
+def register_predicate(op: str, predicate: Callable[[DataFrame, Column, Any], Column]) -> None:
+    """``predicate`` gets the frame, the left side as a Column and the right side as given."""
+    PREDICATES[op] = lambda df, left, right=None: predicate(df, V.col_of(left), right)
 
 
 def test(df: DataFrame, condition: Condition, sql_nulls: bool = False) -> Column:
@@ -124,7 +126,8 @@ def test(df: DataFrame, condition: Condition, sql_nulls: bool = False) -> Column
     known = {**PREDICATES, **SQL_PREDICATES} if sql_nulls else PREDICATES
     if condition.op not in known:
         raise ValueError(f"unknown operator {condition.op!r}; known: {sorted(known)}")
-    return known[condition.op](df, V.col_of(condition.left), condition.right)
+    left = V.col_of(condition.left) if sql_nulls else condition.left
+    return known[condition.op](df, left, condition.right)
 
 
 def filter_all(df: DataFrame, *conditions: Condition, sql_nulls: bool = False) -> DataFrame:

@@ -4,7 +4,8 @@ Report sources mix numbers and numeric text, and compare a missing value as the
 Where both types are known the builders emit plain typed comparisons, so that filters reach the
 scan; only mixed text and numbers pay for a parse per row.
 
-Every builder takes the frame its columns belong to, because the types decide the expression.
+Every builder takes the frame its values belong to, because the types decide the expression. A
+value is a column name or a Column; for a name the type is known without analysing anything.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def col_of(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def dtype(df: DataFrame, column: Column) -> T.DataType:
-    return df.select(column.alias("c")).schema[0].dataType
+def dtype(df: DataFrame, value: str | Column) -> T.DataType:
+    if isinstance(value, str) and value in df.columns:
+        return df.schema[value].dataType
+    return df.select(col_of(value).alias("c")).schema[0].dataType
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -59,8 +62,8 @@ def kind_of(data_type: T.DataType) -> str:
     return VOID if isinstance(data_type, T.NullType) else OTHER
 
 
-def kind(df: DataFrame, column: Column) -> str:
-    return kind_of(dtype(df, column))
+def kind(df: DataFrame, value: str | Column) -> str:
+    return kind_of(dtype(df, value))
 
 
 def all_of(columns) -> Column:
@@ -76,46 +79,41 @@ def trimmed(column: Column) -> Column:
 
 
 def parse_number(column: Column) -> Column:
-    """Text as double, or null."""
-    parsed = column.try_cast("double")
-    # Spark also reads 'inf' and 'nan' in any case; only the exact spellings count as numbers.
-    odd = F.isnan(parsed) | (F.abs(parsed) == float("inf"))
-    return F.when(~odd | column.rlike(NUMBER_SHAPE), parsed)
+    """Text as double, or null. The shape is tested first, as a failing cast is slow."""
+    return F.when(column.rlike(NUMBER_SHAPE), column.try_cast("double"))
 
 
-def number(df: DataFrame, column: Column) -> Column:
+def number(df: DataFrame, value: str | Column) -> Column:
     """Numbers as they are, text parsed as double, anything else null."""
-    found = kind(df, column)
+    found, column = kind(df, value), col_of(value)
     if found == NUMBER:
         return column
     return parse_number(column) if found == TEXT else F.lit(None).cast("double")
 
 
-def plain_text(df: DataFrame, column: Column) -> Column:
+def plain_text(df: DataFrame, value: str | Column) -> Column:
     """The text a value compares and sorts as; numbers are written as doubles."""
-    found = kind(df, column)
+    found, column = kind(df, value), col_of(value)
     if found == TEXT:
         return column
     return (column.cast("double") if found == NUMBER else column).cast("string")
 
 
-def null_text(df: DataFrame, column: Column) -> Column:
-    return F.coalesce(plain_text(df, column), F.lit(NULL_TEXT))
+def null_text(df: DataFrame, value: str | Column) -> Column:
+    return F.coalesce(plain_text(df, value), F.lit(NULL_TEXT))
 
 
-def display_text(df: DataFrame, column: Column) -> Column:
+def display_text(df: DataFrame, value: str | Column) -> Column:
     """The text a value is shown as (E6): nothing for null, whole numbers without ``.0``."""
-    data_type = dtype(df, column)
-    if kind_of(data_type) != NUMBER:
-        return F.coalesce(column.cast("string"), F.lit(""))
-    if isinstance(data_type, T.IntegralType):
+    data_type, column = dtype(df, value), col_of(value)
+    if kind_of(data_type) != NUMBER or isinstance(data_type, T.IntegralType):
         return F.coalesce(column.cast("string"), F.lit(""))
     limit = float(2**63)
-    value = column.cast("double")
+    double = column.cast("double")
     return (F.when(column.isNull(), F.lit(""))
-            .when(value >= limit, F.lit(str(2**63 - 1)))
-            .when(value <= -limit, F.lit(str(-(2**63))))
-            .when(value == F.rint(value), value.try_cast("bigint").cast("string"))
+            .when(double >= limit, F.lit(str(2**63 - 1)))
+            .when(double <= -limit, F.lit(str(-(2**63))))
+            .when(double == F.rint(double), double.try_cast("bigint").cast("string"))
             .otherwise(column.cast("string")))
 
 
@@ -124,9 +122,9 @@ def text_code(column: Column) -> Column:
     return F.coalesce((parse_number(column) + F.lit(0.0)).cast("string"), column)
 
 
-def code_text(df: DataFrame, column: Column) -> Column:
+def code_text(df: DataFrame, value: str | Column) -> Column:
     """Equal for two values exactly when they are loosely equal (X2), so it can be a join key."""
-    found = kind(df, column)
+    found, column = kind(df, value), col_of(value)
     if found == TEXT:
         return text_code(column)
     if found == NUMBER:
@@ -176,10 +174,10 @@ def _ranked(op: str, column: Column, value, null_wins: bool) -> Column:
     return (hit | column.isNull()) if null_wins else (hit & column.isNotNull())
 
 
-def _with_literal(df: DataFrame, op: str, left: Column, value) -> Column:
-    found = kind(df, left)
+def _with_literal(df: DataFrame, op: str, operand: str | Column, value) -> Column:
     if op == "NE":
-        return ~_with_literal(df, "EQ", left, value)
+        return ~_with_literal(df, "EQ", operand, value)
+    found, left = kind(df, operand), col_of(operand)
     if found in (NUMBER, DATE, DATETIME):
         typed = literal_number(value) if found == NUMBER else literal_moment(value)
         if typed is not None:
@@ -194,13 +192,13 @@ def _with_literal(df: DataFrame, op: str, left: Column, value) -> Column:
     if found == TEXT:
         as_number = literal_number(value)
         if as_number is not None:
-            parsed = number(df, left)
+            parsed = number(df, operand)
             if op == "EQ":
                 return F.coalesce(parsed == F.lit(as_number), F.lit(False))
             by_text = _ranked(op, left, as_text, null_wins=COMPARE[op](NULL_TEXT, as_text))
             return F.when(parsed.isNotNull(), COMPARE[op](parsed, F.lit(as_number))).otherwise(by_text)
         return _ranked(op, left, as_text, null_wins=COMPARE[op](NULL_TEXT, as_text))
-    return COMPARE[op](null_text(df, left), F.lit(as_text))
+    return COMPARE[op](null_text(df, operand), F.lit(as_text))
 
 
 # --- comparison of two columns ------------------------------------------------------------
@@ -214,15 +212,15 @@ def _null_is_greatest(op: str, a: Column, b: Column) -> Column:
     return F.coalesce(COMPARE[op](a, b), missing)
 
 
-def _with_column(df: DataFrame, op: str, left: Column, right: Column) -> Column:
+def _with_column(df: DataFrame, op: str, left: str | Column, right: Column) -> Column:
     if op == "NE":
         return ~_with_column(df, "EQ", left, right)
     a, b = kind(df, left), kind(df, right)
     moments = {DATE, DATETIME}
     if (a == b == NUMBER) or {a, b} <= moments:
-        return _null_is_greatest(op, left, right)
+        return _null_is_greatest(op, col_of(left), right)
     if a == b == BOOLEAN and op == "EQ":
-        return left.eqNullSafe(right)
+        return col_of(left).eqNullSafe(right)
     by_text = COMPARE[op](null_text(df, left), null_text(df, right))
     if {a, b} <= {NUMBER, TEXT}:
         x, y = number(df, left), number(df, right)
@@ -230,7 +228,7 @@ def _with_column(df: DataFrame, op: str, left: Column, right: Column) -> Column:
     return by_text
 
 
-def compare(df: DataFrame, op: str, left: Column, right) -> Column:
+def compare(df: DataFrame, op: str, left: str | Column, right) -> Column:
     """True or false, never null; ``right`` is a Column or a plain value."""
     if not isinstance(right, Column):
         return _with_literal(df, op, left, right)

@@ -218,7 +218,7 @@ def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str]
         if n == len(groups):
             beside = beside.withColumns({f"__n{n}": F.col("__n"), f"__first{n}": F.lit(True)})
             continue
-        place = least([*[c for g in groups[n:] for c in (V.null_text(finest, F.col(g)), F.col(g))], F.col("__at")])
+        place = least([*[c for g in groups[n:] for c in (V.null_text(finest, g), F.col(g))], F.col("__at")])
         runs = finest.groupBy(*groups[:n]).agg(F.sum("__n").alias(f"__n{n}"), F.min(place).alias("__least"))
         runs = runs.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups[:n])], f"__n{n}", "__least")
         match = V.all_of(F.col(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups[:n]))

@@ -30,10 +30,10 @@ def _keyed(recs: DataFrame, other: DataFrame, on: Pairs) -> tuple[DataFrame, Dat
     """Both sides with join keys that are equal exactly when the fields are loosely equal."""
     left, right, names = {}, {}, []
     for i, (mine, theirs) in enumerate(on):
-        a, b = V.kind(recs, F.col(mine)), V.kind(other, F.col(theirs))
+        a, b = V.kind(recs, mine), V.kind(other, theirs)
         plain = a == b and a != V.TEXT
-        left[f"__e{i}"] = F.col(mine) if plain else V.code_text(recs, F.col(mine))
-        right[f"__e{i}"] = F.col(theirs) if plain else V.code_text(other, F.col(theirs))
+        left[f"__e{i}"] = F.col(mine) if plain else V.code_text(recs, mine)
+        right[f"__e{i}"] = F.col(theirs) if plain else V.code_text(other, theirs)
         names.append(f"__e{i}")
     return recs.withColumns(left), other.withColumns(right), names
 
@@ -100,7 +100,7 @@ def _running(recs: DataFrame, other: DataFrame, keys: list[str], measures: Seque
         raise ValueError(f"threshold takes GT, GE, LT or LE, not {op!r}")
     if any(m.rule.parts is None for m in measures):
         raise ValueError("a threshold takes aggregates that are merged from parts")
-    a, b = V.kind(other, F.col(field)), V.kind(recs, F.col(bound))
+    a, b = V.kind(other, field), V.kind(recs, bound)
     if a != b or a not in (V.NUMBER, V.DATE, V.DATETIME):
         raise ValueError(f"a threshold compares two numbers or two moments, not {a} and {b}")
 

@@ -25,7 +25,7 @@ def map_codes(df: DataFrame, column: str, codes: DataFrame | Sequence[tuple] | M
     leaves every value.
     """
     raw = F.col(column)
-    shown = F.when(raw.isNotNull(), V.display_text(df, raw))
+    shown = F.when(raw.isNotNull(), V.display_text(df, column))
     if codes is None:
         return df.withColumn(into, shown)
     if isinstance(codes, Mapping):
@@ -33,7 +33,7 @@ def map_codes(df: DataFrame, column: str, codes: DataFrame | Sequence[tuple] | M
     if not isinstance(codes, DataFrame):
         codes = dictionary(df, codes)
     codes = codes.select(F.col("code").cast("string").alias("__code"), F.col("label").alias("__label"))
-    if V.kind(df, raw) == V.NUMBER:
+    if V.kind(df, column) == V.NUMBER:
         # A number finds its own spelling (1.0) before the whole one (1); both are one number.
         value = F.col("__code").try_cast("double")
         whole = F.when(value == F.rint(value), value.try_cast("bigint").cast("string"))
@@ -42,6 +42,6 @@ def map_codes(df: DataFrame, column: str, codes: DataFrame | Sequence[tuple] | M
         codes = codes.groupBy("__code").agg(F.min_by("__label", "__rank").alias("__label"))
         key = raw.cast("double")
     else:
-        key = V.plain_text(df, raw)
+        key = V.plain_text(df, column)
     joined = df.withColumn("__key", key).join(codes, F.col("__key") == F.col("__code"), "left")
     return joined.withColumn(into, F.coalesce(F.col("__label"), shown)).drop("__key", "__code", "__label")

@@ -32,7 +32,7 @@ def transpose_wide(rows: DataFrame, fields: Sequence[str], width: int,
         F.raise_error(F.lit(f"more than {width} records: use transpose")).cast("bigint"))
     shown = F.inline(F.array(*[
         F.struct(F.lit(i).alias("__no"), F.lit(f).alias("field"),
-                 V.display_text(placed, F.col(f)).alias("__shown")) for i, f in enumerate(fields)]))
+                 V.display_text(placed, f).alias("__shown")) for i, f in enumerate(fields)]))
     cells = placed.select(checked.alias("__at"), shown)
     wide = cells.groupBy("__no", "field").agg(*[
         F.max(F.when(F.col("__at") == p, F.col("__shown"))).alias(f"c{p}") for p in range(width)])

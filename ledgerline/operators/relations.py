@@ -37,9 +37,8 @@ def qualify(df: DataFrame, dataset: str) -> DataFrame:
 def _same_key(left: DataFrame, right: DataFrame, mine: str, theirs: str, null_match: bool) -> Column:
     """Keys are equal as text; keys of one kind are so as they are and need no cast."""
     a, b = F.col(mine), F.col(theirs)
-    kinds = V.kind(left, a), V.kind(right, b)
-    if kinds[0] != kinds[1]:
-        a, b = V.plain_text(left, a), V.plain_text(right, b)
+    if V.kind(left, mine) != V.kind(right, theirs):
+        a, b = V.plain_text(left, mine), V.plain_text(right, theirs)
     return a.eqNullSafe(b) if null_match else a == b
 
 
@@ -138,7 +137,7 @@ def union_mapped(columns: Sequence[str], members: Sequence[tuple[str, DataFrame,
     """
     if not members:
         raise ValueError("a union needs at least one member")
-    kinds = {c: {V.kind(df, F.col(m[c])) for _, df, m in members if m.get(c)} for c in columns}
+    kinds = {c: {V.kind(df, m[c]) for _, df, m in members if m.get(c)} for c in columns}
     out = None
     for name, df, mapping in members:
         picked = []
@@ -146,7 +145,7 @@ def union_mapped(columns: Sequence[str], members: Sequence[tuple[str, DataFrame,
             source = mapping.get(c)
             value = F.lit(None) if not source else F.col(source)
             if source and len(kinds[c]) > 1:
-                value = V.plain_text(df, value)
+                value = V.plain_text(df, source)
             picked.append(value.alias(c))
         if member_column:
             picked.append(F.lit(name).alias(member_column))

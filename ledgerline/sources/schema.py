@@ -62,17 +62,17 @@ def _typed(df: DataFrame, field: Field, on_error: str, parse_dates: bool) -> Col
         target = MOMENT_TYPES.get(field.type) if parse_dates else None
         return F.lit(None).cast(target or SPARK_TYPES[field.type])
     column = F.col(field.name)
-    found = V.kind(df, column)
+    found = V.kind(df, field.name)
     cast = (lambda c, t: c.cast(t)) if on_error == "raise" else (lambda c, t: c.try_cast(t))
     if field.type == "NUMBER":
         return column if found == V.NUMBER else cast(column, "double")
     if field.type == "BOOLEAN":
-        return column if found == V.BOOLEAN else F.lower(V.plain_text(df, column)) == "true"
+        return column if found == V.BOOLEAN else F.lower(V.plain_text(df, field.name)) == "true"
     if field.type in MOMENT_TYPES:
         if found in (V.DATE, V.DATETIME):
             return column
         return cast(column, MOMENT_TYPES[field.type]) if parse_dates else column.cast("string")
-    return V.plain_text(df, column)
+    return V.plain_text(df, field.name)
 
 
 def typed_projection(df: DataFrame, fields: Sequence[Field], on_error: str = "raise",

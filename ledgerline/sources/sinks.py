@@ -12,7 +12,7 @@ from ledgerline.functions import values as V
 
 def _cell(df: DataFrame, name: str, label: str) -> Column:
     column = F.col(name)
-    found = V.kind(df, column)
+    found = V.kind(df, name)
     return F.struct(
         F.lit(name).alias(label),
         (column.cast("double") if found == V.NUMBER else F.lit(None).cast("double")).alias("num"),
