@@ -66,8 +66,8 @@ def correlate(recs: DataFrame, other: DataFrame, on: Pairs, measures: Sequence[M
               where: Sequence[Condition] = (), threshold: tuple[str, str, str] | None = None) -> DataFrame:
     """L4: aggregates over the matching rows of ``other``, zeros without a match.
 
-    ``threshold`` adds one inequality ``(other field, op, record field)`` with op GT, GE, LT or
-    LE. ``other`` is aggregated by its key before it meets the records, so no pairs are formed.
+    ``threshold`` adds one inequality ``(other field, op, record field)`` with op GT, GE, LT, LE
+    or NE. ``other`` is aggregated by its key before it meets the records, so no pairs are formed.
     """
     recs, other, keys = _keyed(recs, filter_all(other, *where), on)
     names = [m.name for m in measures]
@@ -88,31 +88,51 @@ def _either(part: str, a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
+def _comparable(df: DataFrame, field: str, order_matters: bool, mixed: bool) -> Column:
+    """The field as something to sort by; for mere inequality the loose code of text will do."""
+    return F.coalesce(V.code_text(df, field), F.lit(V.NULL_TEXT)) if mixed and not order_matters else F.col(field)
+
+
 def _running(recs: DataFrame, other: DataFrame, keys: list[str], measures: Sequence[Measure],
              field: str, op: str, bound: str) -> DataFrame:
-    """Aggregates up to each record's bound, as running totals over key and value.
-
-    Both sides are reduced to distinct (key, value) and sorted by range over the whole cluster, so
-    a hot key spreads over many parts. A running total is the one inside the part plus what the
-    key's earlier parts hold, of which there is one row per key and part.
-    """
-    if op not in ("GT", "GE", "LT", "LE"):
-        raise ValueError(f"threshold takes GT, GE, LT or LE, not {op!r}")
+    """Aggregates over the rows beyond each record's bound, as running totals by key and value."""
+    if op not in ("GT", "GE", "LT", "LE", "NE"):
+        raise ValueError(f"threshold takes GT, GE, LT, LE or NE, not {op!r}")
     if any(m.rule.parts is None for m in measures):
         raise ValueError("a threshold takes aggregates that are merged from parts")
     a, b = V.kind(other, field), V.kind(recs, bound)
-    if a != b or a not in (V.NUMBER, V.DATE, V.DATETIME):
+    mixed = a != b or a not in (V.NUMBER, V.DATE, V.DATETIME)
+    if mixed and op != "NE":
         raise ValueError(f"a threshold compares two numbers or two moments, not {a} and {b}")
 
     parts = {f"__p{i}_{part}": (part, column) for i, m in enumerate(measures)
              for part, column in m.rule.parts(m.operand(other)).items()}
-    totals = other.groupBy(*keys, F.col(field).alias("__at")).agg(
-        *[column.alias(name) for name, (_, column) in parts.items()])
-    bounds = recs.select(*keys, F.col(bound).alias("__at")).distinct()
+    combined = [COMBINE[part](F.col(n)).alias(n) for n, (part, _) in parts.items()]
+    at = lambda df, name: _comparable(df, name, op != "NE", mixed).alias("__at")
+    totals = other.groupBy(*keys, at(other, field)).agg(*[column.alias(n) for n, (_, column) in parts.items()])
+    recs = recs.withColumn("__bound", at(recs, bound))
+    bounds = recs.select(*keys, F.col("__bound").alias("__at")).distinct()
+    # Unequal is less or greater.
+    sides = [_running_parts(totals, bounds, keys, parts, side) for side in (("LT", "GT") if op == "NE" else (op,))]
+    found = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]).groupBy(*keys, "__bound").agg(*combined)
+    finals = [m.filled(m.rule.finish({part: F.col(n) for n, (part, _) in parts.items() if n.startswith(f"__p{i}_")}))
+              .alias(m.name) for i, m in enumerate(measures)]
+    found = found.select(*keys, "__bound", *finals)
+    return _match(recs, found, [*keys, "__bound"], [m.name for m in measures])
+
+
+def _running_parts(totals: DataFrame, bounds: DataFrame, keys: list[str], parts: Mapping[str, tuple[str, Column]],
+                   op: str) -> DataFrame:
+    """Partial results of all ``totals`` of the key that lie beyond each of the ``bounds``.
+
+    Both sides hold distinct (key, value) and are sorted by range over the whole cluster, so a hot
+    key spreads over many parts. A running total is the one inside the part plus what the key's
+    earlier parts hold, of which there is one row per key and part.
+    """
     # Rows equal to the bound count for GE and LE: they then sort before it.
-    mine = 1 if op in ("GE", "LE") else -1
+    turn = 1 if op in ("GE", "LE") else -1
     events = totals.withColumn("__turn", F.lit(0)).unionByName(
-        bounds.withColumn("__turn", F.lit(mine)), allowMissingColumns=True)
+        bounds.withColumn("__turn", F.lit(turn)), allowMissingColumns=True)
     # A missing value compares as the greatest.
     at = F.col("__at").asc_nulls_last() if op in ("LT", "LE") else F.col("__at").desc_nulls_first()
     pinned = write_down(events.orderBy(*keys, at, "__turn").select("*", F.spark_partition_id().alias("__part")))
@@ -130,13 +150,8 @@ def _running(recs: DataFrame, other: DataFrame, keys: list[str], measures: Seque
     same = V.all_of([F.col("__part") == F.col("__partr"),
                      *[F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys]])
     both = running.join(held, same, "inner")
-    finals = []
-    for i, m in enumerate(measures):
-        mine_parts = {part: _either(part, F.col(n), F.col(f"{n}h"))
-                      for n, (part, _) in parts.items() if n.startswith(f"__p{i}_")}
-        finals.append(m.filled(m.rule.finish(mine_parts)).alias(m.name))
-    found = both.select(*keys, F.col("__at").alias("__bound"), *finals)
-    return _match(recs.withColumn("__bound", F.col(bound)), found, [*keys, "__bound"], [m.name for m in measures])
+    return both.select(*keys, F.col("__at").alias("__bound"), *[
+        _either(part, F.col(n), F.col(f"{n}h")).alias(n) for n, (part, _) in parts.items()])
 
 
 def block_rows(recs: DataFrame, block: Sequence[Mapping[str, Column]], order_by: Sequence[str | Column],

@@ -10,9 +10,9 @@ from ledgerline.reports.catalogue import nulled, report, rounded
 
 
 @report("""
-    SELECT l_returnflag, l_linestatus, round(SUM(l_extendedprice), 2) AS total, round(AVG(l_quantity), 4) AS mean,
+    SELECT l_returnflag, l_linestatus, round(SUM(l_extendedprice), 2) AS total, round(AVG(l_quantity), 6) AS mean,
            MIN(l_tax) AS low, MAX(l_quantity) AS high, COUNT(*) AS n, COUNT(DISTINCT l_suppkey) AS n_suppliers,
-           MIN(CAST(l_shipdate AS DATE)) AS first_day, 0.0 AS no_numbers
+           MIN(CAST(l_shipdate AS DATE)) AS first_day, CAST(0 AS DOUBLE) AS no_numbers
     FROM lineitem GROUP BY l_returnflag, l_linestatus
 """)
 def agg_all(t):
@@ -23,7 +23,7 @@ def agg_all(t):
         Measure("first_day", "MIN", F.col("l_shipdate").cast("date"), typed=True),
         # Text without numbers adds up to zero.
         Measure("no_numbers", "SUM", "l_linestatus")])
-    return rounded(rounded(out, "total"), "mean", digits=4)
+    return rounded(rounded(out, "total"), "mean", digits=6)
 
 
 @report("""
@@ -51,13 +51,13 @@ def agg_count_distinct(t):
 
 
 @report("""
-    SELECT c_mktsegment, COUNT(*) AS n, round(AVG(c_acctbal), 4) AS mean, MAX(c_acctbal) AS top
+    SELECT c_mktsegment, COUNT(*) AS n, round(AVG(c_acctbal), 6) AS mean, MAX(c_acctbal) AS top
     FROM customer GROUP BY c_mktsegment
 """)
 def group_stats(t):
     out = group_list(t.customer, ["c_mktsegment"], [
         Measure("n", "COUNT"), Measure("mean", "AVG", "c_acctbal"), Measure("top", "MAX", "c_acctbal")])
-    return rounded(out, "mean", digits=4)
+    return rounded(out, "mean", digits=6)
 
 
 @report("""
@@ -71,7 +71,7 @@ def group_null_keys(t):
 
 
 @report("""
-    SELECT COUNT(*) AS n, round(SUM(o_totalprice), 2) AS total, round(AVG(o_totalprice), 4) AS mean,
+    SELECT COUNT(*) AS n, round(SUM(o_totalprice), 2) AS total, round(AVG(o_totalprice), 6) AS mean,
            COUNT(DISTINCT o_custkey) AS n_customers
     FROM orders WHERE o_orderstatus = 'F'
 """)
@@ -79,11 +79,12 @@ def kpi_cells(t):
     found = filter_all(t.orders, Condition("o_orderstatus", "EQ", "F"))
     out = kpi(found, Measure("n", "COUNT"), Measure("total", "SUM", "o_totalprice"),
               Measure("mean", "AVG", "o_totalprice"), Measure("n_customers", "COUNT_DISTINCT", "o_custkey"))
-    return rounded(rounded(out, "total"), "mean", digits=4)
+    return rounded(rounded(out, "total"), "mean", digits=6)
 
 
 @report("""
-    SELECT CAST(0 AS BIGINT) AS n, 0.0 AS total, 0.0 AS mean, 0.0 AS low, CAST(0 AS BIGINT) AS n_customers
+    SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS mean,
+           CAST(0 AS DOUBLE) AS low, CAST(0 AS BIGINT) AS n_customers
     FROM (SELECT COUNT(*) AS c FROM orders WHERE o_totalprice < 0) z WHERE c = 0
 """)
 def kpi_empty(t):

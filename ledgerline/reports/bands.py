@@ -74,9 +74,9 @@ def grand_total(t):
     SELECT segment, NULL, COUNT(*), segment || ': ' || CAST(COUNT(*) AS VARCHAR) || ' customers', NULL, 0, 0
     FROM d GROUP BY segment
     UNION ALL
-    SELECT segment, NULL, NULL, 'mean of ' || segment, round(AVG(balance), 4), 0, 1 FROM d GROUP BY segment
+    SELECT segment, NULL, NULL, 'mean of ' || segment, round(AVG(balance), 6), 0, 1 FROM d GROUP BY segment
     UNION ALL
-    SELECT NULL, NULL, COUNT(*), 'All ', round(AVG(balance), 4), -1, 2 FROM d
+    SELECT NULL, NULL, COUNT(*), 'All ', round(AVG(balance), 6), -1, 2 FROM d
 """)
 def subtotal_label(t):
     # Two subtotals at one level keep their declared order; a label may hold figures.
@@ -87,7 +87,7 @@ def subtotal_label(t):
         Summary("segment", (n,), (GROUP, ": ", n, " customers")),
         Summary("segment", (mean,), ("mean of ", GROUP)),
         Summary(None, (n, mean), ("All ", GROUP))])
-    return rounded(out, "mean", digits=4)
+    return rounded(out, "mean", digits=6)
 
 
 @report("""

@@ -58,14 +58,14 @@ def segments_wide(t):
     UNION ALL
     SELECT NULL, status, 'column_total', SUM(q) FROM d GROUP BY status
     UNION ALL
-    SELECT NULL, NULL, 'grand_total', round(AVG(q), 4) FROM d
+    SELECT NULL, NULL, 'grand_total', round(AVG(q), 6) FROM d
 """, name="crosstab_totals")
 def flags_with_totals(t):
     df = t.lineitem.select(F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"),
                            F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("q"))
     out = crosstab_totals(df, "flag", "status", Measure("cell", "SUM", "q"), row_total=Measure("rows", "COUNT"),
                           grand_total=Measure("mean", "AVG", "q"))
-    return rounded(out, "value", digits=4)
+    return rounded(out, "value", digits=6)
 
 
 @report("""

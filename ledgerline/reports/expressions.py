@@ -114,14 +114,14 @@ def display_format(t):
 
 @report("""
     SELECT l_returnflag, round(SUM(l_extendedprice * (1 - l_discount)), 1) AS revenue,
-           round(AVG(l_quantity * l_tax), 4) AS mean_tax
+           round(AVG(l_quantity * l_tax), 6) AS mean_tax
     FROM lineitem GROUP BY l_returnflag
 """)
 def agg_expression(t):
     out = group_list(t.lineitem, ["l_returnflag"], [
         Measure("revenue", "SUM", F.col("l_extendedprice") * (1 - F.col("l_discount"))),
         Measure("mean_tax", "AVG", F.col("l_quantity") * F.col("l_tax"))])
-    return rounded(rounded(out, "revenue", digits=1), "mean_tax", digits=4)
+    return rounded(rounded(out, "revenue", digits=1), "mean_tax", digits=6)
 
 
 @report("""

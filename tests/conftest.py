@@ -23,3 +23,11 @@ def spark(tmp_path_factory):
 def rows():
     """Result rows as tuples in the frame's order."""
     return lambda df, *columns: [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Keeps small results in several partitions, as large ones would be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

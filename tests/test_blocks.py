@@ -45,9 +45,9 @@ def test_correlated_aggregates(staff, pay, rows):
     assert rows(none, "n", "sum", "top") == [(0, 0.0, 0.0)] * 4
 
 
-@pytest.mark.parametrize("op", ["GT", "GE", "LT", "LE"])
+@pytest.mark.parametrize("op", ["GT", "GE", "LT", "LE", "NE"])
 @pytest.mark.parametrize("keyed", [True, False])
-def test_thresholds_follow_a_nested_loop(spark, op, keyed):
+def test_thresholds_follow_a_nested_loop(spark, many_parts, op, keyed):
     rng = random.Random(op)
     value = lambda: rng.choice([None, *range(12)])
     # One key holds most rows, so that its running totals cross several parts.
@@ -56,7 +56,8 @@ def test_thresholds_follow_a_nested_loop(spark, op, keyed):
     other = [(key(), value(), rng.choice([None, 1.0, 2.0, 8.0])) for _ in range(120)]
     rank = lambda v: (v is None, v or 0)
     holds = {"GT": lambda a, b: rank(a) > rank(b), "GE": lambda a, b: rank(a) >= rank(b),
-             "LT": lambda a, b: rank(a) < rank(b), "LE": lambda a, b: rank(a) <= rank(b)}[op]
+             "LT": lambda a, b: rank(a) < rank(b), "LE": lambda a, b: rank(a) <= rank(b),
+             "NE": lambda a, b: rank(a) != rank(b)}[op]
     expected = []
     for i, k, bound in recs:
         mine = [w for kk, v, w in other if (not keyed or kk == k) and holds(v, bound)]
@@ -71,7 +72,7 @@ def test_thresholds_follow_a_nested_loop(spark, op, keyed):
 
 
 def test_what_a_threshold_cannot_take(staff, pay):
-    with pytest.raises(ValueError, match="GT, GE, LT or LE"):
+    with pytest.raises(ValueError, match="GT, GE, LT, LE or NE"):
         correlate(staff, pay, [], [Measure("n", "COUNT")], threshold=("base", "CONTAINS", "id"))
     with pytest.raises(ValueError, match="two numbers or two moments"):
         correlate(staff, pay, [], [Measure("n", "COUNT")], threshold=("emp_id", "LT", "name"))
@@ -79,6 +80,12 @@ def test_what_a_threshold_cannot_take(staff, pay):
         correlate(staff, pay, [], [Measure("n", "COUNT_DISTINCT", "o")], threshold=("base", "LT", "id"))
 
 
+def test_unequal_texts_are_loosely_unequal(staff, pay, rows):
+    # "1" and "1.0" are equal to the number 1, "x" is unequal to every number.
+    out = correlate(staff, pay, [], [Measure("n", "COUNT")], threshold=("emp_id", "NE", "id")).orderBy("id")
+    assert rows(out, "n") == [(2,), (4,), (3,), (4,)]
+
+
 def test_block_rows(staff, rows):
     active = records(staff, [Condition("status", "EQ", "active")])
     block = [{"a": F.lit("name"), "b": F.lit("id")}, {"a": F.col("name"), "b": F.col("id")}, {}, {}]
