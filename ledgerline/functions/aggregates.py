@@ -7,7 +7,7 @@ keeping its value in the finest groups. A rule with neither is computed directly
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -107,6 +107,13 @@ class Measure:
         return self.filled(self.rule.direct(self.operand(df))).alias(self.name)
 
 
+def first_values(df: DataFrame, take: Mapping[str, str | Column], order_by: Sequence[str | Column]) -> DataFrame:
+    """Cells without an aggregate, taken from the first row; one row of nulls over no rows."""
+    values = F.struct(*[V.col_of(c).alias(name) for name, c in take.items()])
+    first = df.agg(F.min_by(values, F.struct(*order_by)).alias("first"))
+    return first.select(*[F.col(f"first.{name}").alias(name) for name in take])
+
+
 def kpi(df: DataFrame, *measures: Measure) -> DataFrame:
     """One row of aggregates over the whole frame, also when it is empty."""
     return df.agg(*[m.column(df) for m in measures])

@@ -127,8 +127,9 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
     kind = {c: f.dataType.simpleString() for c, f in zip(totals.columns, totals.schema)} if sets else {}
     outputs = {name: kind[c] for cs in (*beside.values(), *cells.values()) for name, c in cs.items()}
     outputs |= {s.label_in: "string" for s in summaries if s.label}
-    if clash := set(outputs) & set(groups):
-        raise ValueError(f"measures and labels need columns of their own, not the groups {sorted(clash)}")
+    taken = {*groups, *({m.name for m in measures} & set(columns))}
+    if clash := set(outputs) & taken:
+        raise ValueError(f"measures and labels need columns of their own, not {sorted(clash)}")
 
     structs = []
     for no, s in enumerate(summaries):

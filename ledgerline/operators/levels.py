@@ -26,8 +26,9 @@ def level_totals(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str
     source = df.select(*keys, *[m.operand(df).alias(f"__v{i}") for i, m in enumerate(measures)])
     types = {k: source.schema[k].dataType for k in keys}
 
+    finest = None
     if len(sets) > 1 and all(m.rule.mergeable for m in measures):
-        grain, parts, finals = [], [], []
+        grain, parts, finals, own = [], [], [], []
         for i, m in enumerate(measures):
             value = F.col(f"__v{i}")
             if m.rule.distinct:
@@ -37,8 +38,12 @@ def level_totals(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str
             names = {part: f"__p{i}_{part}" for part in m.rule.parts(value)}
             parts += [c.alias(names[part]) for part, c in m.rule.parts(value).items()]
             finals.append(m.rule.merge({part: F.col(name) for part, name in names.items()}))
+            own.append(m.filled(m.rule.finish({part: F.col(name) for part, name in names.items()})).alias(m.name))
         base = source.groupBy(*used, *grain)
         base = base.agg(*parts) if parts else base.agg(F.lit(1).alias("__one"))
+        if not grain and tuple(used) in sets:
+            # The finest groups are finished as they are and need no second shuffle.
+            finest = base.select(*used, *own)
     else:
         base = source
         finals = [m.rule.direct(F.col(f"__v{i}")) for i, m in enumerate(measures)]
@@ -51,7 +56,9 @@ def level_totals(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str
             which.cast("int").alias(SET), *names)
 
     pieces = []
-    grouped = list(dict.fromkeys(s for s in sets if s))
+    if finest is not None:
+        pieces.append(shaped(finest, used, F.lit(sets.index(tuple(used)))))
+    grouped = [s for s in dict.fromkeys(sets) if s and (finest is None or s != tuple(used))]
     if len(grouped) == 1:
         only = grouped[0]
         totals = base.groupBy(*only).agg(*results)

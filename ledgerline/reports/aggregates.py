@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions.aggregates import Measure, kpi
+from ledgerline.functions.aggregates import Measure, first_values, kpi
 from ledgerline.functions.predicates import Condition, filter_all
+from ledgerline.functions.scalars import text
 from ledgerline.operators.bands import group_list
 from ledgerline.operators.ordering import distinct_first, header_values
 from ledgerline.reports.catalogue import nulled, report, rounded
@@ -82,6 +83,16 @@ def kpi_cells(t):
     return rounded(rounded(out, "total"), "mean", digits=6)
 
 
+@report("""
+    SELECT o_orderkey AS first_order, 'by ' || CAST(o_custkey AS VARCHAR) AS buyer
+    FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 1
+""")
+def kpi_first_row(t):
+    found = filter_all(t.orders, Condition("o_orderstatus", "EQ", "F"))
+    return first_values(found, {"first_order": "o_orderkey", "buyer": text(found, "by ", F.col("o_custkey"))},
+                        ["o_orderdate", "o_orderkey"])
+
+
 @report("""
     SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS mean,
            CAST(0 AS DOUBLE) AS low, CAST(0 AS BIGINT) AS n_customers

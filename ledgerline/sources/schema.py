@@ -63,7 +63,14 @@ def _typed(df: DataFrame, field: Field, on_error: str, parse_dates: bool) -> Col
         return F.lit(None).cast(target or SPARK_TYPES[field.type])
     column = F.col(field.name)
     found = V.kind(df, field.name)
-    cast = (lambda c, t: c.cast(t)) if on_error == "raise" else (lambda c, t: c.try_cast(t))
+
+    def cast(c: Column, target) -> Column:
+        value = c.try_cast(target)
+        if on_error == "null":
+            return value
+        failure = F.raise_error(F.concat(F.lit(f"field {field.name} is no {field.type}: "), c.cast("string")))
+        return F.when(value.isNotNull() | c.isNull(), value).otherwise(failure.cast(target))
+
     if field.type == "NUMBER":
         return column if found == V.NUMBER else cast(column, "double")
     if field.type == "BOOLEAN":

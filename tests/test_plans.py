@@ -81,6 +81,10 @@ def test_only_used_columns_are_read(facts):
 
 
 def test_a_band_reads_its_source_once(facts):
+    plain = (Measure("s", "SUM", "v"), Measure("m", "AVG", "v"))
+    out = band(facts, ["g", "k"], measures=plain, summaries=[Summary("g", plain, (GROUP,)), Summary(None, plain, ("all",))])
+    text = plan(out)
+    assert count("Scan parquet", text) == 1 and text.split("\n\n\n")[0].count("ReusedExchange") == 2
     totals = (Measure("s", "SUM", "v"), Measure("n", "COUNT"), Measure("d", "COUNT_DISTINCT", "id"))
     out = band(facts, ["g", "k"], measures=totals, summaries=[Summary("g", totals, (GROUP,)), Summary(None, totals, ("all",))])
     text = plan(out)
@@ -129,3 +133,41 @@ def test_no_report_pairs_rows_or_leaves_the_engine(spark, name):
     # No window over all rows, which would be one task.
     for window in re.findall(r"\) Window\nInput.*\nArguments: (.*)", text):
         assert "], [], [" not in window
+
+
+@pytest.fixture
+def tiny_skew(spark, large, many_parts):
+    """Skew handling that already acts on test-sized partitions."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.shuffle.partitions": "16"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in list(names)[:3]:
+        spark.conf.unset(name)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.fixture
+def hot(spark, tmp_path):
+    """A third of all rows belong to one key; several files, so that a hot partition can be split."""
+    df = spark.range(0, 30_000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500).alias("k"), F.rand(7).alias("v"))
+    df.write.parquet(str(tmp_path / "hot"))
+    return spark.read.parquet(str(tmp_path / "hot")).repartition(8, "id")
+
+
+def test_hot_groups_of_a_detail_list_are_split(hot, tiny_skew):
+    out = band(hot, ["k"], ["id"], [Measure("s", "SUM", "v")], ordered=False)
+    assert "SortMergeJoin(skew=true)" in plan(out) and out.count() == 30_000
+
+
+@pytest.mark.parametrize("how", ["LEFT", "FULL"])
+def test_hot_keys_of_the_padded_side_are_split(spark, hot, tiny_skew, how):
+    few = spark.range(400).select(F.col("id").alias("j"))
+    out = join_on(few, hot, [("j", "k")], how)
+    assert "SortMergeJoin(skew=true)" in plan(out)
+    matched = hot.filter("k < 400").count()
+    missing = few.join(hot, F.col("j") == F.col("k"), "left_anti").count()
+    assert out.count() == matched + missing + (30_000 - matched if how == "FULL" else 0)
