@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.operators.dictionaries import map_codes
 from ledgerline.operators.relations import Relationship, combine, components, qualify, union_mapped
 from ledgerline.sources.readers import read_source
 from ledgerline.sources.schema import Field, typed_projection
@@ -65,6 +66,10 @@ class DataModel:
         keys = {n: self._keys(n) for n in names if not isinstance(self.datasets[n], DataFrame) or n in self.primary_keys}
         return combine(frames, self.relationships, names, keys)
 
+    def labelled(self, df: DataFrame, column: str, dictionary: str, into: str) -> DataFrame:
+        """F6 by the dictionary's name; an unknown name leaves every value."""
+        return map_codes(df, column, self.dictionaries.get(dictionary), into)
+
     def sets(self, *names: str) -> list[list[str]]:
         """Which of the datasets belong to one joined set."""
         return components(names, self.relationships)

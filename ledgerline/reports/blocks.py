@@ -76,6 +76,36 @@ def loop_threshold(t):
     return rounded(out.select("c_custkey", "c_nationkey", "n", "total", "top", "low"), "total")
 
 
+@report("""
+    SELECT a.o_orderkey, COUNT(b.o_orderkey) AS n_later, coalesce(round(SUM(b.o_totalprice), 2), 0.0) AS later_total
+    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate
+    GROUP BY a.o_orderkey
+""")
+def loop_later_rows(t):
+    # What the customer ordered after each order; a self-join of pairs would grow with their square.
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    later = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("day"), "o_totalprice")
+    out = correlate(orders, later, [("o_custkey", "k")], [
+        Measure("n_later", "COUNT"), Measure("later_total", "SUM", "o_totalprice")], threshold=("day", "GT", "o_orderdate"))
+    return rounded(out.select("o_orderkey", "n_later", "later_total"), "later_total")
+
+
+@report("""
+    SELECT s_suppkey, COUNT(c_custkey) AS n_others, coalesce(MAX(c_acctbal), 0.0) AS top
+    FROM supplier LEFT JOIN (SELECT *, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer) c
+      ON s_nationkey = c_nationkey
+      AND segment IS DISTINCT FROM CASE WHEN s_acctbal > 5000 THEN 'MACHINERY' END
+    GROUP BY s_suppkey
+""")
+def loop_unequal(t):
+    # Customers of the supplier's nation in any other segment, a missing segment being one as well.
+    suppliers = t.supplier.withColumn("segment", F.when(F.col("s_acctbal") > 5000, "MACHINERY"))
+    customers = nulled(t.customer, "c_mktsegment", "BUILDING")
+    out = correlate(suppliers, customers, [("s_nationkey", "c_nationkey")], [
+        Measure("n_others", "COUNT"), Measure("top", "MAX", "c_acctbal")], threshold=("c_mktsegment", "NE", "segment"))
+    return out.select("s_suppkey", "n_others", "top")
+
+
 @report("""
     WITH r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS record_no FROM customer WHERE c_acctbal > 5000)
     SELECT c_custkey, record_no, 0 AS block_row, record_no * 3 AS row_no, 'Name' AS a, 'Nation' AS b FROM r

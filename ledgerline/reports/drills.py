@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions.aggregates import Measure
+from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.bands import group_list
+from ledgerline.operators.blocks import records
+from ledgerline.operators.crosstab import crosstab_cells
 from ledgerline.operators.drill import drill_rows, drill_view
 from ledgerline.operators.relations import join_on
 from ledgerline.reports.catalogue import nulled, report
@@ -29,6 +32,29 @@ def drill_figures(t):
     return drill_rows(t.lineitem, figures, ["l_suppkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
 
 
+@report("""
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)
+""")
+def drill_blocks(t):
+    # The rows behind the correlated figures of the chosen records.
+    chosen = records(t.customer, [Condition("c_acctbal", "GT", 9000)]).select(F.col("c_custkey").alias("o_custkey"))
+    counted = filter_all(t.orders, Condition("o_orderstatus", "EQ", "F"))
+    return drill_rows(counted, chosen, ["o_custkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@report("""
+    SELECT p_partkey, p_brand, nullif(p_size, 10) AS p_size FROM part
+    WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 10 GROUP BY p_brand HAVING COUNT(*) >= 2) AND p_size = 10
+""")
+def drill_crosstab(t):
+    # Cells of a cross-tab under its missing header that hold two rows or more.
+    df = nulled(t.part, "p_size", 10)
+    cells = crosstab_cells(df, ["p_brand"], "p_size", [Measure("n", "COUNT")], dense=False)
+    return drill_rows(df, cells.filter("p_size IS NULL AND n >= 2"), ["p_brand", "p_size"]).select(
+        "p_partkey", "p_brand", "p_size")
+
+
 @report("""
     SELECT DISTINCT c_custkey, c_name, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey
     WHERE o_orderpriority = '2-HIGH'

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
 SETTINGS = {
@@ -32,14 +33,14 @@ def _shared_folder(spark: SparkSession) -> str:
 
     Only a local session without one gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
-        context.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -49,9 +50,9 @@ def write_down(df: DataFrame) -> DataFrame:
     What reads the result starts from files: nothing is computed again after the loss of an
     executor, and Spark knows the size when it chooses a join.
     """
-    folder = _shared_folder(df.sparkSession)
-    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):
-        return df.checkpoint()
-    path = f"{folder}/ledgerline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    untyped = {f.name for f in df.schema.fields if isinstance(f.dataType, NullType)}
+    stored = df.select(*[F.col(c) if c not in untyped else F.lit(None).cast("string").alias(c) for c in df.columns])
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    stored.write.parquet(path)
+    read = df.sparkSession.read.schema(stored.schema).parquet(path)
+    return read.withColumns({c: F.lit(None) for c in untyped}) if untyped else read

@@ -29,20 +29,30 @@ def scan_csv(spark: SparkSession, path: str | list[str], fields: Sequence[Field]
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, fields: Sequence[Field] | None = None,
-              options: Mapping[str, Any] | None = None, partition: tuple[str, Any, Any, int] | None = None,
+              options: Mapping[str, Any] | None = None, partition: tuple | None = None,
               on_error: str = "raise") -> DataFrame:
     """A table, or a text starting with SELECT, of a database.
 
-    ``partition`` is ``(column, lower, upper, parts)``: the range is read by that many tasks.
+    ``partition`` is ``(column, parts)`` or ``(column, parts, lower, upper)``: that many tasks read
+    a range each. Bounds that are not given are asked from the database, which is one row. Without
+    it a single task reads everything, which only suits small tables.
     """
-    select = table.lstrip().lower().startswith("select")
-    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
-    reader = reader.option("dbtable", f"({table}) q" if select else table)
+    source = f"({table}) q" if table.lstrip().lower().startswith("select") else table
+
+    def reader(dbtable: str):
+        base = spark.read.format("jdbc").option("url", url).options(**(options or {}))
+        return base.option("dbtable", dbtable)
+
+    scan = reader(source)
     if partition:
-        column, lower, upper, parts = partition
-        reader = (reader.option("partitionColumn", column).option("lowerBound", str(lower))
-                  .option("upperBound", str(upper)).option("numPartitions", str(parts)))
-    df = reader.load()
+        column, parts, *bounds = partition
+        if not bounds:
+            ends = reader(f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {source}) b").load()
+            bounds = list(ends.first())
+        if None not in bounds:
+            scan = (scan.option("partitionColumn", column).option("numPartitions", str(parts))
+                    .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1])))
+    df = scan.load()
     if fields is None:
         return df
     by_lower = {c.lower(): c for c in df.columns}

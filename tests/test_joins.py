@@ -100,5 +100,9 @@ def test_model_with_nested_unions(spark, rows, tmp_path):
     assert model.frame("outer").count() == 6
     out = model.combined("outer", "people")
     assert out.count() == 6 and out.filter(F.col("people__name").isNotNull()).count() == 4
+    model.dictionaries["names"] = {"Ann": "A."}
+    named = model.frame("people").orderBy("id")
+    assert rows(model.labelled(named, "name", "names", "l").orderBy("id"), "l") == [("A.",), ("Bob",)]
+    assert rows(model.labelled(named, "name", "none", "l").orderBy("id"), "l") == [("Ann",), ("Bob",)]
     with pytest.raises(ValueError, match="unknown dataset"):
         model.frame("nobody")

@@ -120,34 +120,47 @@ def test_source_registry(spark, rows, tmp_path):
 
 
 class Recorder:
-    """Stands in for a session's reader, since no database runs here."""
+    """Stands in for a session whose reader notes its options, since no database runs here."""
 
-    def __init__(self, df):
-        self.df, self.set = df, {}
-        self.read = self
+    def __init__(self, frames):
+        self.frames, self.scans = frames, []
 
-    def format(self, name):
-        self.set["format"] = name
-        return self
+    @property
+    def read(self):
+        recorder, noted = self, {}
 
-    def option(self, key, value):
-        self.set[key] = value
-        return self
+        class Reader:
+            def format(self, name):
+                return self.option("format", name)
 
-    def options(self, **more):
-        self.set.update(more)
-        return self
+            def option(self, key, value):
+                noted[key] = value
+                return self
 
-    def load(self):
-        return self.df
+            def options(self, **more):
+                noted.update(more)
+                return self
+
+            def load(self):
+                recorder.scans.append(noted)
+                return recorder.frames["bounds" if "MIN(" in noted["dbtable"] else "table"]
+
+        return Reader()
 
 
 def test_jdbc_options(spark, rows):
-    reader = Recorder(spark.createDataFrame([(1, "a")], "ID bigint, NAME string"))
-    df = R.scan_jdbc(reader, "jdbc:x", "people", [Field("id", "NUMBER"), Field("name"), Field("gone")],
-                     {"user": "u"}, ("ID", 0, 100, 4))
+    database = Recorder({"table": spark.createDataFrame([(1, "a")], "ID bigint, NAME string"),
+                         "bounds": spark.createDataFrame([(3, 90)], "low bigint, high bigint")})
+    df = R.scan_jdbc(database, "jdbc:x", "people", [Field("id", "NUMBER"), Field("name"), Field("gone")],
+                     {"user": "u"}, ("ID", 4, 0, 100))
     assert rows(df) == [(1, "a", None)]
-    assert reader.set == {"format": "jdbc", "url": "jdbc:x", "user": "u", "dbtable": "people", "partitionColumn": "ID",
-                          "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
-    R.scan_jdbc(reader, "jdbc:x", " select 1 from t")
-    assert reader.set["dbtable"] == "( select 1 from t) q"
+    assert database.scans == [{
+        "format": "jdbc", "url": "jdbc:x", "user": "u", "dbtable": "people", "partitionColumn": "ID",
+        "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}]
+    R.scan_jdbc(database, "jdbc:x", " select ID from t", partition=("ID", 8))
+    bounds, scan = database.scans[1:]
+    assert bounds["dbtable"] == "(SELECT MIN(ID) AS low, MAX(ID) AS high FROM ( select ID from t) q) b"
+    assert (scan["dbtable"], scan["lowerBound"], scan["upperBound"]) == ("( select ID from t) q", "3", "90")
+    database.frames["bounds"] = spark.createDataFrame([(None, None)], "low bigint, high bigint")
+    R.scan_jdbc(database, "jdbc:x", "empty", partition=("ID", 8))
+    assert "partitionColumn" not in database.scans[-1]
