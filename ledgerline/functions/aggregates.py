@@ -50,7 +50,7 @@ def _count_values(value: Column) -> Column:
 
 AGGREGATES: dict[str, Rule] = {
     "SUM": Rule(F.sum, lambda v: {"total": F.sum(v)}, lambda p: p["total"]),
-    "AVG": Rule(F.avg, lambda v: {"total": F.sum(v.cast("double")), "n": F.count(v)},
+    "AVG": Rule(lambda v: F.avg(v.cast("double")), lambda v: {"total": F.sum(v.cast("double")), "n": F.count(v)},
                 lambda p: F.try_divide(p["total"], p["n"])),
     "MIN": Rule(F.min, lambda v: {"low": F.min(v)}, lambda p: p["low"]),
     "MAX": Rule(F.max, lambda v: {"high": F.max(v)}, lambda p: p["high"]),

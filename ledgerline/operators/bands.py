@@ -17,7 +17,7 @@ from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.functions.scalars import text
 from ledgerline.operators.levels import SET, attach, level_totals
-from ledgerline.operators.ordering import group_keys
+from ledgerline.operators.ordering import group_keys, number_rows
 from ledgerline.session import write_down
 
 LEVEL, SUMMARY_NO = "level", "summary_no"
@@ -84,18 +84,31 @@ def _rows_of(totals: DataFrame, groups: Sequence[str], structs: Sequence[Column]
         *groups, *[F.col(f"__row.{c}").alias(c) for c in (LEVEL, SUMMARY_NO, *outputs)])
 
 
-def band_order(df: DataFrame, groups: Sequence[str], order_by: Sequence[str | Column] = (),
-               typed: bool = False) -> list[Column]:
-    """Sort keys that put every summary right after its group and the grand total last.
+def band_keys(df: DataFrame, groups: Sequence[str], typed: bool = False, summaries: bool = True) -> list[Column]:
+    """Ascending sort keys that put every summary right after its group and the grand total last.
 
     A row of level d is marked at position d+1, so it follows all rows that share its groups
-    0..d; inner levels come before outer ones.
+    0..d; inner levels come before outer ones. Rows without summaries need no marks.
     """
-    keys = [(F.col(LEVEL) < 0).asc()]
+    keys = [F.col(LEVEL) < 0] if summaries else []
     for d, group in enumerate(groups):
         keys += group_keys(df, group, typed)
-        keys.append((F.col(LEVEL) < d + 1).asc())
-    return [*keys, F.col(SUMMARY_NO).asc_nulls_first(), *map(V.col_of, order_by)]
+        if summaries:
+            keys.append(F.col(LEVEL) < d + 1)
+    return [*keys, F.col(SUMMARY_NO)] if summaries else keys
+
+
+def in_order(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str | Column] = (),
+             typed: bool = False, summaries: bool = True) -> DataFrame:
+    """The rows of a band in report order."""
+    keys = [*band_keys(rows, groups, typed, summaries), *order_by]
+    return rows.orderBy(*keys) if keys else rows
+
+
+def band_positions(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str | Column] = (),
+                   typed: bool = False, name: str = "row_no") -> DataFrame:
+    """M3 for a band: dense positions of list rows, subtotals and totals together."""
+    return number_rows(rows, [*band_keys(rows, groups, typed), *order_by], name)
 
 
 def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
@@ -106,7 +119,7 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
 
     Without ``columns`` there is one row per distinct group tuple (A7); with them every source row
     stays (A8) and aggregates are repeated beside it (A9, A10). ``ordered=False`` leaves out the
-    final sort, for results that are written or sorted later by :func:`band_order`.
+    final sort, for results that are written or put :func:`in_order` later.
 
     All aggregates of the list and of every summary come from one pass over the source.
     """
@@ -167,7 +180,7 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
         out = rows
         if structs:
             out = rows.unionByName(_rows_of(totals, groups, structs, outputs), allowMissingColumns=True)
-    return out.orderBy(*band_order(out, groups, order_by, typed_sort)) if ordered else out
+    return in_order(out, groups, order_by, typed_sort, bool(summaries)) if ordered else out
 
 
 def group_list(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure] = (),

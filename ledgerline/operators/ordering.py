@@ -13,8 +13,7 @@ from ledgerline.session import write_down
 
 def group_keys(df: DataFrame, group: str, typed: bool = False) -> list[Column]:
     """Groups sort by their text, null as ``null``; the value itself keeps groups together."""
-    column = F.col(group)
-    return [column.asc_nulls_first()] if typed else [V.null_text(df, group).asc(), column.asc_nulls_first()]
+    return [F.col(group)] if typed else [V.null_text(df, group), F.col(group)]
 
 
 def distinct_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition
 from ledgerline.operators.bands import (
-    GROUP, Summary, band, band_order, detail_list, group_list, merge_spans,
+    GROUP, Summary, band, band_positions, detail_list, group_list, merge_spans,
 )
 from ledgerline.operators.ordering import number_rows
 from ledgerline.reports.catalogue import report, rounded
@@ -32,11 +32,11 @@ def sales(t):
                          F.col("orders__o_orderstatus").alias("status"))
 
 
-def sales_band(t):
+def sales_band(t, ordered=True):
     totals = (Measure("amount", "SUM", "price"), Measure("n_orders", "COUNT"))
     out = band(sales(t), ["region", "nation"], measures=totals,
                summaries=[Summary("region", totals, (GROUP, " subtotal")), Summary(None, totals, ("Grand total",))],
-               where=[Condition("status", "NE", "P")])
+               where=[Condition("status", "NE", "P")], ordered=ordered)
     return rounded(out, "amount")
 
 
@@ -50,8 +50,7 @@ def subtotals(t):
     SELECT *, ROW_NUMBER() OVER (ORDER BY level < 0, region, level < 1, nation, level < 2) - 1 AS row_no FROM rows
 """)
 def row_positions(t):
-    rows = sales_band(t)
-    return number_rows(rows, band_order(rows, ["region", "nation"]))
+    return band_positions(sales_band(t, ordered=False), ["region", "nation"])
 
 
 @report("""

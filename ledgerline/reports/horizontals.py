@@ -1,7 +1,7 @@
 """Horizontal bands: records across, totals to the right, groups merged across."""
 
 from ledgerline.functions.aggregates import Measure
-from ledgerline.operators.bands import GROUP, Summary, band, band_order, group_list, merge_spans
+from ledgerline.operators.bands import GROUP, Summary, band, band_positions, group_list, merge_spans
 from ledgerline.operators.horizontal import transpose, transpose_wide
 from ledgerline.operators.ordering import number_rows
 from ledgerline.reports.catalogue import report, rounded
@@ -31,9 +31,9 @@ def horizontal_band(t):
 """)
 def horizontal_summary(t):
     n = (Measure("n", "COUNT"),)
-    rows = band(t.part, ["p_type", "p_brand"], measures=n,
+    rows = band(t.part, ["p_type", "p_brand"], measures=n, ordered=False,
                 summaries=[Summary("p_type", n, (GROUP, " all")), Summary(None, n, ("Total",))])
-    return transpose(rows, ["p_type", "label", "n"], band_order(rows, ["p_type", "p_brand"]))
+    return transpose(band_positions(rows, ["p_type", "p_brand"], name="position"), ["p_type", "label", "n"])
 
 
 @report("""

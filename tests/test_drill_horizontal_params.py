@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import params as P
 from ledgerline.functions.aggregates import Measure, kpi
 from ledgerline.functions.scalars import text
-from ledgerline.operators.bands import Summary, band, band_order, merge_spans
+from ledgerline.operators.bands import Summary, band, band_positions, merge_spans
 from ledgerline.operators.dictionaries import map_codes
 from ledgerline.operators.drill import drill_rows, drill_view
 from ledgerline.operators.horizontal import transpose, transpose_wide
@@ -40,7 +40,7 @@ def products(spark):
 def test_records_across_with_total(products, rows):
     out = band(products, [], ["name", "price", "o"], summaries=[Summary(None, (Measure("price", "SUM", "price"),))],
                order_by=["o"])
-    cells = transpose(out, ["name", "price"], band_order(out, [], ["o"])).orderBy("field", "position")
+    cells = transpose(band_positions(out, [], ["o"], name="position"), ["name", "price"]).orderBy("field", "position")
     assert rows(cells, "field", "position", "num", "text") == [
         ("name", 0, None, "a"), ("name", 1, None, "b"), ("name", 2, None, "c"), ("name", 3, None, None),
         ("price", 0, 5.0, None), ("price", 1, 3.0, None), ("price", 2, 4.0, None), ("price", 3, 12.0, None)]
