@@ -154,7 +154,10 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
         structs.append(_row_struct(F.lit(sets.index(groups[:depth[no] + 1])), depth[no], no, own, outputs))
 
     coarse = [p for p in beside if p != groups]
-    if not columns and not coarse:
+    if groups and not columns and not coarse and not summaries:
+        out = totals.select(*groups, F.lit(n).alias(LEVEL), F.lit(None).cast("int").alias(SUMMARY_NO),
+                            *[F.col(c).alias(name) for name, c in beside.get(groups, {}).items()])
+    elif not columns and not coarse:
         own = {name: F.col(c) for name, c in beside.get(groups, {}).items()}
         which = F.lit(sets.index(groups))
         if not groups:

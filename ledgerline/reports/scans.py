@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions import params as P
+from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.bands import detail_list
 from ledgerline.operators.ordering import preview
 from ledgerline.operators.relations import Relationship, qualify
-from ledgerline.plans.model import DataModel
-from ledgerline.reports.catalogue import report
-from ledgerline.sources.readers import sql_dataset
+from ledgerline.plans.model import DataModel, TableDataset
+from ledgerline.reports.catalogue import nulled, report
+from ledgerline.session import new_path
+from ledgerline.sources.readers import scan_csv, sql_dataset
 from ledgerline.sources.schema import Field, typed_projection
-from ledgerline.sources.sinks import cells_of
+from ledgerline.sources.sinks import cells_of, write_cells
 
 
 @report("""
@@ -82,12 +84,37 @@ def cell_table(t):
     return cells_of(df, ["p_partkey"], ["p_name", "p_size", "big"])
 
 
+@report("""
+    SELECT p_partkey, 'p_name' AS "column", CAST(NULL AS DOUBLE) AS num, p_name AS text, CAST(NULL AS BOOLEAN) AS flag
+    FROM part
+    UNION ALL
+    SELECT p_partkey, 'p_retailprice', p_retailprice, NULL, NULL FROM part
+""")
+def cell_sink(t):
+    # Cells written as files and read again.
+    path = new_path(t.spark)
+    write_cells(t.part, path, ["p_partkey"], ["p_name", "p_retailprice"], "json")
+    return t.spark.read.schema("p_partkey long, column string, num double, text string, flag boolean").json(path)
+
+
+@report("""
+    SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment,
+           CAST(NULL AS VARCHAR) AS c_comment
+    FROM customer
+""", name="csv_scan")
+def csv_customers(t):
+    # The customers as text files with a header, read back by column name.
+    path = new_path(t.spark)
+    nulled(t.customer, "c_mktsegment", "BUILDING").write.option("header", True).csv(path)
+    return scan_csv(t.spark, path, [Field("c_custkey", "NUMBER", primary_key=True), Field("c_name"),
+                                    Field("c_acctbal", "NUMBER"), Field("c_mktsegment"), Field("c_comment")])
+
+
 @report("""
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
     WHERE o_totalprice >= 200000 AND o_orderstatus = 'F'
 """)
 def param_filter(t):
-    from ledgerline.functions.predicates import Condition, filter_all
     given = {"floor": "200000", "status": "F"}
     found = filter_all(
         t.orders, Condition("o_totalprice", "GE", given.get("floor")),
@@ -124,7 +151,6 @@ def param_from_result(t):
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """)
 def model_sources(t):
-    from ledgerline.plans.model import TableDataset
     at = lambda name, *fields: TableDataset("PARQUET", {"path": f"{t.folder}/{name}.parquet"}, fields)
     model = DataModel(t.spark, {
         "customer": at("customer", Field("c_custkey", "NUMBER", primary_key=True), Field("c_name"),

@@ -44,6 +44,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+
+
 def write_down(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder once and read back.
 
@@ -52,7 +57,7 @@ def write_down(df: DataFrame) -> DataFrame:
     """
     untyped = {f.name for f in df.schema.fields if isinstance(f.dataType, NullType)}
     stored = df.select(*[F.col(c) if c not in untyped else F.lit(None).cast("string").alias(c) for c in df.columns])
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     stored.write.parquet(path)
     read = df.sparkSession.read.schema(stored.schema).parquet(path)
     return read.withColumns({c: F.lit(None) for c in untyped}) if untyped else read
