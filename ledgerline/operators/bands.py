@@ -84,6 +84,34 @@ def _rows_of(totals: DataFrame, groups: Sequence[str], structs: Sequence[Column]
         *groups, *[F.col(f"__row.{c}").alias(c) for c in (LEVEL, SUMMARY_NO, *outputs)])
 
 
+def _beside_rows(df: DataFrame, groups: tuple[str, ...], columns: Sequence[str],
+                 beside: dict[tuple[str, ...], dict[str, str]], totals: DataFrame | None,
+                 sets: Sequence[tuple[str, ...]]) -> DataFrame:
+    """List rows with the aggregates of their own and of coarser groups.
+
+    ``beside`` says per prefix of the groups which output column shows which figure of ``totals``.
+    Coarser figures are put beside the finest groups first, so that detail rows are joined once.
+    """
+    rows = df.select(*groups, *[c for c in columns if c not in groups]) if columns else None
+    if rows is not None and not beside:
+        return rows
+
+    def figures(prefix):
+        shown = [F.col(c).alias(name) for name, c in beside.get(prefix, {}).items()]
+        return totals.filter(F.col(SET) == sets.index(prefix)).select(*prefix, *shown)
+
+    finest = groups if rows is None else max(beside, key=len)
+    held = figures(finest)
+    for prefix in sorted(beside, key=len):
+        if prefix != finest:
+            held = attach(held, figures(prefix), prefix, list(beside[prefix]))
+    if rows is None:
+        return held
+    if len(beside) > 1:
+        held = write_down(held)
+    return attach(rows, held, finest, [name for names in beside.values() for name in names])
+
+
 def band_keys(df: DataFrame, groups: Sequence[str], typed: bool = False, summaries: bool = True) -> list[Column]:
     """Ascending sort keys that put every summary right after its group and the grand total last.
 
@@ -165,24 +193,12 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
             which = F.when(F.col(presence) > 0, which)
         out = _rows_of(totals, groups, [_row_struct(which, n, None, own, outputs), *structs], outputs)
     else:
-        # The totals are used more than once here, and are small beside the rows.
-        totals = write_down(totals) if totals is not None else None
-        level = lambda prefix: totals.filter(F.col(SET) == sets.index(prefix))
-        wanted = sorted(beside, key=len)
-        base = groups if not columns else (wanted[-1] if wanted else ())
-        rows = df.select(*groups, *[c for c in columns if c not in groups]) if columns else None
-        if wanted or not columns:
-            held = level(base).select(*base, *[F.col(c).alias(name) for name, c in beside.get(base, {}).items()])
-            for prefix in (p for p in wanted if p != base):
-                names = beside[prefix]
-                side = level(prefix).select(*prefix, *[F.col(c).alias(name) for name, c in names.items()])
-                held = attach(held, side, prefix, list(names))
-            names = [name for p in wanted for name in beside[p]]
-            rows = held if rows is None else attach(rows, write_down(held) if len(wanted) > 1 else held, base, names)
-        rows = rows.withColumns({LEVEL: F.lit(n), SUMMARY_NO: F.lit(None).cast("int")})
-        out = rows
+        if beside:
+            totals = write_down(totals)
+        out = _beside_rows(df, groups, columns, beside, totals, sets)
+        out = out.withColumns({LEVEL: F.lit(n), SUMMARY_NO: F.lit(None).cast("int")})
         if structs:
-            out = rows.unionByName(_rows_of(totals, groups, structs, outputs), allowMissingColumns=True)
+            out = out.unionByName(_rows_of(totals, groups, structs, outputs), allowMissingColumns=True)
     return in_order(out, groups, order_by, typed_sort, bool(summaries)) if ordered else out
 
 
