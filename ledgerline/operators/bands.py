@@ -17,7 +17,7 @@ from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.functions.scalars import text
 from ledgerline.operators.levels import SET, attach, level_totals
-from ledgerline.operators.ordering import group_keys, number_rows
+from ledgerline.operators.ordering import group_keys, number_rows, tie_break
 from ledgerline.session import write_down
 
 LEVEL, SUMMARY_NO = "level", "summary_no"
@@ -127,9 +127,10 @@ def band_keys(df: DataFrame, groups: Sequence[str], typed: bool = False, summari
 
 
 def in_order(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str | Column] = (),
-             typed: bool = False, summaries: bool = True) -> DataFrame:
-    """The rows of a band in report order."""
+             typed: bool = False, summaries: bool = True, columns: Sequence[str] = ()) -> DataFrame:
+    """The rows of a band in report order; rows equal in it are told apart by ``columns``."""
     keys = [*band_keys(rows, groups, typed, summaries), *order_by]
+    keys += tie_break(rows, columns) if keys else []
     return rows.orderBy(*keys) if keys else rows
 
 
@@ -199,7 +200,7 @@ def band(df: DataFrame, groups: Sequence[str], columns: Sequence[str] = (),
         out = out.withColumns({LEVEL: F.lit(n), SUMMARY_NO: F.lit(None).cast("int")})
         if structs:
             out = out.unionByName(_rows_of(totals, groups, structs, outputs), allowMissingColumns=True)
-    return in_order(out, groups, order_by, typed_sort, bool(summaries)) if ordered else out
+    return in_order(out, groups, order_by, typed_sort, bool(summaries), columns) if ordered else out
 
 
 def group_list(df: DataFrame, groups: Sequence[str], measures: Sequence[Measure] = (),

@@ -11,7 +11,7 @@ from ledgerline.functions import values as V
 from ledgerline.functions.aggregates import COMBINE, Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.levels import SET, level_totals
-from ledgerline.operators.ordering import distinct_first, number_rows
+from ledgerline.operators.ordering import distinct_first, number_rows, tie_break
 from ledgerline.session import write_down
 
 Pairs = Sequence[tuple[str, str]]
@@ -23,7 +23,7 @@ def records(driving: DataFrame, where: Sequence[Condition] = (), group_by: Seque
     found = filter_all(driving, *where)
     if group_by:
         found = distinct_first(found, group_by, order_by or group_by)
-    return found.orderBy(*order_by) if order_by else found
+    return found.orderBy(*order_by, *tie_break(found, found.columns)) if order_by else found
 
 
 def _keyed(recs: DataFrame, other: DataFrame, on: Pairs) -> tuple[DataFrame, DataFrame, list[str]]:

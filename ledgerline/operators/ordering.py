@@ -16,6 +16,16 @@ def group_keys(df: DataFrame, group: str, typed: bool = False) -> list[Column]:
     return [F.col(group)] if typed else [V.null_text(df, group), F.col(group)]
 
 
+def tie_break(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """A last sort key for orders that may have ties: a hash of the row.
+
+    Equal sort keys fall into one range and so into one task; with the hash, the rows of a hot
+    group spread over many, and come out in the same order every time.
+    """
+    hashable = [c for c in columns if "map<" not in df.schema[c].dataType.simpleString()]
+    return [F.xxhash64(*hashable)] if hashable else []
+
+
 def distinct_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """O3: the first row of every key tuple; null is a key value of its own.
 
@@ -37,14 +47,14 @@ def preview(df: DataFrame, order_by: Sequence[str | Column], limit: int = 20) ->
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_no") -> DataFrame:
-    """M3: dense positions from 0 in a total order, without gathering the rows in one task.
+    """M3: dense positions from 0 in sort order, without gathering the rows in one task.
 
     Rows are sorted by range and written once; a row's position is the count of all earlier
     parts, one number per part, plus its place within its own part. The write pins the parts:
     recomputed ones could cut the ranges elsewhere.
     """
     pinned = write_down(
-        df.orderBy(*order_by).select("*", F.spark_partition_id().alias("__part"),
+        df.orderBy(*order_by, *tie_break(df, df.columns)).select("*", F.spark_partition_id().alias("__part"),
                                      F.monotonically_increasing_id().alias("__at")))
     in_part = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = {r["__part"]: r["n"] for r in pinned.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}

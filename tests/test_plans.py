@@ -13,7 +13,7 @@ from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.bands import GROUP, Summary, band, detail_list, group_list
 from ledgerline.operators.blocks import correlate
 from ledgerline.operators.drill import drill_rows
-from ledgerline.operators.ordering import distinct_first, preview
+from ledgerline.operators.ordering import distinct_first, number_rows, preview
 from ledgerline.operators.relations import join_on
 from ledgerline.reports import REPORTS
 
@@ -171,3 +171,15 @@ def test_hot_keys_of_the_padded_side_are_split(spark, hot, tiny_skew, how):
     matched = hot.filter("k < 400").count()
     missing = few.join(hot, F.col("j") == F.col("k"), "left_anti").count()
     assert out.count() == matched + missing + (30_000 - matched if how == "FULL" else 0)
+
+
+def test_a_hot_group_is_sorted_in_many_parts(hot, tiny_skew):
+    out = detail_list(hot, ["k"], ["id"])
+    parts = out.withColumn("p", F.spark_partition_id()).filter("k = 1").groupBy("p").count().collect()
+    assert len(parts) > 3 and sum(r["count"] for r in parts) == hot.filter("k = 1").count()
+
+
+def test_positions_are_the_same_every_time(hot, many_parts):
+    tied = hot.withColumn("m", F.map_from_arrays(F.array("k"), F.array("v"))).drop("v")
+    first, second = (number_rows(tied, ["k"]).select("id", "row_no").orderBy("id").collect() for _ in range(2))
+    assert first == second and sorted(r.row_no for r in first) == list(range(30_000))
