@@ -63,7 +63,11 @@ AGGREGATES: dict[str, Rule] = {
 
 def register_aggregate(name: str, direct: Callable[[Column], Column], *, numeric: bool = True,
                        parts=None, finish=None) -> None:
-    """G1: ``direct`` turns the operand into an aggregate Column (built-in or grouped pandas UDF)."""
+    """G1: ``direct`` turns the operand into an aggregate Column of built-in functions.
+
+    With ``parts`` and ``finish`` the aggregate is merged from partial results named as in
+    :data:`COMBINE`, which lets subtotals be built from their finest groups.
+    """
     AGGREGATES[name] = Rule(direct, parts, finish, numeric)
 
 

@@ -12,6 +12,16 @@ from ledgerline.sources.sinks import cells_of
 from ledgerline.operators.ordering import number_rows
 
 
+def _placed(rows: DataFrame, fields: Sequence[str], order_by: Sequence[str | Column] | None,
+            position: str) -> DataFrame:
+    """Records with their positions; only what is shown or sorted by is written down."""
+    if order_by is None:
+        return rows
+    if all(isinstance(c, str) for c in order_by):
+        rows = rows.select(*dict.fromkeys([*fields, *order_by]))
+    return number_rows(rows, order_by, position)
+
+
 def transpose(rows: DataFrame, fields: Sequence[str], order_by: Sequence[str | Column] | None = None,
               position: str = "position") -> DataFrame:
     """M4: long cells ``(field, position, num, text, flag)`` of the records in order.
@@ -19,15 +29,14 @@ def transpose(rows: DataFrame, fields: Sequence[str], order_by: Sequence[str | C
     Subtotals and totals (M5) and merge spans (M6) are columns or rows of ``rows`` already, so
     they move along. Without ``order_by``, ``rows`` already carry ``position``.
     """
-    placed = rows if order_by is None else number_rows(rows, order_by, position)
-    return cells_of(placed, [position], fields, column="field")
+    return cells_of(_placed(rows, fields, order_by, position), [position], fields, column="field")
 
 
 def transpose_wide(rows: DataFrame, fields: Sequence[str], width: int,
                    order_by: Sequence[str | Column] | None = None,
                    position: str = "position") -> DataFrame:
     """M4 with one output column per record; more than ``width`` records fail rather than drop."""
-    placed = rows if order_by is None else number_rows(rows, order_by, position)
+    placed = _placed(rows, fields, order_by, position)
     checked = F.when(F.col(position) < width, F.col(position)).otherwise(
         F.raise_error(F.lit(f"more than {width} records: use transpose")).cast("bigint"))
     shown = F.inline(F.array(*[
