@@ -24,7 +24,7 @@ def cell(v):
     return repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.REPORTS))
 def test_report_agrees_with_sql(spark, oracle, name):
     df = E.queries()[name](spark, DATA)
     columns = sorted(df.columns)
@@ -41,4 +41,4 @@ def test_entry(spark):
 
 
 def test_every_report_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.REPORTS) <= set(E.queries()) & set(E.oracle_sql())
