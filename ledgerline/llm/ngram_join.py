@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
 from ledgerline.llm.shingles import shingle_set
+from ledgerline.llm.texts import map_texts
 from ledgerline.session import write_down
 
 WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
@@ -28,36 +27,37 @@ def linked(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _class_id(tokens: np.ndarray) -> str | None:
+def _class_id(tokens: np.ndarray) -> int | None:
+    """64 bits by which sets are told apart; null for the empty set."""
     import xxhash
 
-    return xxhash.xxh3_128_hexdigest(tokens.tobytes()) if len(tokens) else None
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64)) if len(tokens) else None
 
 
 def _signatures(width: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()  # of this task: of equal sets, one sends its tokens on
-        for batch in batches:
-            classes, sizes, heads = [], [], []
-            for text in batch["text"]:
+    def start():
+        seen: set[int] = set()  # of this task: of equal sets, one sends its tokens on
+
+        def work(texts):
+            out = {"class": [], "n": [], "head": []}
+            for text in texts:
                 tokens = shingle_set(text, width)
                 n, name = len(tokens), _class_id(tokens)
                 needed = n - least_overlap(n, percent) + 1
-                heads.append(None if name is None or name in seen else tokens[:needed + needed // 2])
+                out["head"].append(None if name is None or name in seen else tokens[:needed + needed // 2])
                 seen.add(name)
-                classes.append(name)
-                sizes.append(n)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"],
-                                "class": classes, "n": sizes, "head": heads})
-    return run
+                out["class"].append(name)
+                out["n"].append(n)
+            return out
+        return work
+    return start
 
 
 def _token_sets(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"class": [_class_id(s) for s in sets], "n": [len(s) for s in sets], "tokens": sets})
-    return run
+    def work(texts):
+        sets = [shingle_set(t, width) for t in texts]
+        return {"class": [_class_id(s) for s in sets], "n": [len(s) for s in sets], "tokens": sets}
+    return lambda: work
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -65,8 +65,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     without words); ``head`` holds the tokens of least hash that a search needs, and half as many
     again, and is null for repeats of a class in a task."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return keyed.mapInPandas(_signatures(width, percent),
-                             "doc_id long, text_key long, class string, n long, head array<long>")
+    return map_texts(keyed, "class long, n long, head array<long>", _signatures(width, percent))
 
 
 def postings(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -77,12 +76,12 @@ def postings(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     out as many of its most frequent tokens as its head is longer than needed. A token of one class
     leads nowhere and is dropped before anything is joined by it.
     """
-    heads = signed.where("head is not null").select("class", "n", F.size("head").alias("head_n"), F.explode("head").alias("token"))
-    often = heads.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    shared = heads.join(often.select("token"), "token").distinct()
-    shared = write_down(shared)
+    heads = signed.where("head is not null").select("class", F.explode("head").alias("token"))
+    often = heads.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+    shared = write_down(heads.join(often, "token").distinct())
     counts = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = shared.join(counts, "token")
+    sizes = signed.where("head is not null").select("class", "n", F.size("head").alias("head_n")).distinct()
+    held = shared.join(counts, "token").join(sizes, "class")
     needed = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     alone = F.col("head_n") - F.count("*").over(Window.partitionBy("class"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
@@ -113,7 +112,7 @@ def star_links(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
 
 def _open_groups(percent: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[str, str]] = set()
+        found: set[tuple[int, int]] = set()
         if len(queries) and len(members):
             union = np.unique(np.concatenate(members["held"].to_list()))
             sets = list(zip(members["theirs"], members["m"], members["held"], strict=True))
@@ -129,7 +128,7 @@ def _open_groups(percent: int):
                     if linked(len(np.intersect1d(kept, held, assume_unique=True)), n, m, percent):
                         found.add((own, theirs))
                         joined.add(theirs)
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -148,7 +147,7 @@ def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: i
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low != high").select("token")
     placed = write_down(placed.join(open_tokens, "token"))
-    members = placed.groupBy("class", "component", "n").agg(F.max(F.struct("df", "token"))["token"].cast("string").alias("anchor"))
+    members = placed.groupBy("class", "component", "n").agg(F.max(F.struct("df", "token"))["token"].alias("anchor"))
     grouped = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component") \
         .withColumn("anchor", F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("anchor"))) \
         .withColumn("scale", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
@@ -171,12 +170,12 @@ def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: i
         .select(F.col("group").alias("g"), F.col("part").alias("p"), F.col("class").alias("name"),
                 F.col("component").alias("theirs"), F.col("n").alias("m"), "held")
     return asking.groupBy("group", "part").cogroup(asked.groupBy("g", "p")) \
-        .applyInPandas(_open_groups(percent), "a string, b string")
+        .applyInPandas(_open_groups(percent), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` (its set's size) and ``component_id``, the
-    least ``doc_id`` that links reach from it, itself included.
+    """One row per document: ``doc_id``, ``n_shingles`` (its set's size), ``component_id`` (the least
+    ``doc_id`` that links reach from it, itself included) and ``text_key``, a hash of its text.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``width``-word
     shingles, words being lower-cased (A-Z) runs without white space; a text of fewer words is one
@@ -193,7 +192,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     found = write_down(found.select(F.col("at.id").alias("id"), F.col("at.text_key").alias("text_key")).distinct())
     texts = docs.select("text", F.xxhash64("text").alias("text_key"), F.coalesce("doc_id", F.lit(-1)).alias("id")) \
         .join(found, ["text_key", "id"], "left_semi").select("text")
-    sets = texts.mapInPandas(_token_sets(width), "class string, n long, tokens array<long>")
+    sets = map_texts(texts, "class long, n long, tokens array<long>", _token_sets(width))
     sets = write_down(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
     stars = components(star_links(posts, sets, percent), "a", "b")
     more = components(matrix_links(posts, sets, stars, percent), "a", "b")
@@ -205,5 +204,6 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .join(classes, "class", "left")
     by_root = least.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("least").alias("component_id"))
     by_class = least.select("class", F.coalesce("root", "class").alias("root")).join(by_root, "root").select("class", "component_id")
-    return signed.select("doc_id", "class", F.col("n").alias("n_shingles")).join(by_class, "class", "left") \
-        .select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return signed.select("doc_id", "class", "text_key", F.col("n").alias("n_shingles")).join(by_class, "class", "left") \
+        .select("doc_id", "n_shingles", least_id.alias("component_id"), "text_key")
