@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.decontamination import contamination
+from ledgerline.llm.host_reputation import ORACLE_SQL as URL_SQL
+from ledgerline.llm.host_reputation import Rule, judge_urls
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import ORACLE_SQL as LINE_SQL
 from ledgerline.llm.line_templates import drop_recurring_lines
@@ -50,6 +52,19 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+URL_RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+             Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
+
+
+@query(URL_SQL)
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is bad if the label of its number says toxic or of low quality."""
+    labels = _table(spark, sf_dir, "labels").where("toxic is not null or quality is not null")
+    bad = ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("rate")
+
+
 @query()
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
