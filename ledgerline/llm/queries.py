@@ -15,6 +15,7 @@ from ledgerline.llm.line_templates import ORACLE_SQL as LINE_SQL
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import jaccard_groups
+from ledgerline.llm.personal_data import find_personal_data, listed_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +40,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed_spans(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 @query()
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
