@@ -16,6 +16,8 @@ from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import jaccard_groups
 from ledgerline.llm.personal_data import find_personal_data, listed_spans
+from ledgerline.llm.warc import ORACLE_SQL as WARC_SQL
+from ledgerline.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,6 +60,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+@query(WARC_SQL)
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
 URL_RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
              Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
