@@ -15,6 +15,7 @@ from ledgerline.llm.line_templates import ORACLE_SQL as LINE_SQL
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import jaccard_groups
+from ledgerline.llm.passages import repeated_passages
 from ledgerline.llm.personal_data import find_personal_data, listed_spans
 from ledgerline.llm.warc import ORACLE_SQL as WARC_SQL
 from ledgerline.llm.warc import round_trip
@@ -52,6 +53,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query()
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
