@@ -13,9 +13,11 @@ from ledgerline.llm.texts import map_texts
 from ledgerline.session import write_down
 
 WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
+LEAST_HEAD = 8   # tokens of a small set that are all looked at
 STARS = 4        # leaders that each document is held against before the matrix
 GROUP = 32       # documents in a group of the matrix
-QUERIES = 256    # queries that open one group in one task
+BUNDLE = 8       # groups of one kind that a query is sent to at once
+QUERIES = 512    # queries that meet one bundle in one task
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -44,7 +46,7 @@ def _signatures(width: int, percent: int):
                 tokens = shingle_set(text, width)
                 n, name = len(tokens), _class_id(tokens)
                 needed = n - least_overlap(n, percent) + 1
-                out["head"].append(None if name is None or name in seen else tokens[:needed + needed // 2])
+                out["head"].append(None if name is None or name in seen else tokens[:max(LEAST_HEAD, needed + needed // 2)])
                 seen.add(name)
                 out["class"].append(name)
                 out["n"].append(n)
@@ -113,21 +115,20 @@ def star_links(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
 def _open_groups(percent: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
-        if len(queries) and len(members):
-            union = np.unique(np.concatenate(members["held"].to_list()))
-            sets = list(zip(members["theirs"], members["m"], members["held"], strict=True))
-            least = int(members["m"].min())
-            for own, n, tokens in zip(queries["component"], queries["n"], queries["tokens"], strict=True):
+        groups = {}
+        for group, rows in members.groupby("g"):
+            union = np.unique(np.concatenate(rows["held"].to_list()))
+            groups[group] = union, int(rows["m"].min()), list(zip(rows["theirs"], rows["m"], rows["held"], strict=True))
+        for own, n, tokens, asked in zip(*[queries[c] for c in ("component", "n", "tokens", "groups")], strict=True):
+            for union, least, sets in (groups[g] for g in asked):
                 kept = tokens[np.isin(tokens, union, assume_unique=True)]
-                if len(kept) < least_overlap(max(n, least), percent):
+                if 100 * len(kept) < percent * (n + max(n, least) - len(kept)):
                     continue  # the union bounds the overlap with every document of the group
-                joined = {own}
                 for theirs, m, held in sets:
-                    if theirs in joined or m < n or 100 * n < percent * m:
+                    if theirs == own or m < n or 100 * n < percent * m or (own, theirs) in found:
                         continue
                     if linked(len(np.intersect1d(kept, held, assume_unique=True)), n, m, percent):
                         found.add((own, theirs))
-                        joined.add(theirs)
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
     return run
 
@@ -137,7 +138,8 @@ def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: i
 
     The documents still in question are partitioned into groups of similar ones: by component, else
     by the most frequent token they are looked up under, then by size, in parts of about ``GROUP``.
-    The matrix holds which tokens each group's documents are found under. A document no larger than a
+    The matrix holds which tokens each group's documents are found under; a query goes to ``BUNDLE``
+    groups of one kind at once. A document no larger than a
     group's largest meets the group if it shares such a token; the group's token union then bounds
     its overlap with any document there, and only groups that may reach the limit are opened. A link
     to a component that is already joined is not looked for again.
@@ -154,22 +156,23 @@ def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: i
     counts = grouped.groupBy("anchor", "scale").agg(F.count("*").alias("size"))
     grouped = grouped.drop("size").join(counts, ["anchor", "scale"]) \
         .withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP)))
-    grouped = write_down(grouped.select("class", "component", "n", F.xxhash64("anchor", "scale", "part").alias("group")))
-    sizes = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+    grouped = write_down(grouped.select("class", "component", "n", F.xxhash64("anchor", "scale", "part").alias("group"),
+                                        F.xxhash64("anchor", "scale", F.expr(f"part div {BUNDLE}")).alias("bundle")))
+    sizes = grouped.groupBy("group", "bundle").agg(F.min("n").alias("least"), F.max("n").alias("most"),
                                          F.min("component").alias("low"), F.max("component").alias("high"))
     matrix = placed.join(grouped.select("class", "group"), "class").select("token", "group").distinct().join(sizes, "group")
     meets = placed.join(matrix, "token").where(
         (F.col("n") <= F.col("most")) & (F.col("n") * 100 >= F.col("least") * percent)
         & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))))
-    meets = write_down(meets.select("class", "component", "n", "group").distinct())
-    parts = meets.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    asking = meets.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))) \
-        .join(sets.select("class", "tokens"), "class").select("group", "part", "class", "component", "n", "tokens")
-    asked = grouped.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
+    meets = write_down(meets.groupBy("class", "component", "n", "bundle").agg(F.collect_set("group").alias("groups")))
+    parts = meets.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    asking = meets.join(parts, "bundle").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))) \
+        .join(sets.select("class", "tokens"), "class").select("bundle", "part", "component", "n", "tokens", "groups")
+    asked = grouped.join(parts, "bundle").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
         .join(sets.select("class", F.col("tokens").alias("held")), "class") \
-        .select(F.col("group").alias("g"), F.col("part").alias("p"), F.col("class").alias("name"),
+        .select(F.col("bundle").alias("d"), F.col("part").alias("p"), F.col("group").alias("g"),
                 F.col("component").alias("theirs"), F.col("n").alias("m"), "held")
-    return asking.groupBy("group", "part").cogroup(asked.groupBy("g", "p")) \
+    return asking.groupBy("bundle", "part").cogroup(asked.groupBy("d", "p")) \
         .applyInPandas(_open_groups(percent), "a long, b long")
 
 
