@@ -87,7 +87,7 @@ def postings(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     needed = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     alone = F.col("head_n") - F.count("*").over(Window.partitionBy("class"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
-    return held.withColumns({"rank": rank, "keep": F.least(needed, "head_n") - alone}).where("rank <= keep") \
+    return held.withColumns({"rank": rank, "keep": F.col("head_n") - F.least(F.floor(needed / 2), F.col("head_n") - needed) - alone}).where("rank <= keep") \
         .select("class", "n", "token", "df")
 
 
