@@ -14,6 +14,7 @@ from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import ORACLE_SQL as LINE_SQL
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
+from ledgerline.llm.multi_index import nearest
 from ledgerline.llm.ngram_join import jaccard_groups
 from ledgerline.llm.passages import repeated_passages
 from ledgerline.llm.personal_data import find_personal_data, listed_spans
@@ -43,6 +44,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query()
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed_spans(find_personal_data(_table(spark, sf_dir, "documents")))
