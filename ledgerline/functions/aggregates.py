@@ -49,7 +49,8 @@ def _count_values(value: Column) -> Column:
 
 
 AGGREGATES: dict[str, Rule] = {
-    "SUM": Rule(F.sum, lambda v: {"total": F.sum(v)}, lambda p: p["total"]),
+    # Doubles are added, so that sums of integers cannot overflow.
+    "SUM": Rule(lambda v: F.sum(v.cast("double")), lambda v: {"total": F.sum(v.cast("double"))}, lambda p: p["total"]),
     "AVG": Rule(lambda v: F.avg(v.cast("double")), lambda v: {"total": F.sum(v.cast("double")), "n": F.count(v)},
                 lambda p: F.try_divide(p["total"], p["n"])),
     "MIN": Rule(F.min, lambda v: {"low": F.min(v)}, lambda p: p["low"]),
@@ -112,9 +113,11 @@ class Measure:
 
 
 def first_values(df: DataFrame, take: Mapping[str, str | Column], order_by: Sequence[str | Column]) -> DataFrame:
-    """Cells without an aggregate, taken from the first row; one row of nulls over no rows."""
+    """Cells without an aggregate, taken from the first row in an order of
+    any directions; one row of nulls over no rows."""
     values = F.struct(*[V.col_of(c).alias(name) for name, c in take.items()])
-    first = df.agg(F.min_by(values, F.struct(*order_by)).alias("first"))
+    top = df.orderBy(*order_by).limit(1).select(values.alias("first"))
+    first = top.agg(F.first("first").alias("first"))
     return first.select(*[F.col(f"first.{name}").alias(name) for name in take])
 
 

@@ -108,11 +108,11 @@ SQL_PREDICATES: dict[str, Predicate] = {
        for op, f in V.COMPARE.items()},
     "CONTAINS": lambda df, left, right: F.contains(left.cast("string"), F.lit(right)),
     "NOT_CONTAINS": lambda df, left, right: ~F.contains(left.cast("string"), F.lit(right)),
-    "IN": lambda df, left, right: left.isin(_items(right)),
-    "NOT_IN": lambda df, left, right: ~left.isin(_items(right)),
+    "IN": lambda df, left, right: F.when(left.isNotNull(), is_in(df, left, right)),
+    "NOT_IN": lambda df, left, right: F.when(left.isNotNull(), ~is_in(df, left, right)),
     "IS_NULL": lambda df, left, right=None: left.isNull(),
     "IS_NOT_NULL": lambda df, left, right=None: left.isNotNull(),
-    "BETWEEN": lambda df, left, right: left.between(*_items(right)[:2]),
+    "BETWEEN": lambda df, left, right: F.when(left.isNotNull(), between(df, left, right)),
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,13 @@ def format_date(df: DataFrame, value, pattern: str) -> Column:
     """dates, timestamps and ISO text by pattern; any other text stays, null gives empty text."""
     value = _column(value)
     found = V.kind(df, value)
-    if found in (V.DATE, V.DATETIME):
-        return F.coalesce(F.date_format(value, pattern), F.lit(""))
     shown = V.plain_text(df, value)
     # A pattern with time letters cannot show a bare date, whose text then stays.
     wants_time = re.search("[aAhHkKmnNsS]", re.sub("'[^']*'", "", pattern)) is not None
+    if found == V.DATETIME or found == V.DATE and not wants_time:
+        return F.coalesce(F.date_format(value, pattern), F.lit(""))
+    if found == V.DATE:
+        return F.coalesce(value.cast("string"), F.lit(""))
     moment = F.when(shown.rlike(ISO_DATETIME), shown.try_cast("timestamp_ntz"))
     formatted = [F.date_format(moment, pattern)]
     if not wants_time:
@@ -85,20 +88,34 @@ def if_else(df: DataFrame, *args) -> Column:
     return F.when(truthy(df, args[0]), yes).otherwise(no)
 
 
+@dataclass(frozen=True)
+class NumberShape:
+    """How a cell format shows numbers: the power of ten they are scaled by, the digits after the
+    point, whether thousands are separated, and what follows."""
+    scale: int
+    digits: int
+    grouped: bool
+    unit: str
+
+    @classmethod
+    def of(cls, pattern: str) -> NumberShape:
+        point = re.search(r"\.(.*)", pattern)
+        return cls(2 if "%" in pattern else 0, sum(c in "0#" for c in point[1]) if point else 0, "," in pattern, "%" * ("%" in pattern))
+
+    def show(self, number: Column) -> Column:
+        # Halves go up, unlike in number patterns, so the digits are settled before they are laid out.
+        settled = F.round(number.cast("double") * 10 ** self.scale, self.digits)
+        layout = ("#,##0" if self.grouped else "0") + "." * (self.digits > 0) + "0" * self.digits
+        return F.concat(F.call_function("format_number", settled, F.lit(layout)), F.lit(self.unit))
+
+
 def display_format(df: DataFrame, value, pattern: str | None) -> Column:
-    """decimals, thousands separators and percent scaling read from a cell format."""
+    """numbers in the shape of a cell format; text that is no number stays, null stays null."""
     value = _column(value)
+    shown = V.display_text(df, value)
     if not pattern:
-        return V.display_text(df, value)
-    percent = "%" in pattern
-    shown = V.number(df, value).cast("double") * (100 if percent else 1)
-    _, dot, fraction = pattern.partition(".")
-    decimals = len(re.findall("[0#]", fraction)) if dot else 0
-    whole = "#,##0" if "," in pattern else "0"
-    java = whole + ("." + "0" * decimals if decimals else "")
-    # Half-up first: display rounding differs from the half-even rounding of number patterns.
-    return F.concat(F.call_function("format_number", F.round(shown, decimals), F.lit(java)),
-                    F.lit("%" if percent else ""))
+        return shown
+    return F.coalesce(NumberShape.of(pattern).show(V.number(df, value)), F.when(value.isNotNull(), shown))
 
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {

@@ -17,7 +17,7 @@ from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.functions.scalars import text
 from ledgerline.operators.levels import SET, attach, level_totals
-from ledgerline.operators.ordering import group_keys, number_rows, tie_break
+from ledgerline.operators.ordering import distinct_first, group_keys, number_rows, tie_break
 from ledgerline.session import write_down
 
 LEVEL, SUMMARY_NO = "level", "summary_no"
@@ -218,11 +218,12 @@ def detail_list(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
 
 def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str] = (),
                 spans: dict[str, str] | Sequence[str] | None = None,
-                deepest_summary: str | None = None) -> DataFrame:
+                deepest_summary: str | None = None, typed_sort: bool = False) -> DataFrame:
     """M1, M2: how many list rows each merged cell covers and which row carries it.
 
-    ``rows`` are list rows, ``order_by`` names the columns that make their ascending order total
-    within a group (none for rows that are groups themselves). ``spans`` maps an
+    ``rows`` are list rows, ``order_by`` names the columns that make their order total within a group
+    (``-name`` for descending; none for rows that are groups themselves). ``typed_sort`` is that of the
+    list. ``spans`` maps an
     output name to the group column whose prefix it repeats over (a coarse aggregate names its
     ``per`` group); by default every group column. ``deepest_summary`` is the innermost group with
     a subtotal, which cuts the runs. Adds ``<name>__span`` and ``<name>__head``.
@@ -241,10 +242,17 @@ def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str]
             (f"{name}__span", F.lit(1).cast("bigint")), (f"{name}__head", F.lit(True)))})
 
     def least(columns: Sequence[Column]) -> Column:
-        return columns[0] if len(columns) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+        return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])  # nulls come first in it
 
-    at = least([F.col(c) for c in order_by]) if order_by else F.lit(0)
+    names = [c.removeprefix("-") for c in order_by]
+    at = least([F.col(c) for c in names]) if order_by else F.lit(0)
     finest = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__at"))
+    if names != list(order_by):
+        order = [F.col(n).desc() if c != n else F.col(n).asc() for c, n in zip(order_by, names, strict=True)]
+        top = distinct_first(rows.select(*dict.fromkeys([*groups, *names])), groups, order)
+        top = top.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)], at.alias("__at"))
+        match = V.all_of(F.col(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups))
+        finest = finest.drop("__at").join(top, match).drop(*[f"__k{i}" for i in range(len(groups))])
     beside = finest
     added = {}
     for n in sorted(set(length.values())):
@@ -252,7 +260,8 @@ def merge_spans(rows: DataFrame, groups: Sequence[str], order_by: Sequence[str]
         if n == len(groups):
             beside = beside.withColumns({f"__n{n}": F.col("__n"), f"__first{n}": F.lit(True)})
             continue
-        place = least([*[c for g in groups[n:] for c in (V.null_text(finest, g), F.col(g))], F.col("__at")])
+        # The groups below tell all rows of the prefix apart, so the first of them is its first row's.
+        place = least([c for g in groups[n:] for c in group_keys(finest, g, typed_sort)])
         runs = finest.groupBy(*groups[:n]).agg(F.sum("__n").alias(f"__n{n}"), F.min(place).alias("__least"))
         runs = runs.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups[:n])], f"__n{n}", "__least")
         match = V.all_of(F.col(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups[:n]))

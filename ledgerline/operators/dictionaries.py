@@ -17,10 +17,11 @@ def dictionary(df: DataFrame, entries: Sequence[tuple]) -> DataFrame:
 
 
 def map_codes(df: DataFrame, column: str, codes: DataFrame | Sequence[tuple] | Mapping | None,
-              into: str) -> DataFrame:
+              into: str, latest: str | None = None) -> DataFrame:
     """adds ``into`` with the label of ``column``'s code, else its text; null stays null.
 
-    A frame of codes must hold each code once. It is joined from the left, so Spark broadcasts it
+    Of a frame's rows with one code, that of the greatest ``latest`` column counts (without one, of the
+    greatest label). The frame is joined from the left, so Spark broadcasts it
     where its measured size allows and splits hot codes where not. An unknown dictionary (None)
     leaves every value.
     """
@@ -32,7 +33,8 @@ def map_codes(df: DataFrame, column: str, codes: DataFrame | Sequence[tuple] | M
         codes = list(codes.items())
     if not isinstance(codes, DataFrame):
         codes = dictionary(df, codes)
-    codes = codes.select(F.col("code").cast("string").alias("__code"), F.col("label").alias("__label"))
+    codes = codes.groupBy(F.col("code").cast("string").alias("__code")).agg(
+        F.max_by("label", latest or "label").alias("__label"))
     if V.kind(df, column) == V.NUMBER:
         # A number finds its own spelling (1.0) before the whole one (1); both are one number.
         value = F.col("__code").try_cast("double")

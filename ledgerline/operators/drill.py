@@ -10,29 +10,41 @@ from pyspark.sql import functions as F
 from ledgerline.functions.values import all_of, any_of
 from ledgerline.operators.ordering import distinct_first
 
-FEW_CELLS = 100
-
 
 def drill_rows(df: DataFrame, cells: DataFrame | Sequence[Mapping], keys: Sequence[str]) -> DataFrame:
     """The rows of ``df`` that make up the chosen cells; no keys means a grand total.
 
-    A few cells become a filter that reaches the scan. A frame of cells, of any size, is joined;
-    Spark broadcasts it where its measured size allows and splits hot keys where not.
+    A list of cells becomes one filter of typed, null-safe literals, however long it is, and reaches
+    the scan. A frame of cells, of any size, is joined; Spark broadcasts it where its measured size
+    allows and splits hot keys where not.
     """
     if not keys:
         return df
     if not isinstance(cells, DataFrame):
-        if len(cells) <= FEW_CELLS:
-            return df.filter(any_of(
-                all_of(F.col(k).isNull() if c[k] is None else F.col(k) == F.lit(c[k]) for k in keys)
-                for c in cells))
-        schema = df.select(*keys).schema
-        cells = df.sparkSession.createDataFrame([tuple(c[k] for k in keys) for c in cells], schema)
+        return df.filter(_any_cell(df, [tuple(c[k] for k in keys) for c in cells], keys))
     side = cells.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     match = all_of(F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))
     return df.join(side, match, "left_semi")
 
 
+def _any_cell(df: DataFrame, cells: list[tuple], keys: Sequence[str]) -> Column:
+    """Whether a row is in one of the cells: those that differ in the last key only share a list of it."""
+    *before, last = keys
+    kind = df.schema[last].dataType
+    shared: dict[tuple, list] = {}
+    for *head, value in cells:
+        shared.setdefault(tuple(head), []).append(value)
+    hits = []
+    for head, values in shared.items():
+        known = [F.lit(v).cast(kind) for v in values if v is not None]
+        at = any_of([*([F.col(last).isNotNull() & F.col(last).isin(known)] if known else []),
+                     *([F.col(last).isNull()] if len(known) < len(values) else [])])
+        hits.append(all_of([*[F.col(k).eqNullSafe(F.lit(v).cast(df.schema[k].dataType)) for k, v in zip(before, head, strict=True)], at]))
+    while len(hits) > 1:  # in pairs, so that the expression stays flat
+        hits = [any_of(hits[i:i + 2]) for i in range(0, len(hits), 2)]
+    return hits[0] if hits else F.lit(False)
+
+
 def drill_view(rows: DataFrame, fields: Sequence[str], primary_key: Sequence[str] = (),
                order_by: Sequence[str | Column] = ()) -> DataFrame:
     """One dataset's fields of the drilled rows, the first row per primary key.

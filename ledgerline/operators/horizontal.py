@@ -43,6 +43,5 @@ def transpose_wide(rows: DataFrame, fields: Sequence[str], width: int,
         F.struct(F.lit(i).alias("__no"), F.lit(f).alias("field"),
                  V.display_text(placed, f).alias("__shown")) for i, f in enumerate(fields)]))
     cells = placed.select(checked.alias("__at"), shown)
-    wide = cells.groupBy("__no", "field").agg(*[
-        F.max(F.when(F.col("__at") == p, F.col("__shown"))).alias(f"c{p}") for p in range(width)])
-    return wide.orderBy("__no").drop("__no")
+    wide = cells.groupBy("__no", "field").pivot("__at", list(range(width))).agg(F.max("__shown"))
+    return wide.orderBy("__no").select("field", *[F.col(f"`{p}`").alias(f"c{p}") for p in range(width)])

@@ -93,6 +93,26 @@ def kpi_first_row(t):
                         ["o_orderdate", "o_orderkey"])
 
 
+@report("""
+    SELECT o_orderkey AS last_order, o_totalprice AS price
+    FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1
+""")
+def kpi_last_row(t):
+    found = filter_all(t.orders, Condition("o_orderstatus", "EQ", "F"))
+    return first_values(found, {"last_order": "o_orderkey", "price": "o_totalprice"}, [F.desc("o_orderdate"), F.desc("o_orderkey")])
+
+
+@report("""
+    SELECT o_orderstatus, round(SUM(CAST(o_orderkey AS DOUBLE) * 4503599627370496) / 1e15, 3) AS total
+    FROM orders GROUP BY o_orderstatus
+""")
+def sum_large_integers(t):
+    # Integers near the end of their range: their sum is beyond it.
+    large = t.orders.select("o_orderstatus", (F.col("o_orderkey") * F.lit(1 << 52)).alias("large"))
+    out = group_list(large, ["o_orderstatus"], [Measure("total", "SUM", "large")])
+    return out.withColumn("total", F.round(F.col("total") / 1e15, 3))
+
+
 @report("""
     SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS mean,
            CAST(0 AS DOUBLE) AS low, CAST(0 AS BIGINT) AS n_customers

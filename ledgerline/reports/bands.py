@@ -8,7 +8,7 @@ from ledgerline.operators.bands import (
     GROUP, Summary, band, band_positions, detail_list, group_list, merge_spans,
 )
 from ledgerline.operators.ordering import number_rows
-from ledgerline.reports.catalogue import report, rounded
+from ledgerline.reports.catalogue import nulled, report, rounded
 from ledgerline.reports.joins import model
 
 SALES_SQL = """
@@ -154,6 +154,19 @@ def merged_cells(t):
                        deepest_summary="p_type")
 
 
+@report("""
+    SELECT p_size, p_brand, p_partkey, COUNT(*) OVER (PARTITION BY p_size) AS p_size__span,
+           ROW_NUMBER() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey DESC) = 1 AS p_size__head,
+           COUNT(*) OVER (PARTITION BY p_size, p_brand) AS p_brand__span,
+           ROW_NUMBER() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey DESC) = 1 AS p_brand__head
+    FROM (SELECT nullif(p_size, 10) AS p_size, p_brand, p_partkey FROM part)
+""")
+def spans_typed(t):
+    # Sizes sort as numbers, the parts of a brand from the last to the first.
+    return merge_spans(nulled(t.part, "p_size", 10).select("p_size", "p_brand", "p_partkey"), ["p_size", "p_brand"], ["-p_partkey"],
+                       typed_sort=True)
+
+
 @report("""
     WITH g AS (SELECT p_type, p_brand, COUNT(*) AS n FROM part GROUP BY p_type, p_brand)
     SELECT p_type, p_brand, SUM(n) OVER (PARTITION BY p_type)::BIGINT AS n_type,

@@ -68,6 +68,36 @@ def flags_with_totals(t):
     return rounded(out, "value", digits=6)
 
 
+@report("""
+    WITH grid AS (SELECT * FROM (SELECT DISTINCT o_orderstatus FROM orders) CROSS JOIN (SELECT o_orderkey FROM orders))
+    SELECT g.o_orderstatus, g.o_orderkey, coalesce(o_totalprice, 0.0) AS price
+    FROM grid g LEFT JOIN orders o ON g.o_orderstatus = o.o_orderstatus AND g.o_orderkey = o.o_orderkey
+""")
+def crosstab_dense_many(t):
+    # A header for each order: the grid has no limit.
+    return crosstab_cells(t.orders, ["o_orderstatus"], "o_orderkey", [Measure("price", "SUM", "o_totalprice")])
+
+
+@report("""
+    WITH d AS (SELECT n_name, n_regionkey, c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    grid AS (SELECT * FROM (SELECT DISTINCT n_name, n_regionkey FROM d) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM d))
+    SELECT g.n_name, g.n_regionkey, g.c_mktsegment, 'cell' AS margin, coalesce(round(SUM(c_acctbal), 2), 0.0) AS value
+    FROM grid g LEFT JOIN d ON g.n_name = d.n_name AND g.c_mktsegment = d.c_mktsegment
+    GROUP BY g.n_name, g.n_regionkey, g.c_mktsegment
+    UNION ALL
+    SELECT n_name, n_regionkey, NULL, 'row_total', CAST(COUNT(*) AS DOUBLE) FROM d GROUP BY n_name, n_regionkey
+    UNION ALL
+    SELECT NULL, NULL, c_mktsegment, 'column_total', round(SUM(c_acctbal), 2) FROM d GROUP BY c_mktsegment
+    UNION ALL
+    SELECT NULL, NULL, NULL, 'grand_total', round(SUM(c_acctbal), 2) FROM d
+""")
+def crosstab_attr_totals(t):
+    df = join_on(t.customer, t.nation, [("c_nationkey", "n_nationkey")], right_unique=True)
+    out = crosstab_totals(df, ["n_name", "n_regionkey"], "c_mktsegment", Measure("balance", "SUM", "c_acctbal"),
+                          row_total=Measure("n", "COUNT"))
+    return rounded(out, "value")
+
+
 @report("""
     WITH d AS (SELECT n_name, n_regionkey, c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
     grid AS (SELECT * FROM (SELECT DISTINCT n_name, n_regionkey FROM d) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM d))

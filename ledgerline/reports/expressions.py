@@ -12,6 +12,15 @@ from ledgerline.operators.dictionaries import map_codes
 from ledgerline.reports.catalogue import nulled, report, rounded
 
 
+A.register_aggregate("SPREAD", lambda v: F.max(v) - F.min(v),
+                     parts=lambda v: {"low": F.min(v), "high": F.max(v)}, finish=lambda p: p["high"] - p["low"])
+A.register_aggregate("TRUE_COUNT", F.count_if, numeric=False, parts=lambda v: {"n": F.count_if(v)}, finish=lambda p: p["n"])
+A.register_aggregate("DEVIATION", F.stddev_samp)
+C.register_predicate("MATCHES", lambda df, left, right: F.coalesce(left.rlike(right), F.lit(False)))
+S.register_function("mask", lambda df, value, keep: F.concat(
+    F.substring(value, 1, keep), F.regexp_replace(F.substr(value, F.lit(keep + 1)), "[0-9]", "*")))
+
+
 @report("""
     SELECT c_custkey,
            'No. ' || CAST(c_custkey AS VARCHAR) || ' (' || coalesce(nullif(c_mktsegment, 'BUILDING'), '') || '): '
@@ -98,6 +107,17 @@ def map_dictionary(t):
     return df.select("o_orderkey", "status", "priority", "unmapped")
 
 
+@report("""
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status
+    FROM orders
+""")
+def map_dictionary_frame(t):
+    # Codes given twice: the later entry counts, and no row is repeated.
+    codes = t.orders.sparkSession.createDataFrame(
+        [("F", "old", 1), ("F", "finished", 2), ("O", "open", 5), ("O", "waiting", 4)], "code string, label string, entered int")
+    return map_codes(t.orders, "o_orderstatus", codes, "status", latest="entered").select("o_orderkey", "status")
+
+
 @report("""
     SELECT l_orderkey, l_linenumber, l_partkey, format('{:,.2f}', l_extendedprice) AS price,
            format('{:.0f}', l_discount * 100) || '%' AS discount,
@@ -130,11 +150,6 @@ def agg_expression(t):
     FROM customer GROUP BY c_mktsegment
 """)
 def custom_aggregate(t):
-    A.register_aggregate("SPREAD", lambda v: F.max(v) - F.min(v),
-                         parts=lambda v: {"low": F.min(v), "high": F.max(v)}, finish=lambda p: p["high"] - p["low"])
-    A.register_aggregate("TRUE_COUNT", F.count_if, numeric=False,
-                         parts=lambda v: {"n": F.count_if(v)}, finish=lambda p: p["n"])
-    A.register_aggregate("DEVIATION", F.stddev_samp)
     out = group_list(t.customer, ["c_mktsegment"], [
         Measure("spread", "SPREAD", "c_acctbal"), Measure("rich", "TRUE_COUNT", F.col("c_acctbal") > 5000),
         Measure("deviation", "DEVIATION", "c_acctbal")])
@@ -145,7 +160,6 @@ def custom_aggregate(t):
     SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '0[0-4]$')
 """)
 def custom_predicate(t):
-    C.register_predicate("MATCHES", lambda df, left, right: F.coalesce(left.rlike(right), F.lit(False)))
     return C.filter_all(t.customer, Condition("c_name", "MATCHES", "0[0-4]$")).select("c_custkey", "c_name")
 
 
@@ -154,7 +168,5 @@ def custom_predicate(t):
     FROM supplier
 """)
 def custom_function(t):
-    S.register_function("mask", lambda df, value, keep: F.concat(
-        F.substring(value, 1, keep), F.regexp_replace(F.substr(value, F.lit(keep + 1)), "[0-9]", "*")))
     df = t.supplier
     return df.select("s_suppkey", S.call(df, "mask", F.col("s_name"), 9).alias("masked"))

@@ -110,6 +110,17 @@ def csv_customers(t):
                                     Field("c_acctbal", "NUMBER"), Field("c_mktsegment"), Field("c_comment")])
 
 
+@report("""
+    SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS c_name, c_acctbal FROM customer
+""")
+def csv_many_headers(t):
+    # Files with their columns in another order, one without the names, read as one.
+    path = new_path(t.spark)
+    t.customer.where("c_custkey % 2 = 0").select("c_name", "c_custkey", "c_acctbal").write.option("header", True).csv(f"{path}/even")
+    t.customer.where("c_custkey % 2 = 1").select("c_acctbal", "c_custkey").write.option("header", True).csv(f"{path}/odd")
+    return scan_csv(t.spark, [f"{path}/even", f"{path}/odd"], [Field("c_custkey", "NUMBER", primary_key=True), Field("c_name"), Field("c_acctbal", "NUMBER")])
+
+
 @report("""
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
     WHERE o_totalprice >= 200000 AND o_orderstatus = 'F'

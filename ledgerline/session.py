@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot key is split even where the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # What is written down compresses well; its size in memory decides whether it is broadcast.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def build_session(app: str = "ledgerline", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -29,24 +35,36 @@ def build_session(app: str = "ledgerline", master: str | None = None, **extra: s
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``, shared by all executors.
-
-    Only a local session without one gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
-    return context.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``, else one in the warehouse; all executors share either."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
 
 
 def new_path(spark: SparkSession) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{_shared_folder(spark).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    """A fresh folder name in the shared folder; the open :func:`scratch`, if any, removes it."""
+    path = f"{_shared_folder(spark).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    held = _written.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns what is written down while it is open, and removes it when it closes.
+
+    Frames are lazy, so whoever opens it consumes the results (writes or collects them) inside. Without
+    one, files stay until the shared folder is cleaned.
+    """
+    held: list[str] = []
+    token = _written.set(held)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in held:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def write_down(df: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +21,26 @@ def _texts(df: DataFrame) -> DataFrame:
     return df.select(*[F.nullif(trimmed(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in df.columns])
 
 
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files under ``path`` grouped by their first lines, which are read by tasks."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("no")).where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "no").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [[unquote(f) for f in r["files"]] for r in found]
+
+
 def scan_csv(spark: SparkSession, path: str | list[str], fields: Sequence[Field] | None = None,
              quote: str = '"', on_error: str = "raise") -> DataFrame:
     """Columns by header name, short lines and empty cells null, unreadable numbers fail.
 
-    ``quote=""`` takes quote characters as part of the text. Without ``fields`` every column is text.
+    Files with unlike headers are read apart and put together by name; a column that a file lacks is
+    null there. ``quote=""`` takes quote characters as part of the text. Without ``fields`` every column is text.
     """
-    raw = _texts(spark.read.option("header", True).option("quote", quote).option("mode", "PERMISSIVE").csv(path))
+    reader = spark.read.option("header", True).option("quote", quote).option("mode", "PERMISSIVE")
+    groups = _by_header(spark, path)
+    parts = [_texts(reader.csv(files)) for files in groups] if len(groups) > 1 else [_texts(reader.csv(path))]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return raw if fields is None else typed_projection(raw, fields, on_error)
 
 
@@ -65,9 +81,15 @@ def sql_dataset(spark: SparkSession, text: str, tables: Mapping[str, DataFrame],
     """S3: a SELECT over the given frames; parameters are bound by name, never pasted in."""
     if not text.lstrip().lower().startswith("select"):
         raise ValueError("a dataset text starts with SELECT")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args=dict(params or {}))
+    views = {name: f"v_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
+    try:  # the plan holds the frames, so the caller's views of these names stay as they are
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {named} {text}" if named else text, args=dict(params or {}))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def scan_workbooks(spark: SparkSession, path: str, fields: Sequence[Field], sheet_index: int = 0,

@@ -6,33 +6,52 @@ from pyspark.sql import functions as F
 from ledgerline.functions.aggregates import Measure
 from ledgerline.operators.crosstab import crosstab_cells, crosstab_totals, crosstab_wide
 
-SALES = [("East", "Q1", 100.0), ("East", "Q2", 200.0), ("West", "Q1", 150.0), ("West", "Q2", 250.0)]
-AMOUNT = Measure("amount", "SUM", "amount")
+# Litres that wells gave in three months, one of them dry in one.
+WATER = [("fern", "apr", 12.5), ("fern", "may", 8.0), ("fern", "jun", 0.5), ("moss", "apr", 31.0), ("moss", "jun", 7.25), ("moss", "jun", 2.0)]
+LITRES = Measure("litres", "SUM", "litres")
+
+
+def litres(well=None, month=None):
+    return sum(w[2] for w in WATER if well in (None, w[0]) and month in (None, w[1]))
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    return spark.createDataFrame(SALES, "region string, quarter string, amount double")
+def water(spark):
+    return spark.createDataFrame(WATER, "well string, month string, litres double")
+
+
+def test_grid(water, rows):
+    months = ("apr", "jun", "may")
+    assert rows(crosstab_cells(water, ["well"], "month", [LITRES])) == [(w, m, litres(w, m)) for w in ("fern", "moss") for m in months]
+    assert rows(crosstab_wide(water, ["well"], "month", LITRES, ["may", "apr", "jun"])) == [
+        (w, *[litres(w, m) for m in ("may", "apr", "jun")]) for w in ("fern", "moss")]
+    with pytest.raises(Exception, match="no column is given for this value of month: jun"):
+        crosstab_wide(water, ["well"], "month", LITRES, ["may", "apr"]).collect()
 
 
-def test_grid(sales, rows):
-    assert rows(crosstab_cells(sales, ["region"], "quarter", [AMOUNT])) == SALES
-    assert rows(crosstab_wide(sales, ["region"], "quarter", AMOUNT, ["Q1", "Q2"])) == [
-        ("East", 100.0, 200.0), ("West", 150.0, 250.0)]
+def test_margins(water, rows):
+    expected = []
+    for w in ("fern", "moss"):
+        expected += [(w, m, "cell", litres(w, m)) for m in ("apr", "jun", "may")] + [(w, None, "row_total", litres(w))]
+    expected += [(None, m, "column_total", litres(None, m)) for m in ("apr", "jun", "may")] + [(None, None, "grand_total", litres())]
+    assert rows(crosstab_totals(water, "well", "month", LITRES)) == expected
 
 
-def test_margins(sales, rows):
-    got = rows(crosstab_totals(sales, "region", "quarter", AMOUNT))
-    assert got == [("East", "Q1", "cell", 100.0), ("East", "Q2", "cell", 200.0), ("East", None, "row_total", 300.0),
-                   ("West", "Q1", "cell", 150.0), ("West", "Q2", "cell", 250.0), ("West", None, "row_total", 400.0),
-                   (None, "Q1", "column_total", 250.0), (None, "Q2", "column_total", 450.0),
-                   (None, None, "grand_total", 700.0)]
+def test_margins_have_aggregates_of_their_own(water, rows):
+    out = crosstab_totals(water, "well", "month", LITRES, Measure("n", "COUNT"), Measure("top", "MAX", "litres"),
+                          Measure("kinds", "COUNT_DISTINCT", "month"), dense=False)
+    assert [r[3] for r in rows(out.filter("margin <> 'cell'"))] == [3.0, 3.0, 31.0, 7.25, 8.0, 3.0]
 
 
-def test_margins_have_aggregates_of_their_own(sales, rows):
-    out = crosstab_totals(sales, "region", "quarter", AMOUNT, Measure("n", "COUNT"), Measure("top", "MAX", "amount"),
-                          Measure("kinds", "COUNT_DISTINCT", "quarter"), dense=False)
-    assert [r[3] for r in rows(out.filter("margin <> 'cell'"))] == [2.0, 2.0, 150.0, 250.0, 2.0]
+def test_margins_of_another_type_are_text(water, rows):
+    out = crosstab_totals(water, "well", "month", Measure("m", "MAX", "month", typed=True), Measure("n", "COUNT"))
+    assert [r[3] for r in rows(out.filter("well = 'moss'"))] == ["apr", "jun", None, "3"]
+
+
+def test_margins_with_row_attributes(water, rows):
+    df = water.withColumn("depth", F.length("well") * 10)
+    out = rows(crosstab_totals(df, ["well", "depth"], "month", LITRES))
+    assert out[3] == ("fern", 40, None, "row_total", 21.0) and out[-1] == (None, None, None, "grand_total", litres()) and len(out) == 12
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -54,20 +73,24 @@ def test_random_grid_with_missing_headers(spark, seed):
     assert cells == {(r, c, n) for r, c, _, n, _, _ in expected}
 
 
-def test_too_many_columns_fail_instead_of_being_cut(spark):
+def test_a_dense_grid_takes_any_number_of_headers(spark, monkeypatch):
+    monkeypatch.setattr("ledgerline.operators.crosstab.CHUNK", 7)
+    df = spark.range(40).select((F.col("id") % 3).alias("r"), F.when(F.col("id") != 5, F.col("id")).alias("c"))
+    cells = crosstab_cells(df, ["r"], "c", [Measure("n", "COUNT")]).collect()
+    assert len(cells) == 3 * 40 and sum(c.n for c in cells) == 40 and cells[0].c is None
+    assert crosstab_cells(df, ["r"], "c", [Measure("n", "COUNT")], dense=False).count() == 40
+
+
+def test_too_wide_a_table_fails_instead_of_being_cut(spark):
     df = spark.range(20).select(F.lit("r").alias("r"), F.col("id").alias("c"))
-    with pytest.raises(Exception, match="more than 5 values of c"):
-        crosstab_cells(df, ["r"], "c", [Measure("n", "COUNT")], max_columns=5).collect()
     with pytest.raises(ValueError, match="more than 5 values of c"):
         crosstab_wide(df, ["r"], "c", Measure("n", "COUNT"), max_columns=5)
-    assert crosstab_cells(df, ["r"], "c", [Measure("n", "COUNT")], dense=False, max_columns=5).count() == 20
 
 
 def test_row_attributes(spark, rows):
-    df = spark.createDataFrame([("Ann", "F", "math", 90.0), ("Bob", "M", "art", 70.0)],
-                               "name string, sex string, subject string, score double")
-    assert rows(crosstab_cells(df, ["name", "sex"], "subject", [Measure("score", "SUM", "score")])) == [
-        ("Ann", "F", "art", 0.0), ("Ann", "F", "math", 90.0), ("Bob", "M", "art", 70.0), ("Bob", "M", "math", 0.0)]
+    df = spark.createDataFrame([("oak", 7, "north", 2.5), ("yew", 3, "south", 4.0)], "tree string, age int, side string, height double")
+    assert rows(crosstab_cells(df, ["tree", "age"], "side", [Measure("height", "SUM", "height")])) == [
+        ("oak", 7, "north", 2.5), ("oak", 7, "south", 0.0), ("yew", 3, "north", 0.0), ("yew", 3, "south", 4.0)]
 
 
 def test_empty(spark):

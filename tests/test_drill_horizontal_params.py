@@ -26,31 +26,45 @@ def test_drill_by_chosen_cells(lines, rows):
     assert drill_rows(lines, many, ["kind", "id"]).count() == 2
 
 
+@pytest.mark.parametrize("cast", ["int", "double", "date", "string"])
+def test_drill_is_alike_for_few_and_many_cells(spark, cast):
+    df = spark.range(600).select(F.when(F.col("id") != 3, F.col("id")).alias("n"))
+    df = df.select((F.date_add(F.lit("2024-01-01"), F.col("n").cast("int")) if cast == "date" else F.col("n").cast(cast)).alias("v"), (F.col("n") % 2).alias("w"))
+    values = [r.v for r in df.orderBy("v").collect()]
+    for some in (values[:1], values[:5], values[:500]):
+        assert sorted(map(str, (r.v for r in drill_rows(df, [{"v": v} for v in some], ["v"]).collect()))) == sorted(map(str, some))
+    assert drill_rows(df, [{"v": v, "w": None} for v in values], ["v", "w"]).count() == 1
+    if cast == "double":
+        assert drill_rows(df, [{"v": 1}] * 101, ["v"]).count() == 1
+
+
 def test_drill_view_keeps_one_row_per_key_and_all_without(lines, rows):
     view = drill_view(lines, ["id", "name"], ["id"], ["kind"])
     assert sorted(rows(view), key=str) == [(1, "a"), (2, "b"), (None, "c"), (None, "c")]
     assert drill_view(lines, ["name"]).count() == 5
 
 
+LAPS = [("kite", 61.5, 0), ("lark", 58.25, 1), ("mole", 73.0, 2), ("newt", 66.0, 3)]
+
+
 @pytest.fixture(scope="module")
-def products(spark):
-    return spark.createDataFrame([("a", 5.0, 0), ("b", 3.0, 1), ("c", 4.0, 2)], "name string, price double, o int")
+def laps(spark):
+    return spark.createDataFrame(LAPS, "runner string, secs double, o int")
 
 
-def test_records_across_with_total(products, rows):
-    out = band(products, [], ["name", "price", "o"], summaries=[Summary(None, (Measure("price", "SUM", "price"),))],
-               order_by=["o"])
-    cells = transpose(band_positions(out, [], ["o"], name="position"), ["name", "price"]).orderBy("field", "position")
+def test_records_across_with_total(laps, rows):
+    out = band(laps, [], ["runner", "secs", "o"], summaries=[Summary(None, (Measure("secs", "SUM", "secs"),))], order_by=["o"])
+    cells = transpose(band_positions(out, [], ["o"], name="position"), ["runner", "secs"]).orderBy("field", "position")
     assert rows(cells, "field", "position", "num", "text") == [
-        ("name", 0, None, "a"), ("name", 1, None, "b"), ("name", 2, None, "c"), ("name", 3, None, None),
-        ("price", 0, 5.0, None), ("price", 1, 3.0, None), ("price", 2, 4.0, None), ("price", 3, 12.0, None)]
+        *[("runner", o, None, r) for r, _, o in LAPS], ("runner", 4, None, None),
+        *[("secs", o, s, None) for _, s, o in LAPS], ("secs", 4, sum(s for _, s, _ in LAPS), None)]
 
 
-def test_wide_records_fail_rather_than_drop(products, rows):
-    assert rows(transpose_wide(products, ["name", "price"], 4, ["o"])) == [
-        ("name", "a", "b", "c", None), ("price", "5", "3", "4", None)]
+def test_wide_records_fail_rather_than_drop(laps, rows):
+    assert rows(transpose_wide(laps, ["runner", "secs"], 5, ["o"])) == [
+        ("runner", "kite", "lark", "mole", "newt", None), ("secs", "61.5", "58.25", "73", "66", None)]
     with pytest.raises(Exception, match="more than 2 records"):
-        transpose_wide(products, ["name"], 2, ["o"]).collect()
+        transpose_wide(laps, ["runner"], 2, ["o"]).collect()
 
 
 def test_groups_merge_across(spark, rows):
@@ -92,6 +106,9 @@ def test_dictionary(spark, rows):
     both = map_codes(df, "n", [("1", "whole"), ("1.0", "spelled")], "l").orderBy("i")
     assert rows(both, "l")[:2] == [("spelled",), ("0",)]
     assert rows(map_codes(df, "n", None, "l").orderBy("i"), "l") == [("1",), ("0",), ("2.5",), (None,)]
+    twice = spark.createDataFrame([("1", "new", 2), ("1", "old", 1)], "code string, label string, at int")
+    for column in ("t", "n"):
+        assert rows(map_codes(df, column, twice, "l", latest="at").orderBy("i"), "l") == [("new",), ("0",), ("9" if column == "t" else "2.5",), (None,)]
 
 
 def test_text_with_aggregates(spark):

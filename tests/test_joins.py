@@ -12,22 +12,23 @@ from ledgerline.sources.schema import Field
 
 @pytest.fixture(scope="module")
 def sides(spark):
-    return (spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string"),
-            spark.createDataFrame([(1, "BA"), (1, "MA"), (2, "BA"), (9, "PhD")], "emp_id int, degree string"))
+    # Five boats and the trips of three of them; one trip is of a boat that is not here.
+    return (spark.createDataFrame([(k, f"boat {k}") for k in (10, 20, 30, 40, 50)], "hull int, boat string"),
+            spark.createDataFrame([(20, "out"), (20, "back"), (20, "tow"), (40, "out"), (50, "tow"), (77, "lost")], "of_hull int, trip string"))
 
 
-@pytest.mark.parametrize("how,count", [("INNER", 3), ("LEFT", 4), ("RIGHT", 4), ("FULL", 5), (None, 3)])
+@pytest.mark.parametrize("how,count", [("INNER", 5), ("LEFT", 7), ("RIGHT", 6), ("FULL", 8), (None, 5)])
 @pytest.mark.parametrize("unique", [False, True])
 def test_row_counts(sides, how, count, unique):
-    out = join_on(*sides, [("id", "emp_id")], how, left_unique=unique)
+    out = join_on(*sides, [("hull", "of_hull")], how, left_unique=unique)
     assert out.count() == count
-    assert out.filter("name is null").count() == (how in ("RIGHT", "FULL"))
-    assert out.filter("degree is null").count() == (how in ("LEFT", "FULL"))
+    assert out.filter("boat is null").count() == (how in ("RIGHT", "FULL"))
+    assert out.filter("trip is null").count() == 2 * (how in ("LEFT", "FULL"))
 
 
 def test_unknown_join(sides):
     with pytest.raises(ValueError, match="unknown join type"):
-        join_on(*sides, [("id", "emp_id")], "SEMI")
+        join_on(*sides, [("hull", "of_hull")], "SEMI")
 
 
 @pytest.mark.parametrize("how", ["INNER", "LEFT", "RIGHT", "FULL"])
