@@ -12,6 +12,21 @@ FIELDS = [Field("id", "NUMBER", primary_key=True), Field("name", alias="Name"),
           Field("active", "BOOLEAN"), Field("note")]
 
 
+def test_files_with_unlike_headers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("no,bird\n1,wren\n2,teal\n")
+    (tmp_path / "c.csv").write_text("bird,no\nknot,3\n")
+    (tmp_path / "d.csv").write_text("no,wing\n4,short\n")
+    got = R.scan_csv(spark, str(tmp_path), [Field("no", "NUMBER"), Field("bird"), Field("wing")]).collect()
+    assert sorted((r.no, r.bird, r.wing) for r in got) == [(1.0, "wren", None), (2.0, "teal", None), (3.0, "knot", None), (4.0, None, "short")]
+
+
+def test_sql_datasets_leave_the_callers_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("kept")
+    assert R.sql_dataset(spark, "SELECT id + :by AS id FROM kept", {"kept": spark.range(5)}, {"by": 1}).count() == 5
+    assert spark.table("kept").count() == 3
+    spark.catalog.dropTempView("kept")
+
+
 def test_csv_by_header_name(spark, rows, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text(' name , id ,price,active\nAnn , 1, 2.5 ,TRUE\n\n"Bob, Jr",2\nCy,3,,no\n')
