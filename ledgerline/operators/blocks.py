@@ -50,12 +50,19 @@ def _match(recs: DataFrame, found: DataFrame, keys: Sequence[str], names: Sequen
 
 
 def lookup(recs: DataFrame, other: DataFrame, on: Pairs, take: Mapping[str, str | Column],
-           order_by: Sequence[str | Column], where: Sequence[Condition] = ()) -> DataFrame:
+           order_by: Sequence[str | Column], where: Sequence[Condition] = (),
+           threshold: tuple[str, str, str] | None = None) -> DataFrame:
     """L3: values of the first matching row of ``other``, null without a match.
 
     ``on`` pairs record fields with fields of ``other``; ``where`` are its remaining conditions.
-    One row per key is kept before anything is joined.
+    One row per key is kept before anything is joined. ``threshold`` adds one inequality ``(other
+    field, op, record field)``, say the first row not before the record's date; the first row is then
+    the running least one in ``order_by``, which takes ascending columns.
     """
+    if threshold:
+        row = F.struct(*[V.col_of(c).alias(f"o{i}") for i, c in enumerate(order_by)], *[V.col_of(c).alias(name) for name, c in take.items()])
+        first = correlate(recs, other, on, [Measure("__first", "MIN", row, typed=True)], where, threshold)
+        return first.select(*recs.columns, *[F.col(f"__first.{name}").alias(name) for name in take])
     recs, other, keys = _keyed(recs, filter_all(other, *where), on)
     first = distinct_first(other, keys, order_by) if keys else other.orderBy(*order_by).limit(1)
     found = first.select(*keys, *[V.col_of(c).alias(name) for name, c in take.items()])
@@ -67,8 +74,18 @@ def correlate(recs: DataFrame, other: DataFrame, on: Pairs, measures: Sequence[M
     """L4: aggregates over the matching rows of ``other``, zeros without a match.
 
     ``threshold`` adds one inequality ``(other field, op, record field)`` with op GT, GE, LT, LE
-    or NE. ``other`` is aggregated by its key before it meets the records, so no pairs are formed.
+    or NE. ``other`` is aggregated by its key before it meets the records, so no pairs are formed. For
+    COUNT_DISTINCT, each value counts from its first position on, and so once (not with NE).
     """
+    distinct = [m for m in measures if threshold and m.rule.distinct]
+    if distinct:
+        rest = [m for m in measures if not m.rule.distinct]
+        out = correlate(recs, other, on, rest, where, threshold) if rest else recs
+        other = filter_all(other, *where)
+        for m in distinct:
+            counted = Measure(m.name, "COUNT", empty=m.empty)
+            out = correlate(out, _first_places(other, on, m, threshold), on, [counted], (), threshold)
+        return out.select(*recs.columns, *[m.name for m in measures])
     recs, other, keys = _keyed(recs, filter_all(other, *where), on)
     names = [m.name for m in measures]
     if threshold:
@@ -78,6 +95,45 @@ def correlate(recs: DataFrame, other: DataFrame, on: Pairs, measures: Sequence[M
     return out.withColumns({m.name: m.filled(F.col(m.name)) for m in measures})
 
 
+def _first_places(other: DataFrame, on: Pairs, measure: Measure, threshold: tuple[str, str, str]) -> DataFrame:
+    """A row per key and value, at the place from which on the value counts."""
+    field, op, _ = threshold
+    if op == "NE":
+        raise ValueError("COUNT_DISTINCT takes one of GT, GE, LT and LE")
+    place = F.struct(F.col(field).isNull(), F.col(field).alias("at"))  # a missing place is the greatest
+    pick = F.min if op in ("LT", "LE") else F.max
+    keys = [theirs for _, theirs in on]
+    kept = other.groupBy(*[F.col(k) for k in keys if k != field], *([F.col(field).alias("__same")] if field in keys else []),
+                         F.struct(measure.operand(other)).alias("__value")).agg(pick(place)["at"].alias(field))
+    return kept.select(*keys, *([field] if field not in keys else []))
+
+
+def correlate_between(recs: DataFrame, other: DataFrame, on: Pairs, measures: Sequence[Measure], field: str,
+                      low: str, high: str, where: Sequence[Condition] = ()) -> DataFrame:
+    """L4 over an interval: COUNT, SUM and AVG of the matching rows whose ``field`` lies from the record's
+    ``low`` to its ``high``, both included.
+
+    Each is the difference of two running totals, so no pairs are formed; sums are exact to the
+    rounding of the larger running total. A missing bound is the greatest value, an interval that ends
+    before it begins is empty, and other aggregates are refused.
+    """
+    if {m.how for m in measures} - {"COUNT", "SUM", "AVG"}:
+        raise ValueError("an interval takes COUNT, SUM and AVG")
+    parts = [p for i, m in enumerate(measures) for p in (
+        Measure(f"__s{i}", "SUM", m.of), Measure(f"__n{i}", "COUNT", None) if m.how == "COUNT" else
+        Measure(f"__n{i}", "SUM", V.number(other, m.of).isNotNull().cast("double")))]
+    upto = correlate(recs, other, on, parts, where, (field, "LE", high))
+    both = upto.withColumnsRenamed({p.name: f"{p.name}h" for p in parts})
+    both = correlate(both, other, on, parts, where, (field, "LT", low))
+    empty = F.coalesce(F.col(low) > F.col(high), F.col(low).isNull() & F.col(high).isNotNull())
+    apart = lambda name: F.when(empty, 0).otherwise(F.col(f"{name}h") - F.col(name))
+    found = {}
+    for i, m in enumerate(measures):
+        s, n = apart(f"__s{i}"), apart(f"__n{i}")
+        found[m.name] = {"COUNT": n, "SUM": m.filled(F.when(n > 0, s)), "AVG": m.filled(F.try_divide(s, n))}[m.how]
+    return both.select(*recs.columns, *[c.alias(name) for name, c in found.items()])
+
+
 def _either(part: str, a: Column, b: Column) -> Column:
     """Two partial results as one; a missing one leaves the other."""
     combine = COMBINE[part]

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.values import all_of, any_of
+from ledgerline.functions.predicates import Condition, filter_all
+from ledgerline.functions.values import COMPARE, all_of, any_of
 from ledgerline.operators.ordering import distinct_first
 
 
@@ -27,6 +28,22 @@ def drill_rows(df: DataFrame, cells: DataFrame | Sequence[Mapping], keys: Sequen
     return df.join(side, match, "left_semi")
 
 
+def drill_threshold(recs: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]], threshold: tuple[str, str, str],
+                    where: Sequence[Condition] = ()) -> DataFrame:
+    """D1 for a correlated figure with an inequality: the rows of ``other`` that make up the figure of any
+    of the chosen records. ``on`` pairs record fields with fields of ``other``; ``threshold`` is
+    ``(other field, op, record field)``. Keys are join keys and the inequality is tested on their pairs."""
+    field, op, bound = threshold
+    rows = filter_all(other, *where)
+    side = recs.select(*[F.col(mine).alias(f"__k{i}") for i, (mine, _) in enumerate(on)], F.col(bound).alias("__bound")).distinct()
+    joined = all_of(F.col(theirs).eqNullSafe(F.col(f"__k{i}")) for i, (_, theirs) in enumerate(on))
+    a, b = F.col(field), F.col("__bound")
+    # As in the figure, a missing value is the greatest.
+    missing = {"LT": a.isNotNull() & b.isNull(), "LE": b.isNull(), "GT": a.isNull() & b.isNotNull(), "GE": a.isNull(),
+               "NE": a.isNull() != b.isNull()}[op]
+    return rows.join(side, joined & (F.coalesce(COMPARE[op](a, b), F.lit(False)) | missing), "left_semi")
+
+
 def _any_cell(df: DataFrame, cells: list[tuple], keys: Sequence[str]) -> Column:
     """Whether a row is in one of the cells: those that differ in the last key only share a list of it."""
     *before, last = keys

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition
-from ledgerline.operators.blocks import block_rows, correlate, lookup, records
+from ledgerline.operators.blocks import block_rows, correlate, correlate_between, lookup, records
 from ledgerline.reports.catalogue import nulled, report, rounded
 
 
@@ -76,6 +76,42 @@ def loop_threshold(t):
     return rounded(out.select("c_custkey", "c_nationkey", "n", "total", "top", "low"), "total")
 
 
+@report("""
+    SELECT c_custkey, COUNT(DISTINCT o_orderpriority) AS n_kinds, COUNT(o_orderkey) AS n
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice >= c_acctbal * 20
+    WHERE c_acctbal > 5000 GROUP BY c_custkey
+""")
+def loop_threshold_distinct(t):
+    recs = rich(t).withColumn("floor", F.col("c_acctbal") * 20)
+    out = correlate(recs, t.orders, [("c_custkey", "o_custkey")], [
+        Measure("n_kinds", "COUNT_DISTINCT", "o_orderpriority"), Measure("n", "COUNT")], threshold=("o_totalprice", "GE", "floor"))
+    return out.select("c_custkey", "n_kinds", "n")
+
+
+@report("""
+    SELECT c_custkey, COUNT(o_orderkey) AS n, coalesce(round(SUM(o_totalprice), 2), 0.0) AS total
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice BETWEEN c_acctbal * 10 AND c_acctbal * 30
+    WHERE c_acctbal > 5000 GROUP BY c_custkey
+""")
+def loop_interval(t):
+    recs = rich(t).withColumn("low", F.col("c_acctbal") * 10).withColumn("high", F.col("c_acctbal") * 30)
+    out = correlate_between(recs, t.orders, [("c_custkey", "o_custkey")], [
+        Measure("n", "COUNT"), Measure("total", "SUM", "o_totalprice")], "o_totalprice", "low", "high")
+    return rounded(out.select("c_custkey", F.col("n").cast("long").alias("n"), "total"), "total")
+
+
+@report("""
+    SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= c_acctbal * 20
+      ORDER BY o_totalprice, o_orderkey LIMIT 1) AS next_order
+    FROM customer WHERE c_acctbal > 5000
+""")
+def lookup_as_of(t):
+    # The customer's cheapest order that is not below a price.
+    recs = rich(t).withColumn("floor", F.col("c_acctbal") * 20)
+    return lookup(recs, t.orders, [("c_custkey", "o_custkey")], {"next_order": "o_orderkey"}, ["o_totalprice", "o_orderkey"],
+                  threshold=("o_totalprice", "GE", "floor")).select("c_custkey", "next_order")
+
+
 @report("""
     SELECT a.o_orderkey, COUNT(b.o_orderkey) AS n_later, coalesce(round(SUM(b.o_totalprice), 2), 0.0) AS later_total
     FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate

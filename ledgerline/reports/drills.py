@@ -7,7 +7,7 @@ from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.bands import group_list
 from ledgerline.operators.blocks import records
 from ledgerline.operators.crosstab import crosstab_cells
-from ledgerline.operators.drill import drill_rows, drill_view
+from ledgerline.operators.drill import drill_rows, drill_threshold, drill_view
 from ledgerline.operators.relations import join_on
 from ledgerline.reports.catalogue import nulled, report
 
@@ -43,6 +43,17 @@ def drill_blocks(t):
     return drill_rows(counted, chosen, ["o_custkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@report("""
+    SELECT DISTINCT s_suppkey, s_name, s_acctbal FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal <= c_acctbal
+    WHERE c_custkey < 20
+""", name="drill_threshold")
+def drill_correlated(t):
+    # The suppliers behind the correlated figures of some customers.
+    chosen = records(t.customer, [Condition("c_custkey", "LT", 20)])
+    found = drill_threshold(chosen, t.supplier, [("c_nationkey", "s_nationkey")], ("s_acctbal", "LE", "c_acctbal"))
+    return found.select("s_suppkey", "s_name", "s_acctbal")
+
+
 @report("""
     SELECT p_partkey, p_brand, nullif(p_size, 10) AS p_size FROM part
     WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 10 GROUP BY p_brand HAVING COUNT(*) >= 2) AND p_size = 10

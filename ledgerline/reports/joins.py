@@ -35,7 +35,7 @@ def join_inner(t):
 """)
 def join_left(t):
     labels = t.labels.withColumnRenamed("doc_id", "label_doc")
-    return join_on(t.documents, labels, [("doc_id", "label_doc")], "LEFT").select("doc_id", "lang", "quality")
+    return join_on(t.documents, labels, [("doc_id", "label_doc")], "LEFT", right_unique=True).select("doc_id", "lang", "quality")
 
 
 @report("""
@@ -43,7 +43,7 @@ def join_left(t):
 """)
 def join_right(t):
     labels = t.labels.withColumnRenamed("doc_id", "label_doc")
-    return join_on(labels, t.documents, [("label_doc", "doc_id")], "RIGHT").select("quality", "doc_id", "source")
+    return join_on(labels, t.documents, [("label_doc", "doc_id")], "RIGHT", left_unique=True).select("quality", "doc_id", "source")
 
 
 @report("""
@@ -54,7 +54,7 @@ def join_right(t):
 def join_full(t):
     docs = t.documents.filter("lang = 'en'")
     labels = t.labels.filter("quality = 1").withColumnRenamed("doc_id", "label_doc")
-    return join_on(docs, labels, [("doc_id", "label_doc")], "FULL").select("doc_id", "label_doc", "n_chars", "toxic")
+    return join_on(docs, labels, [("doc_id", "label_doc")], "FULL", left_unique=True, right_unique=True).select("doc_id", "label_doc", "n_chars", "toxic")
 
 
 @report("""

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition
-from ledgerline.operators.blocks import block_rows, correlate, lookup, records
+from ledgerline.operators.blocks import block_rows, correlate, correlate_between, lookup, records
+from ledgerline.operators.drill import drill_threshold
 
 STAFF = [(1, "Ann", "active"), (2, "Bob", "left"), (3, "Cy", "active"), (4, "Di", None)]
 PAY = [("1", 100.0, 10.0, 1), ("3", 300.0, 30.0, 2), ("1.0", 50.0, 5.0, 0), ("x", 1.0, 1.0, 3)]
@@ -92,3 +93,25 @@ def test_block_rows(staff, rows):
     out = block_rows(active, block, ["id"]).orderBy("row_no")
     assert rows(out, "row_no", "a", "b")[:2] == [(0, "name", "id"), (1, "Ann", "1")]
     assert rows(out, "row_no", "a", "b")[4:6] == [(4, "name", "id"), (5, "Cy", "3")] and out.count() == 8
+
+def test_intervals_distinct_counts_and_lookups_follow_a_nested_loop(spark, many_parts):
+    rng = random.Random(17)
+    recs = [(i, rng.choice(["a", "hot", None]), rng.choice([None, *range(9)]), rng.choice([None, *range(9)])) for i in range(25)]
+    other = [(rng.choice(["a", "hot", "hot", "hot", None, "z"]), rng.choice([None, *range(9)]), rng.choice([None, 1.0, 2.0, 4.0]), n) for n in range(120)]
+    left = spark.createDataFrame(recs, "i int, k string, low int, high int")
+    right = spark.createDataFrame(other, "ok string, at int, v double, n int")
+    great = lambda x: (x is None, x or 0)
+    ops = {"LT": lambda a, b: a < b, "LE": lambda a, b: a <= b, "GT": lambda a, b: a > b, "GE": lambda a, b: a >= b}
+    for op, holds in ops.items():
+        out = correlate(left, right, [("k", "ok")], [Measure("d", "COUNT_DISTINCT", "v"), Measure("c", "COUNT")], threshold=("at", op, "low"))
+        first = lookup(left, right, [("k", "ok")], {"n": "n"}, ["n"], threshold=("at", op, "low"))
+        hits = {r[0]: [o for o in other if o[0] == r[1] and holds(great(o[1]), great(r[2]))] for r in recs}
+        assert {r.i: (r.d, r.c) for r in out.collect()} == {i: (len({o[2] for o in h}), len(h)) for i, h in hits.items()}
+        assert {r.i: r.n for r in first.collect()} == {i: min((o[3] for o in h), default=None) for i, h in hits.items()}
+        behind = drill_threshold(left.where("i < 4"), right, [("k", "ok")], ("at", op, "low")).collect()
+        assert sorted(r.n for r in behind) == sorted({o[3] for i in range(4) for o in hits[i]})
+    inside = correlate_between(left, right, [("k", "ok")], [Measure("c", "COUNT"), Measure("s", "SUM", "v"), Measure("m", "AVG", "v")], "at", "low", "high")
+    for r in inside.collect():
+        found = [o for o in other if o[0] == r.k and great(r.low) <= great(o[1]) <= great(r.high)]
+        values = [o[2] for o in found if o[2] is not None]
+        assert (r.c, r.s, r.m) == (len(found), sum(values), sum(values) / len(values) if values else 0)
