@@ -29,6 +29,7 @@ NULL_TEXT = "null"
 NUMBER_SHAPE = r"^\s*[+-]?(NaN|Infinity|((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?))\s*$"
 
 # Everything up to and including the space counts as blank when text is trimmed.
+# The characters trimmed, and the names of the comparisons.
 BLANKS = "".join(map(chr, range(0x21)))
 
 COMPARE: dict[str, Callable] = {
