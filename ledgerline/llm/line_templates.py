@@ -13,23 +13,45 @@ CONSTANT = 75      # per cent of a generalised template's tokens that stay
 LEAST_CONSTANT = 4
 COPY_SHARE = 80    # per cent of a text's tokens that recur, from which it counts as a copy
 FIELD = "<*>"
-_SPACE = r"[\x20\x09-\x0D]+"
+WORDS = 1 << 16    # of 64 bits each, in a set of keys that is sent to all tasks
 
 
-def masked_line(line: Column) -> Column:
-    """The line's tokens, one space apart; a token with a digit or an at sign is a variable field."""
-    spaced = F.trim(F.regexp_replace(line, _SPACE, " "))
-    return F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+", FIELD)
+def spaced_line(line: Column) -> Column:
+    """The line's tokens, one space apart."""
+    odd = line.rlike(r"[\x09-\x0D]|^\x20|\x20\x20|\x20$")
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def masked(spaced: Column) -> Column:
+    """Tokens with a digit or an at sign become variable fields."""
+    fields = F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+", FIELD)
+    return F.when(spaced.rlike("[0-9@]"), fields).otherwise(spaced)
+
+
+def _word(key: Column) -> Column:
+    return F.pmod(F.shiftright(key, 6), F.lit(WORDS))
+
+
+def _bits(keys: DataFrame, key: str) -> DataFrame:
+    """The keys as ``WORDS`` words of bits at most, some bits standing for several keys: less than a
+    megabyte, whatever the number of keys, to pick rows that may match before they are shuffled."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(key), F.lit(64)).cast("int"))
+    return F.broadcast(keys.groupBy(_word(F.col(key)).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def _may_match(key: Column) -> Column:
+    return F.coalesce(F.getbit("_bits", F.pmod(key, F.lit(64)).cast("int")) == 1, F.lit(False))
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
     """``text_key, line_no, masked, n_tokens, leaf`` of every line with tokens; a leaf of the tree holds
     the lines of one token count that begin with the same tokens."""
     lines = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("text_key", "line_no", masked_line(F.col("line")).alias("masked")).where("masked != ''")
-    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    lines = lines.select("text_key", "line_no", spaced_line(F.col("line")).alias("spaced")).where("spaced != ''")
+    tokens = F.length("spaced") - F.length(F.replace("spaced", F.lit(" "))) + 1
     return lines.withColumn("n_tokens", tokens) \
-        .withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)))
+        .withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("spaced", " ", LEADING)))) \
+        .select("text_key", "line_no", masked(F.col("spaced")).alias("masked"), "n_tokens", "leaf")
 
 
 def _texts(lines: DataFrame, *key: str) -> DataFrame:
@@ -54,8 +76,9 @@ def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``text_key, gone``: the line numbers (from 0) that go from each text that loses any."""
     lines = tree_lines(docs)
-    leaves = _texts(lines, "leaf").where(F.col("texts") >= min_docs).select("leaf")
-    lines = write_down(lines.join(leaves, "leaf", "left_semi"))
+    leaves = write_down(_texts(lines, "leaf").where(F.col("texts") >= min_docs).select("leaf"))
+    some = lines.join(_bits(leaves, "leaf"), _word(F.col("leaf")) == F.col("_word")).where(_may_match(F.col("leaf"))).drop("_word", "_bits")
+    lines = write_down(some.join(leaves, "leaf", "left_semi"))
     named = lines.join(write_down(line_templates(lines, min_docs)), "masked").where(
         F.replace(F.replace("template", F.lit(FIELD)), F.lit(" ")) != "")
     recurring = _texts(named, "template").where(F.col("texts") >= min_docs).select("template")
@@ -77,8 +100,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """
     text_key, kept = F.xxhash64("text"), [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    gone = recurring_lines(docs, min_docs).select(F.col("text_key").alias("_key"), F.col("gone").alias("_gone"), F.col("gone_tokens").alias("_tokens"))
-    joined = docs.select(*kept).withColumn("_key", text_key).join(gone, "_key", "left")
+    gone = write_down(recurring_lines(docs, min_docs).select(
+        F.col("text_key").alias("_key"), F.col("gone").alias("_gone"), F.col("gone_tokens").alias("_tokens")))
+    # Texts that surely lose nothing are not shuffled.
+    keyed = docs.select(*kept).withColumn("_key", text_key)
+    keyed = keyed.join(_bits(gone, "_key"), _word(F.col("_key")) == F.col("_word"), "left").withColumn("_may", _may_match(F.col("_key"))) \
+        .drop("_word", "_bits")
+    none = [F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in ("_gone", "_tokens")]
+    joined = keyed.where("_may").join(gone, "_key", "left").unionByName(keyed.where("not _may").select("*", *none))
     whole = F.col("_gone").isNull() | (F.col("_tokens") * 100 >= tokens * COPY_SHARE)
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
