@@ -14,7 +14,7 @@ from ledgerline.llm.shingles import mix
 from ledgerline.llm.texts import map_texts
 
 BUCKETS = 1 << 15   # n-grams of one to three characters are hashed into so many features
-SAMPLE = 1500       # training texts a language, those of least hash
+SAMPLE = 1000       # training texts a language, those of least hash; so many are picked before any shuffle
 EPOCHS = 4
 NONE = "und"
 
@@ -161,7 +161,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, opt: FTRL = FTRL(), epochs:
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     first = Window.partitionBy("lang").orderBy("h")
     ids = rows.select("lang", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("lang", "h").distinct()
-    texts = rows.join(ids, ["lang", "h"], "left_semi").withColumn("r", F.row_number().over(
+    # At most ``sample`` pairs of numbers and names a language: small enough to be sent to all tasks.
+    texts = rows.join(F.broadcast(ids), ["lang", "h"], "left_semi").withColumn("r", F.row_number().over(
         Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("r") <= sample).drop("r")
     fitted = texts.repartition(1).mapInPandas(_trainer(idf, opt, epochs), "languages array<string>, temperature double, "
                                               "features array<long>, weights array<double>").first()
