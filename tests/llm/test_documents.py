@@ -119,6 +119,35 @@ def test_passages_are_found_wherever_they_stand(spark, documents):
     assert all(set(words[s:e]) <= set(passage) for s, e in got[3].removed)
 
 
+def test_passages_link_without_the_first_of_a_bucket(spark, documents):
+    """Of a, b, c, each pair shares a run that the third lacks, in many mixed groups."""
+    rows, expected = [], set()
+    for g in range(40):
+        ab, bc, ac = (prose(4000 + 3 * g + k, 30) for k in range(3))
+        for k, parts in enumerate(((ab, ac), (ab, bc), (bc, ac))):
+            rows.append((3 * g + k, " ".join(prose(5000 + 9 * g + k, 25) + parts[0] + prose(6000 + 9 * g + k, 25) + parts[1])))
+            expected.add((3 * g + k, 2, k))
+    assert {(r.doc_id, r.n_repeated, r.n_removed) for r in repeated_passages(documents(rows)).collect()} == expected
+
+
+def own_words(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def test_removed_words_are_the_whole_passage(spark, documents):
+    rows, expected = [], {}
+    for k, n in enumerate((18, 19, 30, 51, 100, 1000)):
+        for copy in range(3):
+            before = own_words(f"b{k}-{copy}-", 7 + 31 * copy)
+            rows.append((3 * k + copy, " ".join(before + own_words(f"p{k}-", n) + own_words(f"a{k}-{copy}-", 12))))
+            if n >= 19:
+                expected[3 * k + copy] = [(len(before), len(before) + n)] if copy else []
+    rows += [(50, rows[11][1]), (None, rows[11][1])]
+    expected |= {i: [(0, len(rows[11][1].split()))] for i in (50, None)}
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in repeated_passages(documents(rows)).collect()}
+    assert got == expected
+
+
 def test_every_passage_has_its_own_paragraph():
     for seed in range(60):
         passage = prose(seed, 51)
