@@ -148,6 +148,23 @@ def test_removed_words_are_the_whole_passage(spark, documents):
     assert got == expected
 
 
+def test_near_copies_with_a_changed_word_go_as_a_whole(spark, documents):
+    rows, expected = [], {}
+    for k in range(30):
+        passage = own_words(f"p{k}-", 51)
+        for copy, middle in enumerate(([passage[25]], ["changed"], [], ["two", "more"])[:2 + 2 * (k % 2)]):
+            before, text = own_words(f"b{k}-{copy}-", 7 + 11 * copy), passage[:25] + middle + passage[26:]
+            rows.append((4 * k + copy, " ".join(before + text + own_words(f"a{k}-{copy}-", 12))))
+            start, end = len(before), len(before) + len(text)
+            # 42 of 52 shingles are shared if a word is changed, 42 of 51 if it is gone, 42 of 53 if it became two.
+            expected[4 * k + copy] = [] if not copy else [(start, end)] if copy < 3 else [(start, start + 25), (start + 27, end)]
+    # Other words between: no link, and what is between stays.
+    rows += [(1000, " ".join(own_words("q", 51))), (1001, " ".join(own_words("q", 25) + own_words("between", 9) + own_words("q", 51)[26:]))]
+    expected |= {1000: [], 1001: [(0, 25), (34, 59)]}
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in repeated_passages(documents(rows)).collect()}
+    assert got == expected
+
+
 def test_every_passage_has_its_own_paragraph():
     for seed in range(60):
         passage = prose(seed, 51)
