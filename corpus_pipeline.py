@@ -13,7 +13,7 @@ from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import NONE, held_out, predict, train
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
-from ledgerline.llm.ngram_join import jaccard_groups
+from ledgerline.llm.ngram_join import rooted_groups
 from ledgerline.session import write_down
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those of which no language is likelier than all others."""
+    """Documents without letters go, and those of which no language is likelier than all others; the latter
+    stay if no row has a language to learn from."""
     model = train(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     judged = predict(docs.withColumn("whole", F.col("text")), model, "doc_id", "whole", "lang", "source", "n_chars")
     return judged.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SCORE)) \
         .withColumnRenamed("whole", "text").select(*COLUMNS)
@@ -41,8 +44,12 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of Jaccard 0.8 on five-word shingles join, that of least doc_id stays, once."""
-    stays = jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of documents that links of Jaccard 0.8 on five-word shingles join, that of least doc_id stays, once:
+    null ids come last, and of equal ids the text's hash decides. Documents without words stay."""
+    groups = rooted_groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+    stays = groups.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.text_key") \
+        .unionByName(groups.where("root is null").select("doc_id", "text_key"))
     return _keyed(docs).join(_keyed_ids(stays), ["id", "text_key"], "left_semi") \
         .dropDuplicates(["id", "text_key"]).select(*COLUMNS)
 

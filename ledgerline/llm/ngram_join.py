@@ -187,6 +187,11 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     the same answer; other columns are ignored; an empty table gives an empty result. No pair of
     equal sets is built, and a group of near copies is joined by stars around leaders.
     """
+    return rooted_groups(docs, width, percent).drop("root")
+
+
+def rooted_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """:func:`jaccard_groups` with ``root``, the component's key whatever the ids: null without shingles only."""
     signed = write_down(signatures(docs, width, percent))
     posts = write_down(postings(signed, percent))
     wanted = posts.select("class").distinct()
@@ -206,7 +211,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     least = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")) \
         .join(classes, "class", "left")
     by_root = least.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("least").alias("component_id"))
-    by_class = least.select("class", F.coalesce("root", "class").alias("root")).join(by_root, "root").select("class", "component_id")
+    by_class = least.select("class", F.coalesce("root", "class").alias("root")).join(by_root, "root").select("class", "component_id", "root")
     least_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return signed.select("doc_id", "class", "text_key", F.col("n").alias("n_shingles")).join(by_class, "class", "left") \
-        .select("doc_id", "n_shingles", least_id.alias("component_id"), "text_key")
+        .select("doc_id", "n_shingles", least_id.alias("component_id"), "text_key", "root")

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import drop_recurring_lines
@@ -249,6 +250,22 @@ def test_sainte_lague_takes_the_highest_quotients():
         assert sainte_lague(votes, seats, most) == [sum(i == p for _, p in ranked) for i in range(len(votes))]
 
 
+def test_one_document_of_each_group_stays(spark, documents):
+    a, b, c, d = (near_copies(seed, 3, 90, 1) for seed in (21, 22, 23, 24))
+    changed = [" ".join([f"w{k}", *t.split()[1:]]) for group in (a, b, c) for k, t in enumerate(group)]
+    rows = [(None, t) for t in changed[:3]] + [(7, t) for t in changed[3:6]] + [(None, changed[6]), (9, changed[7]), (8, changed[8])]
+    rows += [(10 + k, t) for k, t in enumerate(d[:1])] + [(20, None), (21, ""), (21, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, documents(rows), "").collect()]
+    assert sorted(map(str, (i for i, _ in got))) == sorted(map(str, (None, 7, 8, 10, 20, 21)))
+    assert dict(got)[None] in changed[:3] and dict(got)[7] in changed[3:6]
+
+
+def test_language_stage_without_languages_keeps_documents_with_letters(spark, documents):
+    rows = [(1, "some words", None, "s"), (2, "été", None, "s"), (3, "12 :: 34", None, "s"), (4, None, None, "s"), (None, "no id", "aa", "s")]
+    got = corpus_pipeline.known_language(spark, documents(rows), "")
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
+
+
 @pytest.mark.parametrize("operator", [jaccard_groups, repeated_passages, drop_recurring_lines, identify, find_personal_data, mix])
 def test_empty_table(spark, documents, operator):
     assert operator(documents(EMPTY)).collect() == []
