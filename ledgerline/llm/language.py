@@ -14,7 +14,7 @@ from ledgerline.llm.shingles import mix
 from ledgerline.llm.texts import map_texts
 
 BUCKETS = 1 << 15   # n-grams of one to three characters are hashed into so many features
-SAMPLE = 1000       # training texts a language, those of least hash; so many are picked before any shuffle
+SAMPLE = 1500       # training texts a language, those of least hash
 EPOCHS = 4
 NONE = "und"
 
@@ -145,6 +145,19 @@ def _trainer(idf: np.ndarray, opt: FTRL, epochs: int):
     return run
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """Of ``lang, h, text``, those of the ``sample`` least distinct ``h`` of each language, one row each."""
+    ids = rows.select("lang", "h").distinct()
+    # Hashes are spread evenly: below this bound are twice as many as wanted, so that few rows are sorted.
+    share = F.lit(2.0 * sample) / F.count("*")
+    bounds = ids.groupBy("lang").agg(F.when(share >= 1, 2.0**63).otherwise(share * 2.0**64 - 2.0**63).alias("bound"))
+    few = ids.join(F.broadcast(bounds), "lang").where(F.col("h").cast("double") <= F.col("bound"))
+    ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).select("lang", "h")
+    # At most ``sample`` pairs of numbers and names a language: small enough to be sent to all tasks.
+    one = F.row_number().over(Window.partitionBy("lang", "h").orderBy(F.xxhash64("text")))
+    return rows.join(F.broadcast(ids), ["lang", "h"], "left_semi").withColumn("r", one).where("r = 1").drop("r")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, opt: FTRL = FTRL(), epochs: int = EPOCHS) -> LanguageModel:
     """A model from ``text`` and non-null ``lang``; ``doc_id`` only picks the sample.
 
@@ -159,11 +172,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, opt: FTRL = FTRL(), epochs:
     df = np.zeros(BUCKETS + 1)
     df[counts["feature"]] = counts["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    first = Window.partitionBy("lang").orderBy("h")
-    ids = rows.select("lang", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("lang", "h").distinct()
-    # At most ``sample`` pairs of numbers and names a language: small enough to be sent to all tasks.
-    texts = rows.join(F.broadcast(ids), ["lang", "h"], "left_semi").withColumn("r", F.row_number().over(
-        Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("r") <= sample).drop("r")
+    texts = sampled(rows, sample)
     fitted = texts.repartition(1).mapInPandas(_trainer(idf, opt, epochs), "languages array<string>, temperature double, "
                                               "features array<long>, weights array<double>").first()
     if fitted is None:

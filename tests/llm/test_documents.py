@@ -7,6 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from ledgerline.llm import language
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import drop_recurring_lines
@@ -201,6 +202,16 @@ def test_language(spark, documents):
     assert {(g.lang_pred, g.score) for g in identify(documents([(1, "words", None, "s")])).collect()} == {("und", 0.0)}
 
 
+def test_language_sample_holds_each_document_once(spark):
+    r = random.Random(6)
+    hashes = {k: [r.randrange(-2**63, 2**63) for _ in range(n)] for k, n in (("aa", 300), ("bb", 7))}
+    rows = [(k, h, f"{k} {h}") for k, hs in hashes.items() for h in hs] + [("aa", min(hashes["aa"]), f"again {i}") for i in range(200)]
+    got = language.sampled(spark.createDataFrame(rows, "lang string, h long, text string"), 40).collect()
+    for k, hs in hashes.items():
+        assert sorted(g.h for g in got if g.lang == k) == sorted(hs)[:40]
+    assert language.SAMPLE == 1500
+
+
 def test_personal_data(spark, documents):
     text = ("😀 a@b.com_x@y.z 1.2.3.4.5.6.7.8 999.1.1.1 +1 (017) 555-7713 4111 1111 1111 1111 q@r 0256.1.1.1 +12 "
             "4111111111111112 12345678901234567890 +123 m.n@o-p.q.r,\n007.0.0.255 +49-")
