@@ -18,6 +18,8 @@ from ledgerline.llm.multi_index import nearest
 from ledgerline.llm.ngram_join import jaccard_groups
 from ledgerline.llm.passages import repeated_passages
 from ledgerline.llm.personal_data import find_personal_data, listed_spans
+from ledgerline.llm.quality_rules import ORACLE_SQL as QUALITY_SQL
+from ledgerline.llm.quality_rules import judge_quality
 from ledgerline.llm.warc import ORACLE_SQL as WARC_SQL
 from ledgerline.llm.warc import round_trip
 
@@ -98,3 +100,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LINE_SQL)
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query(QUALITY_SQL)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_lines", "rules")
