@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.decontamination import contamination
+from ledgerline.llm.filter_audit import ORACLE_SQL as AUDIT_SQL
+from ledgerline.llm.filter_audit import audit_documents
 from ledgerline.llm.host_reputation import ORACLE_SQL as URL_SQL
 from ledgerline.llm.host_reputation import Rule, judge_urls
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import ORACLE_SQL as LINE_SQL
 from ledgerline.llm.line_templates import drop_recurring_lines
+from ledgerline.llm.manifest import ORACLE_SQL as MANIFEST_SQL
+from ledgerline.llm.manifest import dataset_manifest
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.multi_index import nearest
 from ledgerline.llm.ngram_join import jaccard_groups
@@ -105,3 +109,13 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUALITY_SQL)
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_lines", "rules")
+
+
+@query(MANIFEST_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(_table(spark, sf_dir, "documents")).drop("source", "path")
+
+
+@query(AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
