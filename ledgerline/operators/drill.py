@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.functions.values import COMPARE, all_of, any_of
+from ledgerline.operators.blocks import correlate
 from ledgerline.operators.ordering import distinct_first
 
 
@@ -32,16 +34,39 @@ def drill_threshold(recs: DataFrame, other: DataFrame, on: Sequence[tuple[str, s
                     where: Sequence[Condition] = ()) -> DataFrame:
     """D1 for a correlated figure with an inequality: the rows of ``other`` that make up the figure of any
     of the chosen records. ``on`` pairs record fields with fields of ``other``; ``threshold`` is
-    ``(other field, op, record field)``. Keys are join keys and the inequality is tested on their pairs."""
+    ``(other field, op, record field)``. Of a key's bounds only the widest matters, of two unlike ones for NE
+    either, so a row meets one pair of bounds however many records there are."""
     field, op, bound = threshold
     rows = filter_all(other, *where)
-    side = recs.select(*[F.col(mine).alias(f"__k{i}") for i, (mine, _) in enumerate(on)], F.col(bound).alias("__bound")).distinct()
+    place = F.struct(F.col(bound).isNull(), F.col(bound).alias("at"))  # as in the figure, a missing value is the greatest
+    keys = [F.col(mine).alias(f"__k{i}") for i, (mine, _) in enumerate(on)]
+    side = recs.groupBy(*keys).agg(F.min(place).alias("__low"), F.max(place).alias("__high"), F.count("*").alias("__n")).where("__n > 0")
     joined = all_of(F.col(theirs).eqNullSafe(F.col(f"__k{i}")) for i, (_, theirs) in enumerate(on))
-    a, b = F.col(field), F.col("__bound")
-    # As in the figure, a missing value is the greatest.
-    missing = {"LT": a.isNotNull() & b.isNull(), "LE": b.isNull(), "GT": a.isNull() & b.isNotNull(), "GE": a.isNull(),
-               "NE": a.isNull() != b.isNull()}[op]
-    return rows.join(side, joined & (F.coalesce(COMPARE[op](a, b), F.lit(False)) | missing), "left_semi")
+
+    def beyond(b: Column) -> Column:
+        a = F.col(field)
+        missing = {"LT": a.isNotNull() & b.isNull(), "LE": b.isNull(), "GT": a.isNull() & b.isNotNull(), "GE": a.isNull(),
+                   "NE": a.isNull() != b.isNull()}[op]
+        return F.coalesce(COMPARE[op](a, b), F.lit(False)) | missing
+
+    low, high = F.col("__low")["at"], F.col("__high")["at"]
+    hit = beyond(low) | beyond(high) if op == "NE" else beyond(high if op in ("LT", "LE") else low)
+    return rows.join(side, joined & hit, "left_semi")
+
+
+def drill_interval(recs: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]], field: str, low: str, high: str,
+                   where: Sequence[Condition] = ()) -> DataFrame:
+    """D1 for a figure over an interval: the rows of ``other`` whose ``field`` lies in the interval, both bounds
+    included, of any of the chosen records. A row lies in one if more intervals of its key have begun by then
+    than have ended before, which running totals count without pairs."""
+    spans = recs.select(*[F.col(mine).alias(f"__k{i}") for i, (mine, _) in enumerate(on)], F.col(low).alias("__low"), F.col(high).alias("__high"))
+    empty = F.coalesce(F.col("__low") > F.col("__high"), F.col("__low").isNull() & F.col("__high").isNotNull())
+    spans = spans.where(~empty)
+    back = [(theirs, f"__k{i}") for i, (_, theirs) in enumerate(on)]
+    rows = filter_all(other, *where)
+    begun = correlate(rows, spans, back, [Measure("__begun", "COUNT")], threshold=("__low", "LE", field))
+    both = correlate(begun, spans, back, [Measure("__ended", "COUNT")], threshold=("__high", "LT", field))
+    return both.where("__begun > __ended").select(*other.columns)
 
 
 def _any_cell(df: DataFrame, cells: list[tuple], keys: Sequence[str]) -> Column:

@@ -103,14 +103,14 @@ def kpi_last_row(t):
 
 
 @report("""
-    SELECT o_orderstatus, round(SUM(CAST(o_orderkey AS DOUBLE) * 4503599627370496) / 1e15, 3) AS total
+    SELECT o_orderstatus, round(SUM(CAST(o_orderkey + 4611686018427387904 AS DOUBLE)) / 1e18, 3) AS total
     FROM orders GROUP BY o_orderstatus
 """)
 def sum_large_integers(t):
-    # Integers near the end of their range: their sum is beyond it.
-    large = t.orders.select("o_orderstatus", (F.col("o_orderkey") * F.lit(1 << 52)).alias("large"))
+    # Integers in the upper half of their range: two of them leave it when they are added.
+    large = t.orders.select("o_orderstatus", (F.col("o_orderkey") + F.lit(1 << 62)).alias("large"))
     out = group_list(large, ["o_orderstatus"], [Measure("total", "SUM", "large")])
-    return out.withColumn("total", F.round(F.col("total") / 1e15, 3))
+    return out.withColumn("total", F.round(F.col("total") / 1e18, 3))
 
 
 @report("""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.predicates import Condition
-from ledgerline.operators.blocks import block_rows, correlate, correlate_between, lookup, records
+from ledgerline.operators.blocks import block_rows, correlate, correlate_between, correlate_both, correlate_containing, lookup, records
 from ledgerline.reports.catalogue import nulled, report, rounded
 
 
@@ -142,6 +142,74 @@ def loop_unequal(t):
     return out.select("s_suppkey", "n_others", "top")
 
 
+@report("""
+    SELECT a.o_orderkey, COUNT(b.o_orderkey) AS n, coalesce(round(SUM(b.o_totalprice), 2), 0.0) AS total,
+           coalesce(round(AVG(b.o_totalprice), 6), 0.0) AS mean
+    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate <= a.o_orderdate AND b.o_totalprice >= a.o_totalprice
+    GROUP BY a.o_orderkey
+""")
+def loop_two_bounds(t):
+    # What the customer had ordered by then for as much or more, the order itself included.
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    before = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("price"))
+    out = correlate_both(orders, before, [("o_custkey", "k")], [
+        Measure("n", "COUNT"), Measure("total", "SUM", "price"), Measure("mean", "AVG", "price")],
+        ("day", "LE", "o_orderdate"), ("price", "GE", "o_totalprice"))
+    return rounded(rounded(out.select("o_orderkey", "n", "total", "mean"), "total"), "mean", digits=6)
+
+
+def priced(t):
+    return rich(t).withColumn("low", F.col("c_acctbal") * 10).withColumn("high", F.col("c_acctbal") * 30)
+
+
+@report("""
+    SELECT c_custkey, coalesce(MIN(o_totalprice), 0.0) AS least, coalesce(MAX(o_totalprice), 0.0) AS most, MAX(o_orderdate) AS latest
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice BETWEEN c_acctbal * 10 AND c_acctbal * 30
+    WHERE c_acctbal > 5000 GROUP BY c_custkey
+""")
+def loop_interval_extremes(t):
+    out = correlate_between(priced(t), t.orders, [("c_custkey", "o_custkey")], [
+        Measure("least", "MIN", "o_totalprice"), Measure("most", "MAX", "o_totalprice"),
+        Measure("latest", "MAX", "o_orderdate", typed=True)], "o_totalprice", "low", "high")
+    return out.select("c_custkey", "least", "most", "latest")
+
+
+@report("""
+    SELECT c_custkey, COUNT(DISTINCT o_orderpriority) AS n_kinds
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice BETWEEN c_acctbal * 10 AND c_acctbal * 30
+    WHERE c_acctbal > 5000 GROUP BY c_custkey
+""")
+def loop_interval_distinct(t):
+    out = correlate_between(priced(t), t.orders, [("c_custkey", "o_custkey")], [
+        Measure("n_kinds", "COUNT_DISTINCT", "o_orderpriority")], "o_totalprice", "low", "high")
+    return out.select("c_custkey", "n_kinds")
+
+
+@report("""
+    SELECT s_suppkey, COUNT(DISTINCT c_mktsegment) AS n_segments
+    FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey AND c_mktsegment <> CASE WHEN s_acctbal > 5000 THEN 'MACHINERY' ELSE 'BUILDING' END
+    GROUP BY s_suppkey
+""")
+def loop_unequal_distinct(t):
+    suppliers = t.supplier.withColumn("segment", F.when(F.col("s_acctbal") > 5000, "MACHINERY").otherwise("BUILDING"))
+    out = correlate(suppliers, t.customer, [("s_nationkey", "c_nationkey")], [
+        Measure("n_segments", "COUNT_DISTINCT", "c_mktsegment")], threshold=("c_mktsegment", "NE", "segment"))
+    return out.select("s_suppkey", "n_segments")
+
+
+@report("""
+    WITH found AS (
+        SELECT needle, COUNT(*) AS n, round(SUM(value), 2) AS total
+        FROM (SELECT DISTINCT 'k": ' || p_size AS needle FROM part) JOIN events ON contains(props, needle) GROUP BY needle)
+    SELECT p_partkey, coalesce(n, 0) AS n, coalesce(total, 0.0) AS total FROM part LEFT JOIN found ON needle = 'k": ' || p_size
+""")
+def loop_contains(t):
+    # Events whose properties mention the part's size, or a number that begins with it.
+    parts = t.part.select("p_partkey", F.concat(F.lit('k": '), "p_size").alias("needle"))
+    out = correlate_containing(parts, t.events, [], [Measure("n", "COUNT"), Measure("total", "SUM", "value")], "props", "needle")
+    return rounded(out.select("p_partkey", "n", "total"), "total")
+
+
 @report("""
     WITH r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS record_no FROM customer WHERE c_acctbal > 5000)
     SELECT c_custkey, record_no, 0 AS block_row, record_no * 3 AS row_no, 'Name' AS a, 'Nation' AS b FROM r

@@ -7,7 +7,7 @@ from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.bands import group_list
 from ledgerline.operators.blocks import records
 from ledgerline.operators.crosstab import crosstab_cells
-from ledgerline.operators.drill import drill_rows, drill_threshold, drill_view
+from ledgerline.operators.drill import drill_interval, drill_rows, drill_threshold, drill_view
 from ledgerline.operators.relations import join_on
 from ledgerline.reports.catalogue import nulled, report
 
@@ -54,6 +54,17 @@ def drill_correlated(t):
     return found.select("s_suppkey", "s_name", "s_acctbal")
 
 
+@report("""
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey < 5 AND o_totalprice BETWEEN c_acctbal * 10 AND c_acctbal * 10 + 50 AND c_acctbal > 5000)
+""", name="drill_interval")
+def drill_ranges(t):
+    # The orders behind the figures of some customers' price ranges, which overlap.
+    chosen = records(t.customer, [Condition("c_nationkey", "LT", 5), Condition("c_acctbal", "GT", 5000)]) \
+        .withColumn("low", F.col("c_acctbal") * 10).withColumn("high", F.col("c_acctbal") * 10 + 50)
+    return drill_interval(chosen, t.orders, [], "o_totalprice", "low", "high").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @report("""
     SELECT p_partkey, p_brand, nullif(p_size, 10) AS p_size FROM part
     WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 10 GROUP BY p_brand HAVING COUNT(*) >= 2) AND p_size = 10

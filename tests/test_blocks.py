@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions.aggregates import Measure
+from ledgerline.functions.aggregates import AGGREGATES, Measure, Rule
 from ledgerline.functions.predicates import Condition
-from ledgerline.operators.blocks import block_rows, correlate, correlate_between, lookup, records
+from ledgerline.operators.blocks import block_rows, correlate, correlate_between, correlate_both, correlate_containing, lookup, records
 from ledgerline.operators.drill import drill_threshold
 
 STAFF = [(1, "Ann", "active"), (2, "Bob", "left"), (3, "Cy", "active"), (4, "Di", None)]
@@ -72,13 +72,25 @@ def test_thresholds_follow_a_nested_loop(spark, many_parts, op, keyed):
     assert [tuple(r) for r in out.select("i", "n", "s", "hi", "lo", "m").orderBy("i").collect()] == expected
 
 
-def test_what_a_threshold_cannot_take(staff, pay):
+def test_what_a_threshold_cannot_take(staff, pay, monkeypatch):
     with pytest.raises(ValueError, match="GT, GE, LT, LE or NE"):
         correlate(staff, pay, [], [Measure("n", "COUNT")], threshold=("base", "CONTAINS", "id"))
     with pytest.raises(ValueError, match="two numbers or two moments"):
         correlate(staff, pay, [], [Measure("n", "COUNT")], threshold=("emp_id", "LT", "name"))
+    monkeypatch.setitem(AGGREGATES, "MIDDLE", Rule(F.median))
+    middle = [Measure("n", "MIDDLE", "o")]
     with pytest.raises(ValueError, match="merged from parts"):
-        correlate(staff, pay, [], [Measure("n", "COUNT_DISTINCT", "o")], threshold=("base", "LT", "id"))
+        correlate(staff, pay, [], middle, threshold=("base", "LT", "id"))
+    with pytest.raises(ValueError, match="merged from parts"):
+        correlate_between(staff, pay, [], middle, "base", "id", "id")
+    with pytest.raises(ValueError, match="merged from parts"):
+        correlate_both(staff, pay, [], middle, ("base", "LT", "id"), ("bonus", "LT", "id"))
+    with pytest.raises(ValueError, match="merged from parts"):
+        correlate_containing(staff, pay, [], middle, "emp_id", "name")
+    with pytest.raises(ValueError, match="two numbers or two moments|moments"):
+        correlate_both(staff, pay, [], [Measure("n", "COUNT")], ("base", "LT", "id"), ("emp_id", "LT", "id"))
+    with pytest.raises(ValueError, match="GT, GE, LT or LE"):
+        correlate_both(staff, pay, [], [Measure("n", "COUNT")], ("base", "NE", "id"), ("bonus", "LT", "id"))
 
 
 def test_unequal_texts_are_loosely_unequal(staff, pay, rows):
