@@ -2,7 +2,8 @@
 
 A rule that has parts is merged from partial results: rows are reduced to their finest groups
 once, and every coarser level is built from that much smaller frame. COUNT_DISTINCT is merged by
-keeping its value in the finest groups. A rule with neither is computed directly.
+keeping its value in the finest groups, or approximately from sketches. Central moments and exact
+quantiles have ways of their own over several levels. A rule with none of these is computed directly.
 """
 
 from __future__ import annotations
@@ -19,17 +20,34 @@ from ledgerline.functions import values as V
 
 # How partial results of one kind are put together, by the name of the part.
 COMBINE: dict[str, Callable[[Column], Column]] = {
-    "total": F.sum, "n": F.sum, "low": F.min, "high": F.max,
+    "total": F.sum, "n": F.sum, "low": F.min, "high": F.max, "sketch": F.hll_union_agg,
+}
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+# How two partial results are put together; a missing one leaves the other.
+COMBINE_TWO: dict[str, Callable[[Column, Column], Column]] = {
+    "total": _added, "n": _added, "low": F.least, "high": F.greatest,
+    "sketch": lambda a, b: F.coalesce(F.hll_union(a, b), a, b),
 }
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``direct`` is the aggregate over rows. ``parts`` and ``finish`` merge it from partial results;
+    ``moments`` makes it of the columns n, mean and sum of squared deviations; ``quantile`` is a share of
+    the rows, whose value is chosen by rank."""
+
     direct: Callable[[Column], Column]
     parts: Callable[[Column], dict[str, Column]] | None = None
     finish: Callable[[dict[str, Column]], Column] | None = None
     numeric: bool = True
     distinct: bool = False
+    moments: Callable[[Column, Column, Column], Column] | None = None
+    quantile: float | None = None
 
     @property
     def mergeable(self) -> bool:
@@ -61,15 +79,23 @@ AGGREGATES: dict[str, Rule] = {
     "NONE": Rule(_nothing, lambda v: {}, _nothing, numeric=False),
 }
 
+# A sketch counts no nulls; they are one more value if there was any.
+_SKETCHED = {"parts": lambda v: {"sketch": F.hll_sketch_agg(v.cast("string")), "high": F.max(v.isNull().cast("bigint"))},
+             "finish": lambda p: F.coalesce(F.hll_sketch_estimate(p["sketch"]), F.lit(0)) + F.coalesce(p["high"], F.lit(0))}
+APPROX_DISTINCT = Rule(lambda v: _SKETCHED["finish"](_SKETCHED["parts"](v)), **_SKETCHED, numeric=False)
+
 
 def register_aggregate(name: str, direct: Callable[[Column], Column], *, numeric: bool = True,
-                       parts=None, finish=None) -> None:
+                       parts=None, finish=None, moments=None, quantile: float | None = None) -> None:
     """G1: ``direct`` turns the operand into an aggregate Column of built-in functions.
 
     With ``parts`` and ``finish`` the aggregate is merged from partial results named as in
-    :data:`COMBINE`, which lets subtotals be built from their finest groups.
+    :data:`COMBINE`, which lets subtotals be built from their finest groups. With ``moments`` it is a
+    function of the number, the mean and the sum of squared deviations of the values, which are
+    merged as such, without the loss of digits that sums of squares have. With ``quantile``, from 0 to 1, it is
+    that quantile (interpolated between two values), found by rank without gathering a group.
     """
-    AGGREGATES[name] = Rule(direct, parts, finish, numeric)
+    AGGREGATES[name] = Rule(direct, parts, finish, numeric, moments=moments, quantile=quantile)
 
 
 @dataclass(frozen=True)
@@ -93,9 +119,7 @@ class Measure:
         if self.how not in AGGREGATES:
             raise ValueError(f"unknown aggregate {self.how!r}; known: {sorted(AGGREGATES)}")
         if self.how == "COUNT_DISTINCT" and self.approx:
-            # A sketch counts no nulls; one more value if there was any.
-            return Rule(lambda v: F.approx_count_distinct(v) + F.max(v.isNull().cast("bigint")),
-                        numeric=False)
+            return APPROX_DISTINCT
         return AGGREGATES[self.how]
 
     def operand(self, df: DataFrame) -> Column:

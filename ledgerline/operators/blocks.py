@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
-from ledgerline.functions.aggregates import COMBINE, Measure
+from ledgerline.functions.aggregates import COMBINE, COMBINE_TWO, Measure
 from ledgerline.functions.predicates import Condition, filter_all
 from ledgerline.operators.levels import SET, level_totals
 from ledgerline.operators.ordering import distinct_first, number_rows, tie_break
@@ -312,8 +312,8 @@ def correlate_containing(recs: DataFrame, other: DataFrame, on: Pairs, measures:
     rarest = rarest.where(F.col("__grams") == F.size(_grams(F.col("__needle")))).select(*keys, "__needle", F.col("__rare.__gram").alias("__gram"))
     # Texts are read once more for what may hold a needle, not carried along with each gram.
     held = _by_keys(index, rarest, [*keys, "__gram"]).select("__id", "__needle").join(texts, "__id").where(F.contains("__text", F.col("__needle")))
-    everywhere = _by_keys(texts, needles.where("__needle = ''"), keys)
-    found = held.select(*keys, "__needle", *parts).unionByName(everywhere.select(*keys, "__needle", *parts)).groupBy(*keys, "__needle").agg(*_combined(parts))
+    everywhere = texts.groupBy(*keys).agg(*_combined(parts)).withColumn("__needle", F.lit(""))
+    found = held.groupBy(*keys, "__needle").agg(*_combined(parts)).unionByName(everywhere)
     found = found.select(*keys, "__needle", *_finals(measures, parts))
     out = _match(recs, found, [*keys, "__needle"], [m.name for m in measures])
     return out.select(*columns, *[m.filled(F.col(m.name)).alias(m.name) for m in measures])
@@ -333,16 +333,6 @@ def _grams(needle: Column) -> Column:
     return _grams_of(needle, F.least(F.lit(GRAM), F.length(needle)))
 
 
-def _either(part: str, a: Column, b: Column) -> Column:
-    """Two partial results as one; a missing one leaves the other."""
-    combine = COMBINE[part]
-    if combine is F.min:
-        return F.least(a, b)
-    if combine is F.max:
-        return F.greatest(a, b)
-    return F.coalesce(a + b, a, b)
-
-
 def _comparable(df: DataFrame, field: str, order_matters: bool, mixed: bool) -> Column:
     """The field as something to sort by; for mere inequality the loose code of text will do."""
     return F.coalesce(V.code_text(df, field), F.lit(V.NULL_TEXT)) if mixed and not order_matters else F.col(field)
@@ -402,7 +392,7 @@ def _running_parts(totals: DataFrame, bounds: DataFrame, keys: list[str], parts:
                      *[F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys]])
     both = running.join(held, same, "inner")
     return both.select(*keys, *carry, F.col("__at").alias("__bound"), *[
-        _either(part, F.col(n), F.col(f"{n}h")).alias(n) for n, (part, _) in parts.items()])
+        COMBINE_TWO[part](F.col(n), F.col(f"{n}h")).alias(n) for n, (part, _) in parts.items()])
 
 
 def block_rows(recs: DataFrame, block: Sequence[Mapping[str, Column]], order_by: Sequence[str | Column],

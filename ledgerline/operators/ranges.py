@@ -83,12 +83,12 @@ def positions(events: DataFrame, keys: Sequence[str], at: Column, *ties: Column)
     Rows have ``__turn`` 0; asks have another, and stand before (less) or after (more) the rows of an
     equal place. Events are sorted by range over the whole cluster and pinned; a count is the one
     inside the part plus what the key's earlier parts hold, of which there is one row per key and part.
-    ``ties`` spread equal places.
+    ``ties`` spread equal places. With a column ``__weight`` a row counts that often.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     pinned = write_down(events.orderBy(*keys, at, "__turn", *ties).select(
         "*", F.spark_partition_id().alias("__part"), place.alias("__i")))
-    one = (F.col("__turn") == 0).cast("long")
+    one = F.when(F.col("__turn") == 0, F.col("__weight") if "__weight" in events.columns else F.lit(1).cast("long")).otherwise(0)
     inside = Window.partitionBy("__part", *keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = pinned.withColumn("__pos", F.sum(one).over(inside) - one)
     every = Window.partitionBy(*keys)

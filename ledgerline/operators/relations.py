@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import values as V
+from ledgerline.session import write_down
+
+HOT_ROWS = 500_000  # of one key, beyond which an outer join deals its rows to several tasks
 
 JOINS = ("INNER", "LEFT", "RIGHT", "FULL")
 
@@ -50,8 +53,8 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], ho
     equality does and table layouts by key stay usable.
 
     Spark splits a hot key of either side of an inner join, but not of the null-padded side of an
-    outer join. Unless that side is declared unique on its key, an outer join is therefore written
-    as the inner join plus the rows without a partner.
+    outer join. Unless that side is declared unique on its key, its keys are counted first (which reads
+    the key alone); keys of more than ``HOT_ROWS`` rows are then salted, the others joined as they are.
     """
     how = how or "INNER"
     if how not in JOINS:
@@ -63,20 +66,60 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], ho
     padded_unique = {"LEFT": right_unique, "RIGHT": left_unique, "FULL": left_unique and right_unique}[how]
     if padded_unique:
         return left.join(right, match, how.lower())
-    pieces = left.join(right, match, "inner")
-    if how in ("LEFT", "FULL"):
-        pieces = pieces.unionByName(_without_partner(left, right, on, null_match), allowMissingColumns=True)
-    if how in ("RIGHT", "FULL"):
-        back = [(b, a) for a, b in on]
-        pieces = pieces.unionByName(_without_partner(right, left, back, null_match), allowMissingColumns=True)
-    return pieces
-
-
-def _without_partner(kept: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]],
-                     null_match: bool) -> DataFrame:
-    keys = other.select(*[b for _, b in on]).distinct()
-    match = V.all_of(_same_key(kept, keys, a, b, null_match) for a, b in on)
-    return kept.join(keys, match, "left_anti")
+    mine, theirs = _keys(left, right, on)
+    hot_right = _hot(right, theirs, null_match) if how in ("LEFT", "FULL") else None
+    hot_left = _hot(left, mine, null_match) if how in ("RIGHT", "FULL") else None
+    if hot_right is None and hot_left is None:
+        return left.join(right, match, how.lower())
+    return _salted(left, right, match, how, mine, theirs, hot_left, hot_right)
+
+
+def _keys(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]]:
+    """The keys of both sides as values that are equal exactly when they match."""
+    sides: tuple[list[Column], list[Column]] = ([], [])
+    for a, b in on:
+        unlike = V.kind(left, a) != V.kind(right, b)
+        sides[0].append(V.plain_text(left, a) if unlike else F.col(a))
+        sides[1].append(V.plain_text(right, b) if unlike else F.col(b))
+    return sides
+
+
+def _hot(df: DataFrame, keys: Sequence[Column], null_match: bool) -> DataFrame | None:
+    """``k0, k1, …, parts`` of the keys with too many rows for a task, None if there are none."""
+    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    if not null_match:
+        named = named.dropna()
+    counted = named.groupBy(*named.columns).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = write_down(counted.select(*named.columns, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
+    return None if hot.isEmpty() else hot
+
+
+def _salted(left: DataFrame, right: DataFrame, match: Column, how: str, mine: Sequence[Column], theirs: Sequence[Column],
+            hot_left: DataFrame | None, hot_right: DataFrame | None) -> DataFrame:
+    """The outer join with the rows of a hot key dealt to several parts, and the other side's rows of that key
+    copied to each of them. A copy that meets nobody in one part is no row without a partner: a hot key
+    has rows, so its partners meet somebody in another part."""
+
+    def dealt(df: DataFrame, keys: Sequence[Column], own: DataFrame | None, others: DataFrame | None, side: str) -> DataFrame:
+        row = F.xxhash64(*[c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()])
+        for name, hot in (("own", own), ("other", others)):
+            count = F.lit(1)
+            if hot is not None:
+                known = hot.withColumnsRenamed({c: f"__{c}" for c in hot.columns})
+                same = V.all_of(k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))
+                df = df.join(known, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+                count = F.coalesce("__parts", F.lit(1))
+            df = df.withColumn(f"__{side}_{name}", count).drop("__parts")
+        deal = F.pmod(row, F.col(f"__{side}_own")).cast("int").alias(f"__{side}_deal")
+        copy = F.explode(F.sequence(F.lit(0), F.col(f"__{side}_other") - 1)).alias(f"__{side}_copy")
+        return df.select("*", deal, copy)
+
+    a = dealt(left, mine, hot_left, hot_right, "a")
+    b = dealt(right, theirs, hot_right, hot_left, "b")
+    part = (F.col("__a_deal") == F.col("__b_copy")) & (F.col("__a_copy") == F.col("__b_deal"))
+    joined = a.join(b, match & part, how.lower())
+    spurious = (F.col("__b_deal").isNull() & (F.col("__a_other") > 1)) | (F.col("__a_deal").isNull() & (F.col("__b_other") > 1))
+    return joined.where(~F.coalesce(spurious, F.lit(False))).select(*left.columns, *right.columns)
 
 
 def combine(frames: Mapping[str, DataFrame], relationships: Sequence[Relationship],

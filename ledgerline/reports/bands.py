@@ -107,6 +107,51 @@ def subtotals_distinct(t):
                 summaries=[Summary("l_returnflag", totals, (GROUP,)), Summary(None, totals, ("all",))])
 
 
+def levels_sql(cells: str, source: str) -> str:
+    """Subtotals by flag and status, by flag, and of all, as the band below lists them."""
+    return f"""
+    WITH d AS ({source})
+    SELECT l_returnflag, l_linestatus, {cells}, CAST(NULL AS VARCHAR) AS label, 2 AS level, CAST(NULL AS INT) AS summary_no
+    FROM d GROUP BY l_returnflag, l_linestatus
+    UNION ALL SELECT l_returnflag, NULL, {cells}, l_returnflag, 0, 0 FROM d GROUP BY l_returnflag
+    UNION ALL SELECT NULL, NULL, {cells}, 'all', -1, 1 FROM d"""
+
+
+def levels_band(t, *totals: Measure):
+    return band(t.lineitem, ["l_returnflag", "l_linestatus"], measures=totals,
+                summaries=[Summary("l_returnflag", totals, (GROUP,)), Summary(None, totals, ("all",))])
+
+
+@report(levels_sql("COUNT(DISTINCT l_suppkey) AS n_suppliers, COUNT(DISTINCT l_partkey) AS n_parts, SUM(l_quantity) AS quantity",
+                   "SELECT l_returnflag, l_linestatus, l_suppkey, l_partkey, l_quantity FROM lineitem"))
+def subtotals_two_distinct(t):
+    # Each operand has finest groups of its own, so neither is counted on the rows.
+    return levels_band(t, Measure("n_suppliers", "COUNT_DISTINCT", "l_suppkey"), Measure("n_parts", "COUNT_DISTINCT", "l_partkey"),
+                       Measure("quantity", "SUM", "l_quantity"))
+
+
+@report(levels_sql("COUNT(DISTINCT l_partkey) AS n_parts, true AS near, COUNT(*) AS n", "SELECT l_returnflag, l_linestatus, l_partkey FROM lineitem"))
+def subtotals_approx(t):
+    # Sketches are merged from level to level; they are near the exact figures beside them.
+    out = levels_band(t, Measure("n_parts", "COUNT_DISTINCT", "l_partkey"), Measure("about", "COUNT_DISTINCT", "l_partkey", approx=True), Measure("n", "COUNT"))
+    near = F.abs(F.col("about") - F.col("n_parts")) <= F.greatest(F.lit(2), F.col("n_parts") * 0.08)
+    return out.withColumn("near", near).drop("about")
+
+
+@report(levels_sql("round(var_pop(l_extendedprice) / 1e6, 4) AS spread, round(stddev_samp(l_discount), 9) AS deviation, COUNT(*) AS n",
+                   "SELECT l_returnflag, l_linestatus, l_extendedprice, l_discount FROM lineitem"))
+def subtotals_deviation(t):
+    out = levels_band(t, Measure("spread", "VARIANCE", "l_extendedprice"), Measure("deviation", "DEVIATION", "l_discount"), Measure("n", "COUNT"))
+    return rounded(out.withColumn("spread", F.round(F.col("spread") / 1e6, 4)), "deviation", digits=9)
+
+
+@report(levels_sql("median(l_extendedprice) AS middle, round(quantile_cont(l_quantity, 0.9), 6) AS upper, SUM(l_quantity) AS quantity",
+                   "SELECT l_returnflag, l_linestatus, l_extendedprice, l_quantity FROM lineitem"))
+def subtotals_median(t):
+    return rounded(levels_band(t, Measure("middle", "MEDIAN", "l_extendedprice"), Measure("upper", "UPPER_TENTH", "l_quantity"),
+                               Measure("quantity", "SUM", "l_quantity")), "upper", digits=6)
+
+
 @report("""
     SELECT p_type, p_brand, p_partkey, p_name FROM part ORDER BY p_type, p_brand, p_partkey
 """)

@@ -15,7 +15,10 @@ from ledgerline.reports.catalogue import nulled, report, rounded
 A.register_aggregate("SPREAD", lambda v: F.max(v) - F.min(v),
                      parts=lambda v: {"low": F.min(v), "high": F.max(v)}, finish=lambda p: p["high"] - p["low"])
 A.register_aggregate("TRUE_COUNT", F.count_if, numeric=False, parts=lambda v: {"n": F.count_if(v)}, finish=lambda p: p["n"])
-A.register_aggregate("DEVIATION", F.stddev_samp)
+A.register_aggregate("VARIANCE", F.var_pop, moments=lambda n, mean, squares: F.when(n > 0, squares / n))
+A.register_aggregate("DEVIATION", F.stddev_samp, moments=lambda n, mean, squares: F.when(n > 1, F.sqrt(squares / (n - 1))))
+A.register_aggregate("MEDIAN", F.median, quantile=0.5)
+A.register_aggregate("UPPER_TENTH", lambda v: F.percentile(v, 0.9), quantile=0.9)
 C.register_predicate("MATCHES", lambda df, left, right: F.coalesce(left.rlike(right), F.lit(False)))
 S.register_function("mask", lambda df, value, keep: F.concat(
     F.substring(value, 1, keep), F.regexp_replace(F.substr(value, F.lit(keep + 1)), "[0-9]", "*")))

@@ -57,6 +57,18 @@ def join_full(t):
     return join_on(docs, labels, [("doc_id", "label_doc")], "FULL", left_unique=True, right_unique=True).select("doc_id", "label_doc", "n_chars", "toxic")
 
 
+@report("""
+    SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity FROM orders
+    LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45
+""")
+def join_left_many(t):
+    # Neither key is declared unique; an order may have many lines or none.
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").where("l_quantity > 45")
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    return join_on(orders, lines, [("o_orderkey", "l_orderkey")], "LEFT", null_match=False) \
+        .select("o_orderkey", "o_orderstatus", "l_linenumber", "l_quantity")
+
+
 @report("""
     SELECT c_custkey, n_name FROM customer JOIN nation
       ON nullif(c_nationkey, 3) IS NOT DISTINCT FROM nullif(n_nationkey, 3)

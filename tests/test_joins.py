@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import relations
 from ledgerline.operators.relations import Relationship, combine, components, join_on, qualify, union_mapped
 from ledgerline.plans.model import DataModel, TableDataset, UnionDataset
 from ledgerline.sources.schema import Field
@@ -32,7 +33,10 @@ def test_unknown_join(sides):
 
 
 @pytest.mark.parametrize("how", ["INNER", "LEFT", "RIGHT", "FULL"])
-def test_random_joins_follow_a_nested_loop(spark, how):
+@pytest.mark.parametrize("hot", [None, 1, 4])
+def test_random_joins_follow_a_nested_loop(spark, how, hot, monkeypatch):
+    if hot:  # nearly every key, or the hottest ones, are salted
+        monkeypatch.setattr(relations, "HOT_ROWS", hot)
     rng = random.Random(how)
     pick = lambda: rng.choice([None, "k", "k", "k", "m", "n", str(rng.randint(0, 9))])
     left = [(pick(), i) for i in range(30)]
@@ -48,6 +52,20 @@ def test_random_joins_follow_a_nested_loop(spark, how):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("how", ["LEFT", "RIGHT", "FULL"])
+@pytest.mark.parametrize("null_match", [True, False])
+def test_salted_joins_change_no_result(spark, how, null_match, monkeypatch):
+    rng = random.Random(how)
+    left = spark.createDataFrame([(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([0.0, -0.0, None]), i) for i in range(60)] + [(1, 0.0, 7)] * 5, "a int, x double, i int")
+    right = spark.createDataFrame([(rng.choice([None, 1, 1, 2, 4]), rng.choice([0.0, None]), j) for j in range(50)] + [(4, 0.0, 7)] * 5, "b long, y double, j int")
+    make = lambda: sorted(map(str, join_on(left, right, [("a", "b"), ("x", "y")], how, null_match).collect()))
+    plain = make()
+    monkeypatch.setattr(relations, "HOT_ROWS", 3)
+    assert make() == plain
+    condition = (left.a.eqNullSafe(right.b) & left.x.eqNullSafe(right.y)) if null_match else (left.a == right.b) & (left.x == right.y)
+    assert plain == sorted(map(str, left.join(right, condition, how.lower()).collect()))
+
+
 def test_keys_are_equal_as_text(spark):
     text = spark.createDataFrame([("1",), ("1.0",), (None,)], "t string")
     number = spark.createDataFrame([(1.0,), (None,)], "n double")
