@@ -169,8 +169,26 @@ def literal_moment(value) -> Column | None:
         F.lit(moment.isoformat()).cast("timestamp_ntz"))
 
 
+def wide_order(column: Column) -> Column:
+    """A key that sorts text by its 16-bit units, as report sources do: beyond U+FFFF a character is two units that
+    stand before U+E000, whereas Spark's own order is that of code points."""
+    return F.encode(column, "UTF-16BE")
+
+
+def _order_text(op: str, a: Column, b: Column) -> Column:
+    """The order of two texts. Where either is plain ASCII both orders agree, and the cheaper one does."""
+    plain = COMPARE[op](a, b)
+    if op in ("EQ", "NE"):
+        return plain
+    ascii_side = (F.octet_length(a) == F.length(a)) | (F.octet_length(b) == F.length(b))
+    return F.when(ascii_side, plain).otherwise(COMPARE[op](wide_order(a), wide_order(b)))
+
+
 def _ranked(op: str, column: Column, value, null_wins: bool) -> Column:
     """``column op value`` for a non-null value; a null column counts as ``null_wins``."""
+    if isinstance(value, str) and op not in ("EQ", "NE") and any(c >= "\ue000" for c in value):
+        # Below U+E000 both orders agree, and the plain one reaches the scan.
+        column, value = wide_order(column), wide_order(F.lit(value))
     hit = COMPARE[op](column, value if isinstance(value, Column) else F.lit(value))
     return (hit | column.isNull()) if null_wins else (hit & column.isNotNull())
 
@@ -199,7 +217,7 @@ def _with_literal(df: DataFrame, op: str, operand: str | Column, value) -> Colum
             by_text = _ranked(op, left, as_text, null_wins=COMPARE[op](NULL_TEXT, as_text))
             return F.when(parsed.isNotNull(), COMPARE[op](parsed, F.lit(as_number))).otherwise(by_text)
         return _ranked(op, left, as_text, null_wins=COMPARE[op](NULL_TEXT, as_text))
-    return COMPARE[op](null_text(df, operand), F.lit(as_text))
+    return _order_text(op, null_text(df, operand), F.lit(as_text))
 
 
 # --- comparison of two columns ------------------------------------------------------------
@@ -222,7 +240,7 @@ def _with_column(df: DataFrame, op: str, left: str | Column, right: Column) -> C
         return _null_is_greatest(op, col_of(left), right)
     if a == b == BOOLEAN and op == "EQ":
         return col_of(left).eqNullSafe(right)
-    by_text = COMPARE[op](null_text(df, left), null_text(df, right))
+    by_text = _order_text(op, null_text(df, left), null_text(df, right))
     if {a, b} <= {NUMBER, TEXT}:
         x, y = number(df, left), number(df, right)
         return F.when(x.isNotNull() & y.isNotNull(), COMPARE[op](x, y)).otherwise(by_text)

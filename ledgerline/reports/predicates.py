@@ -33,6 +33,19 @@ def pred_eq_ne(t):
         eq_columns=Condition("status", "EQ", F.col("other")), ne_columns=Condition("status", "NE", F.col("other")))
 
 
+@report("""
+    WITH d AS (SELECT c_custkey, c_custkey % 3 AS k, substr(c_name, 15) AS tail FROM customer)
+    SELECT c_custkey, k = 0 OR (k = 1 AND tail > '0100') AS gt_literal, k > 0 AS lt_literal, k = 0 AS gt_column, k > 0 AS le_column FROM d
+""")
+def pred_order_wide_text(t):
+    # By 16-bit units an emoji stands before a full-width tilde, though its code point is the greater one.
+    k = F.col("c_custkey") % 3
+    lead = F.when(k == 0, "\uff5e").when(k == 1, "\U0001f600").otherwise("A")
+    df = t.customer.withColumns({"name": F.concat(lead, F.substr("c_name", F.lit(15))), "low": F.lit("\U0001f600\uffff"), "high": F.lit("\U0001f600zzzz")})
+    return flags(df, ["c_custkey"], gt_literal=Condition("name", "GT", "\U0001f6000100"), lt_literal=Condition("name", "LT", "\uff5e"),
+                 gt_column=Condition("name", "GT", F.col("low")), le_column=Condition("name", "LE", F.col("high")))
+
+
 @report("""
     WITH d AS (SELECT p_partkey, nullif(p_size, 10) AS size, substr(p_brand, 7) AS brand_no, p_brand,
                       nullif(p_type, 'PROMO') AS kind FROM part)

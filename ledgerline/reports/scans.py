@@ -1,5 +1,7 @@
 """Reads, lists and the cell table."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerline.functions import params as P
@@ -8,8 +10,9 @@ from ledgerline.operators.bands import detail_list
 from ledgerline.operators.ordering import preview
 from ledgerline.operators.relations import Relationship, qualify
 from ledgerline.plans.model import DataModel, TableDataset
-from ledgerline.reports.catalogue import nulled, report
+from ledgerline.reports.catalogue import nulled, report, rounded
 from ledgerline.session import new_path
+from ledgerline.sources.pieces import parquet_pieces, read_pieces, read_row_group
 from ledgerline.sources.readers import scan_csv, sql_dataset
 from ledgerline.sources.schema import Field, typed_projection
 from ledgerline.sources.sinks import cells_of, write_cells
@@ -121,6 +124,21 @@ def csv_many_headers(t):
     return scan_csv(t.spark, [f"{path}/even", f"{path}/odd"], [Field("c_custkey", "NUMBER", primary_key=True), Field("c_name"), Field("c_acctbal", "NUMBER")])
 
 
+@report("""
+    SELECT event_type, COUNT(*) AS n, round(SUM(value), 2) AS total FROM events
+    WHERE event_id >= (SELECT MAX(event_id) FROM events) / 2 GROUP BY event_type
+""")
+def source_partitioned(t):
+    # A source of one's own: tasks read the row groups of files, of which bounds leave out those that cannot match.
+    path = new_path(t.spark)
+    t.events.select("event_id", "event_type", "value").repartitionByRange(8, "event_id").write.parquet(path)
+    files = t.spark.read.parquet(path)
+    middle = (t.events.agg(F.max("event_id")).first()[0] or 0) / 2
+    events = read_pieces(t.spark, "row_groups", files.schema, parquet_pieces("event_id"), read_row_group, {"files": "\n".join(files.inputFiles())}, used_once=True)
+    found = events.where(F.col("event_id") >= math.ceil(middle)).groupBy("event_type")
+    return rounded(found.agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
 @report("""
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
     WHERE o_totalprice >= 200000 AND o_orderstatus = 'F'

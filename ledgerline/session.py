@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # What is written down compresses well; its size in memory decides whether it is broadcast.
     "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Filters reach sources of one's own (sources/pieces.py).
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)

@@ -22,9 +22,10 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def _by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
-    """The files under ``path`` grouped by their first lines, which are read by tasks."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-                                         F.monotonically_increasing_id().alias("no")).where("at = 0")
+    """The files under ``path`` grouped by their first lines that are not blank, which are read by tasks."""
+    lines = spark.read.text(path).select(trimmed(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no"))
+    lines = lines.where("at = 0 and value != ''")
     first = lines.groupBy("file").agg(F.min_by("value", "no").alias("header"))
     found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
     return [[unquote(f) for f in r["files"]] for r in found]
@@ -34,10 +35,10 @@ def scan_csv(spark: SparkSession, path: str | list[str], fields: Sequence[Field]
              quote: str = '"', on_error: str = "raise") -> DataFrame:
     """Columns by header name, short lines and empty cells null, unreadable numbers fail.
 
-    Files with unlike headers are read apart and put together by name; a column that a file lacks is
-    null there. ``quote=""`` takes quote characters as part of the text. Without ``fields`` every column is text.
+    Blank lines do not count. Files with unlike headers are read apart and put together by name; a column that a
+    file lacks is null there, and a file whose header is not that of its group fails. ``quote=""`` takes quote characters as part of the text. Without ``fields`` every column is text.
     """
-    reader = spark.read.option("header", True).option("quote", quote).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("quote", quote).option("mode", "PERMISSIVE").option("enforceSchema", False)
     groups = _by_header(spark, path)
     parts = [_texts(reader.csv(files)) for files in groups] if len(groups) > 1 else [_texts(reader.csv(path))]
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -179,3 +179,10 @@ def test_jdbc_options(spark, rows):
     database.frames["bounds"] = spark.createDataFrame([(None, None)], "low bigint, high bigint")
     R.scan_jdbc(database, "jdbc:x", "empty", partition=("ID", 8))
     assert "partitionColumn" not in database.scans[-1]
+
+
+def test_blank_first_lines_are_no_headers(spark, tmp_path):
+    for name, text in {"a": "\nid,name\n1,Ann\n", "b": "  \n\nname,id\nCy,3\n", "c": '\n"id","name"\n4,"Di, D"\n'}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = R.scan_csv(spark, str(tmp_path)).select("id", "name").collect()
+    assert sorted(map(tuple, got)) == [("1", "Ann"), ("3", "Cy"), ("4", "Di, D")]
