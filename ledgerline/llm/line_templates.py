@@ -11,14 +11,22 @@ LEADING = 2        # leading tokens on the path to a leaf, after the token count
 MIN_DOCS = 5       # texts that a template recurs in
 CONSTANT = 75      # per cent of a generalised template's tokens that stay
 LEAST_CONSTANT = 4
-COPY_SHARE = 80    # per cent of a text's tokens that recur, from which it counts as a copy
+MOST_FIELDS = 3    # tokens that a template generalises, besides masked ones
+PARTS = MOST_FIELDS + 1  # of a line: lines of one template share a part at least, whole
 FIELD = "<*>"
 WORDS = 1 << 16    # of 64 bits each, in a set of keys that is sent to all tasks
 
 
+def identity(text: Column) -> Column:
+    """Tells texts apart: 128 bits."""
+    return F.unhex(F.md5(text))
+
+
 def spaced_line(line: Column) -> Column:
     """The line's tokens, one space apart."""
-    odd = line.rlike(r"[\x09-\x0D]|^\x20|\x20\x20|\x20$")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for part in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(part))
     return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
@@ -44,73 +52,101 @@ def _may_match(key: Column) -> Column:
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """``text_key, line_no, masked, n_tokens, leaf`` of every line with tokens; a leaf of the tree holds
-    the lines of one token count that begin with the same tokens."""
-    lines = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("text_key", "line_no", spaced_line(F.col("line")).alias("spaced")).where("spaced != ''")
-    tokens = F.length("spaced") - F.length(F.replace("spaced", F.lit(" "))) + 1
-    return lines.withColumn("n_tokens", tokens) \
-        .withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("spaced", " ", LEADING)))) \
-        .select("text_key", "line_no", masked(F.col("spaced")).alias("masked"), "n_tokens", "leaf")
-
-
-def _texts(lines: DataFrame, *key: str) -> DataFrame:
-    """In how many distinct texts each key occurs; counted in the tasks that read the lines first."""
-    return lines.select(*key, "text_key").distinct().groupBy(*key).agg(F.count("*").alias("texts"))
-
-
-def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``masked, template`` for each distinct line: in its leaf, a token that is rare at its place is a
-    field too, unless too few constant tokens would stay; such a line is its own template."""
-    distinct = _texts(lines, "leaf", "masked")
-    tokens = distinct.select("leaf", "masked", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    stay = tokens.where(F.col("token") != FIELD).join(common, ["leaf", "place", "token"], "left_semi") \
-        .groupBy("masked").agg(F.collect_set("place").alias("places"), F.count("*").alias("stays"))
-    general = F.array_join(F.transform(F.split("masked", " "), lambda t, i: F.when(F.array_contains("places", i), t).otherwise(FIELD)), " ")
-    enough = (F.col("stays") >= LEAST_CONSTANT) & (F.col("stays") * 100 >= F.size(F.split("masked", " ")) * CONSTANT)
-    return distinct.select("masked").join(stay, "masked", "left") \
-        .select("masked", F.when(enough, general).otherwise(F.col("masked")).alias("template"))
+    """``text_key, line_no, raw, line_key, leaf, parts`` of every line with tokens, once for equal texts.
+
+    A leaf of the tree holds the lines of one token count that begin with the same tokens. ``parts`` are hashes of
+    the line's quarters in their leaf. Of a line only keys go on, whatever its length.
+    """
+    texts = docs.where("text is not null").select(identity(F.col("text")).alias("text_key"), F.split("text", "\n").alias("lines"))
+    lines = texts.select("text_key", F.posexplode("lines").alias("line_no", "line"))
+    lines = lines.select("text_key", "line_no", F.xxhash64("line").alias("raw"), spaced_line(F.col("line")).alias("spaced")).where("spaced != ''")
+    lines = lines.select("text_key", "line_no", "raw", masked(F.col("spaced")).alias("masked"))
+    lines = lines.select("text_key", "line_no", "raw", "masked", F.split("masked", " ").alias("tokens"))
+    lines = lines.select("text_key", "line_no", "raw", identity(F.col("masked")).alias("line_key"), "tokens", _leaf(F.col("tokens")).alias("leaf"))
+    n = F.size("tokens")
+    at = [F.floor(n * q / PARTS).cast("int") for q in range(PARTS + 1)]
+    parts = [F.when(at[q + 1] > at[q], F.xxhash64("leaf", F.lit(q), F.slice("tokens", at[q] + 1, at[q + 1] - at[q]))) for q in range(PARTS)]
+    return lines.select("text_key", "line_no", "raw", "line_key", "leaf", F.array_compact(F.array(*parts)).alias("parts")).distinct()
+
+
+def _leaf(tokens: Column) -> Column:
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
+
+
+def candidate_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``line_key, raw, lines`` of distinct lines that have a part which ``min_docs`` lines share. A template's
+    lines differ in fewer places than they have parts, so all lines of a template that recurs are found."""
+    parts = lines.select("line_key", "raw", F.explode("parts").alias("part"))
+    shared = write_down(parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("part"))
+    some = parts.join(_bits(shared, "part"), _word(F.col("part")) == F.col("_word")).where(_may_match(F.col("part"))).drop("_word", "_bits")
+    found = some.join(shared, "part", "left_semi").groupBy("line_key").agg(F.min("raw").alias("raw"))
+    counts = lines.groupBy("line_key").agg(F.count("*").alias("lines"))
+    return found.join(counts, "line_key")
+
+
+def line_templates(docs: DataFrame, candidates: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``line_key, template_key`` of candidate lines: in its leaf, a token that is rare at its place is a field too,
+    unless too many would be or too few constant tokens would stay; such a line is its own template. Lines are
+    read from ``docs`` again, one of each kind, and those of fields alone have no template."""
+    wanted = write_down(candidates)
+    raws = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).withColumn("raw", F.xxhash64("line"))
+    raws = raws.join(_bits(wanted.select("raw"), "raw"), _word(F.col("raw")) == F.col("_word")).where(_may_match(F.col("raw"))).select("raw", "line").distinct()
+    read = raws.join(wanted.select("raw"), "raw", "left_semi").select(F.split(masked(spaced_line(F.col("line"))), " ").alias("tokens"))
+    read = read.select(identity(F.array_join("tokens", " ")).alias("line_key"), "tokens", _leaf(F.col("tokens")).alias("leaf")).dropDuplicates(["line_key"])
+    kinds = write_down(read.join(wanted.select("line_key", "lines"), "line_key"))
+    tokens = kinds.select("leaf", "line_key", "lines", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != FIELD)
+    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("lines").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # A line that recurs as it is has common tokens only.
+    stay = tokens.where(F.col("lines") < min_docs).join(common, ["leaf", "place", "token"], "left_semi") \
+        .groupBy("line_key").agg(F.collect_set("place").alias("places"), F.count("*").alias("stays"))
+    general = F.transform("tokens", lambda t, i: F.when(F.array_contains("places", i), t).otherwise(FIELD))
+    own = F.size(F.filter("tokens", lambda t: t != FIELD))
+    enough = (F.col("stays") >= LEAST_CONSTANT) & (F.col("stays") * 100 >= F.size("tokens") * CONSTANT) & (own - F.col("stays") <= MOST_FIELDS)
+    template = F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ")
+    return kinds.where(own > 0).join(stay, "line_key", "left").select("line_key", identity(template).alias("template_key"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``text_key, gone``: the line numbers (from 0) that go from each text that loses any."""
-    lines = tree_lines(docs)
-    leaves = write_down(_texts(lines, "leaf").where(F.col("texts") >= min_docs).select("leaf"))
-    some = lines.join(_bits(leaves, "leaf"), _word(F.col("leaf")) == F.col("_word")).where(_may_match(F.col("leaf"))).drop("_word", "_bits")
-    lines = write_down(some.join(leaves, "leaf", "left_semi"))
-    named = lines.join(write_down(line_templates(lines, min_docs)), "masked").where(
-        F.replace(F.replace("template", F.lit(FIELD)), F.lit(" ")) != "")
-    recurring = _texts(named, "template").where(F.col("texts") >= min_docs).select("template")
-    gone = named.join(recurring, "template", "left_semi").select("text_key", "line_no", "n_tokens").distinct()
-    return gone.groupBy("text_key").agg(F.sort_array(F.collect_list("line_no")).alias("gone"), F.sum("n_tokens").alias("gone_tokens"))
+    lines = write_down(tree_lines(docs))
+    templates = write_down(line_templates(docs, candidate_lines(lines, min_docs), min_docs))
+    named = write_down(lines.select("text_key", "line_no", "line_key").join(templates, "line_key", "left")
+                       .select("text_key", "line_no", F.coalesce("template_key", "line_key").alias("name"), F.col("template_key").isNotNull().alias("found")))
+    recurring = named.where("found").select("name", "text_key").distinct().groupBy("name").agg(F.count("*").alias("texts")) \
+        .where(F.col("texts") >= min_docs).select("name", F.lit(True).alias("recurs"))
+    marked = named.join(write_down(recurring), "name", "left")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "name"))), lambda x: F.hex(x["name"]))
+    texts = write_down(marked.groupBy("text_key").agg(identity(F.array_join(ordered, "")).alias("templates"),
+                                                      F.collect_list(F.when(F.col("recurs"), F.col("line_no"))).alias("gone")))
+    copies = texts.groupBy("templates").agg(F.count("*").alias("n")).where("n > 1").select("templates")
+    return texts.where(F.size("gone") > 0).join(copies, "templates", "left_anti").select("text_key", F.sort_array("gone").alias("gone"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and the counts ``n_lines, n_dropped``.
 
     A line's path through the tree is its token count and first tokens; fields with digits or an at
-    sign, and tokens rare at their place in the leaf, are generalised. A line goes if its template
-    occurs in ``min_docs`` distinct texts or more; equal texts count once. A text of which
-    ``COPY_SHARE`` per cent of the tokens would go is a copy rather than one with boilerplate around
-    it, and stays whole: that is for document deduplication to judge. Blank lines, and lines of
+    sign, and up to ``MOST_FIELDS`` tokens rare at their place in the leaf, are generalised. A line goes if its
+    template occurs in ``min_docs`` distinct texts or more; equal texts count once. Texts whose lines have the same
+    templates in the same order, all of them, are copies of one another rather than texts with boilerplate
+    around them, and stay whole: they are for document deduplication to judge. Blank lines, and lines of
     fields alone, stay. Rows are never dropped: null stays null (no lines), an empty text has one
     line, repeated rows lose the same lines, and other columns pass through; columns named as the two
     counts are replaced. An empty table gives an empty result.
     """
-    text_key, kept = F.xxhash64("text"), [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     gone = write_down(recurring_lines(docs, min_docs).select(
-        F.col("text_key").alias("_key"), F.col("gone").alias("_gone"), F.col("gone_tokens").alias("_tokens")))
+        F.col("text_key").alias("_key"), F.xxhash64("text_key").alias("_hash"), F.col("gone").alias("_gone")))
     # Texts that surely lose nothing are not shuffled.
-    keyed = docs.select(*kept).withColumn("_key", text_key)
-    keyed = keyed.join(_bits(gone, "_key"), _word(F.col("_key")) == F.col("_word"), "left").withColumn("_may", _may_match(F.col("_key"))) \
-        .drop("_word", "_bits")
-    none = [F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in ("_gone", "_tokens")]
-    joined = keyed.where("_may").join(gone, "_key", "left").unionByName(keyed.where("not _may").select("*", *none))
-    whole = F.col("_gone").isNull() | (F.col("_tokens") * 100 >= tokens * COPY_SHARE)
+    keyed = docs.select(*kept).withColumn("_key", identity(F.col("text")))
+    keyed = keyed.withColumn("_hash", F.xxhash64("_key"))
+    keyed = keyed.join(_bits(gone, "_hash"), _word(F.col("_hash")) == F.col("_word"), "left").withColumn("_may", _may_match(F.col("_hash"))) \
+        .drop("_word", "_bits", "_hash")
+    none = F.lit(None).cast(gone.schema["_gone"].dataType).alias("_gone")
+    joined = keyed.where("_may").join(gone.drop("_hash"), "_key", "left").unionByName(keyed.where("not _may").select("*", none))
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    whole = F.col("_gone").isNull()
     dropped = F.when(whole, 0).otherwise(F.size("_gone")).cast("long")
     text = F.when(whole, F.col("text")).otherwise(stay)
     return joined.select(*[(text if c == "text" else F.col(c)).alias(c) for c in kept], count.alias("n_lines"), dropped.alias("n_dropped"))
@@ -118,29 +154,30 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
 
 #: The same by plain SQL, for DuckDB.
 ORACLE_SQL = r"""
-WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-split AS (SELECT text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM texts),
-tokens AS (SELECT text, line_no, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
+WITH texts AS (SELECT text, row_number() OVER () AS id FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+split AS (SELECT id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM texts),
+tokens AS (SELECT id, line_no, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
   lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END) AS toks FROM split),
-lines AS (SELECT text, line_no, toks, len(toks) AS n, toks[1:2] AS lead FROM tokens WHERE toks != ['']),
-leaves AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING count(DISTINCT text) >= 5),
-held AS (SELECT * FROM lines SEMI JOIN leaves USING (n, lead)),
-uniq AS (SELECT n, lead, toks, count(DISTINCT text) AS texts FROM held GROUP BY n, lead, toks),
-places AS (SELECT n, lead, toks, texts, generate_subscripts(toks, 1) AS place, unnest(toks) AS tok FROM uniq),
-common AS (SELECT n, lead, place, tok FROM places GROUP BY n, lead, place, tok HAVING sum(texts) >= 5),
+lines AS (SELECT id, line_no, toks, len(toks) AS n, toks[1:2] AS lead FROM tokens WHERE toks != ['']),
+parts AS (SELECT n, lead, toks, q, toks[q * n // 4 + 1:(q + 1) * n // 4] AS part FROM lines, range(4) r(q) WHERE (q + 1) * n // 4 > q * n // 4),
+shared AS (SELECT n, lead, q, part FROM parts GROUP BY n, lead, q, part HAVING count(*) >= 5),
+uniq AS (SELECT n, lead, toks, count(*) AS lines FROM lines SEMI JOIN (SELECT toks FROM parts SEMI JOIN shared USING (n, lead, q, part)) c USING (toks) GROUP BY n, lead, toks),
+places AS (SELECT n, lead, toks, lines, generate_subscripts(toks, 1) AS place, unnest(toks) AS tok FROM uniq),
+common AS (SELECT n, lead, place, tok FROM places GROUP BY n, lead, place, tok HAVING sum(lines) >= 5),
 stay AS (SELECT toks, list(place) AS stays FROM places SEMI JOIN common USING (n, lead, place, tok) WHERE tok != '<*>' GROUP BY toks),
-templates AS (SELECT u.toks, CASE WHEN len(stays) >= 4 AND len(stays) * 100 >= len(u.toks) * 75
+templates AS (SELECT u.toks, CASE WHEN len(stays) >= 4 AND len(stays) * 100 >= n * 75 AND len(list_filter(u.toks, lambda t: t != '<*>')) - len(stays) <= 3
   THEN list_transform(u.toks, lambda t, i: CASE WHEN list_contains(stays, i) THEN t ELSE '<*>' END) ELSE u.toks END AS template
-  FROM uniq u LEFT JOIN stay s ON u.toks = s.toks),
-named AS (SELECT h.*, template FROM held h JOIN templates t ON h.toks = t.toks
-  WHERE len(list_filter(template, lambda x: x != '<*>')) > 0),
-recurring AS (SELECT template FROM named GROUP BY template HAVING count(DISTINCT text) >= 5),
-gone AS (SELECT text, list(DISTINCT line_no) AS nos, sum(n) AS n_gone FROM named SEMI JOIN recurring USING (template) GROUP BY text)
+  FROM uniq u LEFT JOIN stay s ON u.toks = s.toks WHERE len(list_filter(u.toks, lambda t: t != '<*>')) > 0),
+named AS (SELECT id, line_no, coalesce(template, l.toks) AS name, template IS NOT NULL AS found FROM lines l LEFT JOIN templates t ON l.toks = t.toks),
+recurring AS (SELECT name FROM named WHERE found GROUP BY name HAVING count(DISTINCT id) >= 5),
+marked AS (SELECT id, list(n.name ORDER BY line_no) AS templates, list(line_no) FILTER (r.name IS NOT NULL) AS nos
+  FROM named n LEFT JOIN recurring r ON n.name = r.name GROUP BY id),
+gone AS (SELECT text, nos FROM marked JOIN texts USING (id) WHERE nos IS NOT NULL
+  AND templates NOT IN (SELECT templates FROM marked GROUP BY templates HAVING count(*) > 1))
 SELECT d.doc_id,
   CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
-  CASE WHEN g.nos IS NULL OR whole THEN 0 ELSE len(g.nos) END::BIGINT AS n_dropped,
-  CASE WHEN g.nos IS NULL OR whole THEN d.text ELSE
+  CASE WHEN g.nos IS NULL THEN 0 ELSE len(g.nos) END::BIGINT AS n_dropped,
+  CASE WHEN g.nos IS NULL THEN d.text ELSE
     array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.nos, i)), chr(10)) END AS text
-FROM documents d LEFT JOIN (SELECT text, nos, n_gone * 100 >= len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) * 80 AS whole FROM gone) g
-  ON d.text = g.text
+FROM documents d LEFT JOIN gone g ON d.text = g.text
 """
