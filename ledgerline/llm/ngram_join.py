@@ -14,7 +14,8 @@ from ledgerline.session import write_down
 
 WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
 LEAST_HEAD = 8   # tokens of a small set that are all looked at
-STARS = 4        # leaders that each document is held against before the matrix
+LEADERS = 2      # that each document is held against in a round before the matrix
+WORTHWHILE = 50  # a round is followed by another if it joined one in so many components
 GROUP = 32       # documents in a group of the matrix
 BUNDLE = 8       # groups of one kind that a query is sent to at once
 QUERIES = 512    # queries that meet one bundle in one task
@@ -100,18 +101,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(shared * 100 >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def star_links(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``a, b`` of each class with the leaders of a few of its tokens: a pass in linear work that
-    joins most copies of a text, however many there are."""
-    tokens = posts.withColumn("turn", F.row_number().over(
-        Window.partitionBy("class").orderBy(F.xxhash64("token"), "token"))).where(F.col("turn") <= STARS)
-    leader = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", "token").alias("h"), F.col("class").alias("b"),
-                                                       F.col("n").alias("m"))).alias("leader"))
-    pairs = tokens.join(leader, "token").select(F.col("class").alias("a"), "leader.b", "n", "leader.m") \
-        .where((F.col("a") != F.col("b")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
+def star_links(placed: DataFrame, sets: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` of each class with the leaders of a few of its tokens, where these are of another
+    component. ``turn`` draws other tokens and leaders."""
+    drawn = Window.partitionBy("class").orderBy(F.xxhash64("token", F.lit(turn)), "token")
+    tokens = placed.withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= LEADERS)
+    leader = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", "token", F.lit(turn)).alias("h"), F.col("class").alias("b"),
+                                                        F.col("n").alias("m"), F.col("component").alias("other"))).alias("leader"))
+    pairs = tokens.join(leader, "token").select(F.col("class").alias("a"), "leader.b", "n", "leader.m", "component", "leader.other") \
+        .where((F.col("component") != F.col("other")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
     return _verified(pairs.select("a", "b").distinct(), sets, percent)
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of tokens that several components have."""
+    tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    return write_down(placed.join(tokens, "token", "left_semi"))
+
+
+def star_components(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` of all classes as far as stars join them, and the rows of ``posts``, with their
+    component, that may hold more links.
+
+    A round is linear work and joins most copies around its leaders, however many there are. Only what lies
+    in unlike components goes on to the next, with other leaders, so a group of near copies is one
+    component, or nearly, before all its remaining links are looked for. Rounds end when one joins little.
+    """
+    known = posts.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct()
+    placed, turn = _open(posts.withColumn("component", F.col("class"))), 0
+    while True:
+        name = placed.select("class", "component").distinct()
+        links = star_links(placed, sets, turn, percent)
+        links = links.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b")
+        roots = write_down(components(links, "ca", "cb").toDF("component", "root"))
+        joined, open_ = roots.where("component != root").count(), name.select("component").distinct().count()
+        if joined:
+            rooted = lambda df: df.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")  # noqa: B023, E731
+            known, placed = write_down(rooted(known)), _open(rooted(placed))
+        if joined * WORTHWHILE <= open_:
+            return known, placed
+        turn += 1
+
+
 def _open_groups(percent: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
@@ -133,8 +164,8 @@ def _open_groups(percent: int):
     return run
 
 
-def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``a, b`` between components of ``known`` (node, component) that it lacks, none left out.
+def matrix_links(placed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` between the components of ``placed``, none left out.
 
     The documents still in question are partitioned into groups of similar ones: by component, else
     by the most frequent token they are looked up under, then by size, in parts of about ``GROUP``.
@@ -144,11 +175,6 @@ def matrix_links(posts: DataFrame, sets: DataFrame, known: DataFrame, percent: i
     its overlap with any document there, and only groups that may reach the limit are opened. A link
     to a component that is already joined is not looked for again.
     """
-    placed = posts.join(known.select(F.col("node").alias("class"), "component"), "class", "left") \
-        .withColumn("component", F.coalesce("component", "class"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
-        .where("low != high").select("token")
-    placed = write_down(placed.join(open_tokens, "token"))
     members = placed.groupBy("class", "component", "n").agg(F.max(F.struct("df", "token"))["token"].alias("anchor"))
     grouped = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component") \
         .withColumn("anchor", F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("anchor"))) \
@@ -202,8 +228,8 @@ def rooted_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         .join(found, ["text_key", "id"], "left_semi").select("text")
     sets = map_texts(texts, "class long, n long, tokens array<long>", _token_sets(width))
     sets = write_down(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
-    stars = components(star_links(posts, sets, percent), "a", "b")
-    more = components(matrix_links(posts, sets, stars, percent), "a", "b")
+    stars, placed = star_components(posts, sets, percent)
+    more = components(matrix_links(placed, sets, percent), "a", "b")
     merged = more.select(F.col("node").alias("component"), F.col("component").alias("root"))
     classes = wanted.join(stars.withColumnRenamed("node", "class"), "class", "left") \
         .select("class", F.coalesce("component", "class").alias("component")) \

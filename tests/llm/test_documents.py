@@ -12,6 +12,7 @@ from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import capped_targets, mix, sainte_lague
+from ledgerline.llm import ngram_join
 from ledgerline.llm.ngram_join import jaccard_groups
 from ledgerline.llm.passages import paragraph_starts, repeated_passages
 from ledgerline.llm.personal_data import KINDS, find_personal_data, listed_spans
@@ -70,6 +71,23 @@ def test_jaccard_groups_equal_brute_force(spark, documents):
     assert sorted(got) == expected
 
 
+def test_jaccard_groups_of_drifting_copies(spark, documents, monkeypatch):
+    """A chain in which only neighbours link is one group, whichever leaders are drawn, and so is a large group
+    of near copies beside a smaller one that shares a passage with it."""
+    base, chain = prose(77, 120), []
+    for i in range(50):
+        base = [*base[:i * 2 % 118], f"step{i}", *base[i * 2 % 118 + 1:]]
+        chain.append(" ".join(base))
+    shared = prose(5, 200)
+    large = [" ".join(f"n{i}" if k == i % 200 else w for k, w in enumerate(shared)) for i in range(150)]
+    small = [" ".join(shared[:90] + prose(8, 110)[:110 - i]) for i in range(4)]
+    rows = list(enumerate(chain)) + [(100 + i, t) for i, t in enumerate(large)] + [(400 + i, t) for i, t in enumerate(small)]
+    for worthwhile in (50, 10**9):  # as registered, and with stars until they join nothing
+        monkeypatch.setattr(ngram_join, "WORTHWHILE", worthwhile)
+        got = {r.doc_id: r.component_id for r in jaccard_groups(documents(rows)).collect()}
+        assert got == {i: 0 if i < 100 else 100 if i < 400 else 400 for i, _ in rows}
+
+
 def test_contamination_equals_brute_force(spark, documents):
     items = [(1, " ".join(prose(50, 30))), (2, "Short ITEM, here."), (3, None), (4, "!!"), (5, " ".join(prose(50, 14))), (None, "no id item")]
     a, b = prose(50, 30), prose(51, 200)
