@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.texts import map_texts
+from ledgerline.session import write_down
 
 WINDOW = 13
 PART_WINDOWS = 20_000  # windows in one automaton, a few MB sent to each executor
@@ -46,7 +47,7 @@ def _scan(windows):
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for k, (window, _) in enumerate(windows.value):
+        for k, (_, window) in enumerate(windows.value):
             automaton.add_word(f" {window} ", k)
         automaton.make_automaton()
 
@@ -56,21 +57,21 @@ def _scan(windows):
             if not found:
                 return len(words), [], []
             ends = np.cumsum([len(w.decode()) + 1 for w in words])  # where the space after each word is
-            change, items = np.zeros(len(words) + 1, np.int64), set()
+            change, held = np.zeros(len(words) + 1, np.int64), set()
             for end, k in found:
                 last = int(np.searchsorted(ends, end))
-                change[last - windows.value[k][0].count(" ")] += 1
+                change[last - windows.value[k][1].count(" ")] += 1
                 change[last + 1] -= 1
-                items.update(windows.value[k][1])
+                held.add(windows.value[k][0])
             edges = np.diff(np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False])).astype(np.int64))
             runs = list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist(), strict=True))
             spans = [{"first": a, "last": b, "start": s, "end": e}
                      for (a, b), (s, e) in zip(runs, original_spans(text, runs), strict=True)]
-            return len(words), spans, sorted(items)
+            return len(words), spans, sorted(held)
 
         def work(texts):
             out = [scan(t) for t in texts]
-            return {"n_words": [n for n, _, _ in out], "runs": [r for _, r, _ in out], "items": [i for _, _, i in out]}
+            return {"n_words": [n for n, _, _ in out], "runs": [r for _, r, _ in out], "held": [h for _, _, h in out]}
         return work
     return start
 
@@ -86,29 +87,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, pe
 
     One automaton over all windows reads every text once. A benchmark of more than ``PART_WINDOWS``
     distinct windows is taken in parts of about that many, each with an automaton and a pass of its
-    own, so what executors receive is bounded. Null and empty texts have no words; null item ids
+    own, so what executors receive is bounded: windows and their ids. Which items these belong to is joined
+    afterwards, so items that share windows weigh nothing in the automaton. Null and empty texts have no words; null item ids
     still hit but name no item; repeated rows get the same answer each; an empty benchmark hits
     nothing; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    windows = map_texts(benchmark.select("item_id", "text"), "windows array<string>", _windows_of(width)) \
-        .select("item_id", F.explode("windows").alias("window")) \
-        .groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    named = write_down(map_texts(benchmark.select("item_id", "text"), "windows array<string>", _windows_of(width))
+                       .select("item_id", F.explode("windows").alias("window")).withColumn("id", F.xxhash64("window")))
+    windows = write_down(named.select("id", "window").distinct())
     parts = max(1, -(-windows.count() // PART_WINDOWS))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     passes = None
     for part in range(parts):
-        held = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).sort("window").collect()
-        sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in held])
+        held = windows.where(F.pmod("id", F.lit(parts)) == part).sort("window").collect()
+        sent = spark.sparkContext.broadcast([(r["id"], r["window"]) for r in held])
         found = map_texts(keyed.withColumn("part", F.lit(part)), "n_words long, "
-                          "runs array<struct<first:long,last:long,start:long,end:long>>, items array<long>", _scan(sent))
+                          "runs array<struct<first:long,last:long,start:long,end:long>>, held array<long>", _scan(sent))
         passes = found if passes is None else passes.unionByName(found)
     each = passes.groupBy("doc_id", "text_key", "part").agg(
-        F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("runs").alias("runs"), F.first("items").alias("items"))
-    merged = each.groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("runs").alias("runs"), F.first("held").alias("held"))
+    merged = write_down(each.groupBy("doc_id", "text_key").agg(
         F.first("copies").alias("copies"), F.first("n_words").alias("n_words"),
-        F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"), F.flatten(F.collect_list("held")).alias("held")))
+    # Which items have the windows that were found; a window may belong to any number of them.
+    asked = merged.where(F.size("held") > 0).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.explode("held").alias("id"))
+    items = asked.join(named.select("id", "item_id").where("item_id is not null"), "id").groupBy("d", "k") \
+        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
+    merged = merged.join(items, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left") \
+        .withColumn("items", F.coalesce("items", none))
     # Runs sorted by their first word; a run adds the words beyond the furthest one so far.
     hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("upto")),
                       lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["last"] - F.greatest(r["first"] - 1, a["upto"]))).alias("n"),
