@@ -13,8 +13,9 @@ from ledgerline.session import write_down
 MOST_BAD = 0.3  # a host is blocked if its rate of bad pages is above this
 SURELY = 1.28   # standard deviations that the rate is above it (nine in ten)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Public suffixes of two labels; all others are taken to have one.
-SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.uk")
+# Second labels that make a suffix of two labels before a country of two letters.
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+ADDRESS = r"^[0-9.]*$|:"
 
 
 @dataclass(frozen=True)
@@ -44,17 +45,22 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def _two_labels(name: Column) -> Column:
+    """Whether the suffix has two labels, as in ``co.uk``."""
+    before = F.substring_index(F.substring_index(name, ".", -2), ".", 1)
+    return name.rlike(r"(?:^|\.)[^.]+\.[a-z]{2}$") & before.isin(*SECOND)
+
+
 def suffix_of(name: Column) -> Column:
-    last = F.substring_index(name, ".", -1)
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(last)
+    """The last label, or the last two where :data:`SECOND` has the one before a country; an address has none."""
+    suffix = F.when(_two_labels(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return F.when(name.rlike(ADDRESS), "").otherwise(suffix)
 
 
 def domain_of(name: Column) -> Column:
     """The registered domain: one label more than the suffix; an address is its own domain."""
-    labels = F.when(F.substring_index(name, ".", -2).isin(*SUFFIXES), F.substring_index(name, ".", -3)) \
-        .otherwise(F.substring_index(name, ".", -2))
-    return F.when(name.rlike(r"^[0-9.]*$|:"), name).otherwise(labels)
+    labels = F.when(_two_labels(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(ADDRESS), name).otherwise(labels)
 
 
 def prior_strength(level: DataFrame) -> float:
@@ -124,9 +130,11 @@ WITH urls AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0
 outcomes AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 hosts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad,
-    string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g'), '.') AS labels
+    regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g') AS name, string_split(name, '.') AS labels,
+    regexp_matches(name, '^[0-9.]*$|:') AS address, CASE WHEN regexp_matches(name, '(^|\.)(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') THEN 2 ELSE 1 END AS k
   FROM (SELECT DISTINCT page_id, host FROM urls) LEFT JOIN outcomes USING (page_id) GROUP BY host),
-placed AS (SELECT host, n, bad, labels[-1] AS suffix, array_to_string(labels[-2:], '.') AS domain FROM hosts),
+placed AS (SELECT host, n, bad, CASE WHEN address THEN '' ELSE array_to_string(labels[-k:], '.') END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(labels[-k - 1:], '.') END AS domain FROM hosts),
 overall AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2) AS mean FROM placed),
 s AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(mean) AS mean FROM placed, overall GROUP BY suffix),
 sk AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE
