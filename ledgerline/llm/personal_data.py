@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ledgerline.session import write_down
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000      # candidates a kind that the trees learn from, and as many for the thresholds
-PRECISION = 0.95   # of a kind's redactions among the candidates for its threshold
-LEAST_FOUND = 20   # candidates above a threshold, for it to be trusted
+SAMPLE = 4000      # candidates of a kind and label that the trees learn from at most
+PRECISION = 0.95   # of a kind's labelled candidates above its threshold
+BINS = 100         # of scores, in which thresholds are set
+# How many look-alikes pass a kind's format test for one that fails it: four numbers up to 999 are all below 256 in
+# one of 233 cases, a check digit is right in one of ten; shapes without such a test count as they are.
+PASSING = {"email": 1.0, "ip": 1 / 232, "card": 1 / 9, "phone": 1.0}
 CONTEXT = 24       # characters looked at before a span
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -27,8 +30,8 @@ BASE = {
 }
 # Generators of further candidates; a span may be proposed by several.
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[.,][0-9]{1,3}+){3}+(?![0-9.])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)*+",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}+){3}+(?![0-9.])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[\x20./-]{0,2}+[0-9]){12,18}+(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])[+(]?+[0-9](?:[\x20().\x2F-]{0,2}+[0-9]){6,14}+(?![A-Za-z0-9])",
 }
@@ -79,8 +82,34 @@ def _listed(spans: Column) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def disguised(kind: Column, match: Column, turn: Column) -> Column:
+    """A base match as people write it to keep it from such rules: with other marks, or without a plus."""
+    pick = lambda *ways: F.element_at(F.array(*ways), (F.pmod(turn, F.lit(len(ways))) + 1).cast("int"))
+    local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    email = pick(*[F.concat(local, F.lit(at), F.replace(domain, F.lit("."), F.lit(dot))) for at, dot in (
+        (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."))])
+    ip = pick(*[F.replace(match, F.lit("."), F.lit(dot)) for dot in ("[.]", "(.)", " . ")])
+    card = pick(*[F.regexp_replace(digits_of(match), r"([0-9]{4})(?=[0-9])", rf"$1{mark}") for mark in (".", "/", "  ", "-")])
+    bare = F.substring(match, 2, 1 << 20)
+    phone = pick(bare, F.concat(F.lit("00"), bare), F.translate(bare, " -", ".."), F.translate(bare, "-", "/"))
+    return F.element_at(F.array(email, ip, card, phone), kind + 1)
+
+
+def proven_wrong(kind: Column, match: Column, before: Column) -> Column:
+    """Whether the format alone, or what a number is called, shows that a candidate is not of its kind."""
+    n = F.length(digits_of(match))
+    email = ~match.rlike(r"(?:@|[\[(]at[\])]).*(?:\.|[\[(]dot[\])])")
+    ip = ~F.regexp_replace(match, r"[^0-9.]", "").rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
+    card = ~(n.between(13, 19) & passes_luhn(digits_of(match)))
+    day = match.rlike(r"^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})")
+    plain = match.rlike("^[0-9]+$") & ~before.rlike(NAMED["phone"])
+    phone = ~n.between(8, 15) | day | plain
+    called = before.rlike(NAMED["number"]) & (kind != 0)
+    return F.element_at(F.array(email, ip, card, phone), kind + 1) | called
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, wider``: valid base spans, and candidates beyond them with their context."""
+    """``row, text_key, doc_id, base, wider``: valid base spans, and candidates beyond them with their context."""
     text = F.coalesce("text", F.lit(""))
 
     def kept(k, kind):
@@ -94,11 +123,21 @@ def found_spans(docs: DataFrame) -> DataFrame:
             F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))).alias("before"),
             F.substring(text, s["end"] + 1, F.lit(1)).alias("after")))
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_key"), "doc_id",
                        F.concat(*[kept(k, kind) for k, kind in enumerate(KINDS)]).alias("base"),
                        F.concat(*[wide(k, kind) for k, kind in enumerate(KINDS)]).alias("wider"))
 
 
+# Words that name what follows.
+NAMED = {
+    "phone": r"\b(?:tel|phone|call|fax|mobile|telefon|téléphone|teléfono|t[ée]l)\b",
+    "mail": r"\b(?:e-?mail|mail|contact|write|correo|courriel)\b",
+    "card": r"\b(?:card|visa|credit|karte|carte|tarjeta)\b",
+    "ip": r"\b(?:ip|addr|address|host|server)\b",
+    "number": r"\b(?:id|no|nr|order|token|key|hash|invoice|ref)\b[^a-z]{0,4}$",
+}
+
+
 def _count(pattern: str) -> Column:
     return F.regexp_count("match", F.lit(pattern)).cast("double")
 
@@ -114,26 +153,31 @@ def features() -> dict[str, Column]:
         "marks": _count(r"[().\x2F-]"),
         "groups": _count("[0-9]+"),
         "opens": F.col("match").rlike(r"^[+(]").cast("double"),
-        "odd": _count(r"[\[(]?(?:at|dot)[\])]?|,"),
+        "odd": _count(r"[\[(](?:at|dot|\.)[\])]"),
         "before_space": F.col("before").rlike(r"(?:^|\s)$").cast("double"),
         "before_mark": F.col("before").rlike(r"[=\"'#:_$-]\s?$").cast("double"),
         "after_letter": F.col("after").rlike(r"[\p{L}0-9_@-]").cast("double"),
-        "named_phone": F.col("before").rlike(r"\b(?:tel|phone|call|fax|mobile|telefon|téléphone|teléfono|t[ée]l)\b").cast("double"),
-        "named_mail": F.col("before").rlike(r"\b(?:e-?mail|mail|contact|write|correo|courriel)\b").cast("double"),
-        "named_card": F.col("before").rlike(r"\b(?:card|visa|credit|karte|carte|tarjeta)\b").cast("double"),
-        "named_ip": F.col("before").rlike(r"\b(?:ip|addr|address|host|server)\b").cast("double"),
-        "named_number": F.col("before").rlike(r"\b(?:id|no|nr|order|token|key|hash|invoice|ref)\b").cast("double"),
+        **{f"named_{name}": F.col("before").rlike(words).cast("double") for name, words in NAMED.items()},
     }
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """A row per wider span: ``row, kind, start, end``, features, and ``label`` (1 if a valid base span of
-    its kind lies in the same place)."""
-    one = found.select("row", "base", F.explode("wider").alias("c")).select("row", "base", "c.*")
-    meets = lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])
-    label = F.exists("base", lambda b: meets(b) & (b["kind"] == F.col("kind"))).cast("int")
-    return one.select("row", "kind", "start", "end", F.exists("base", meets).alias("taken"), label.alias("label"),
-                      F.xxhash64("row", "kind", "start").alias("h"), *[f.alias(f"f_{name}") for name, f in features().items()])
+    """A row per wider span: ``row, kind, start, end``, its features, whether it is ``open`` (meets no base span and
+    is not proven wrong), and ``label``: 1 for a base span of its kind, whose features are those of the span in
+    disguise; 0 for what meets none and is proven wrong, with the ``weight`` of the look-alikes that it stands
+    for; null for all else, of which nothing is known."""
+    # Held against the base spans before they are dealt out, so that no row carries the text's other spans.
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    own = lambda c: F.get(F.filter("base", lambda b: meets(b, c) & (b["kind"] == c["kind"])), 0)["match"]
+    judged = F.transform("wider", lambda c: F.struct(c.alias("c"), F.exists("base", lambda b: meets(b, c)).alias("taken"), own(c).alias("own")))
+    rows = found.select("row", "text_key", F.explode(judged).alias("j")).select("row", "text_key", "j.c.*", "j.taken", "j.own")
+    rows = rows.withColumns({"h": F.xxhash64("text_key", "kind", "start"), "wrong": proven_wrong(F.col("kind"), F.col("match"), F.col("before"))})
+    label = F.when(F.col("own").isNotNull(), 1).when(~F.col("taken") & F.col("wrong"), 0)
+    shown = F.when(F.col("own").isNotNull(), disguised(F.col("kind"), F.col("own"), F.col("h"))).otherwise(F.col("match"))
+    passing = F.element_at(F.array(*[F.lit(PASSING[k]) for k in KINDS]), F.col("kind") + 1)
+    rows = rows.withColumn("weight", F.when(label == 0, passing).otherwise(1.0))
+    rows = rows.select("row", "kind", "start", "end", "h", "before", "after", "weight", label.alias("label"), (~F.col("taken") & ~F.col("wrong")).alias("open"), shown.alias("match"))
+    return rows.select("row", "kind", "start", "end", "h", "label", "weight", "open", *[f.alias(f"f_{name}") for name, f in features().items()])
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
@@ -145,27 +189,29 @@ def _scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[GBTClassificationModel | None, dict[int, float]]:
-    """Boosted trees and a threshold for each kind, from candidates whose label says whether the strict
-    rules confirm them. The features are format and context, not the rules' own tests, so a score says
-    how sure the rules are in such places. At most ``sample`` candidates a kind, those of least hash,
-    teach the trees, and the next ``sample`` set the thresholds: the least score from which on the
-    share of confirmed ones is ``precision``. A kind without such a score gets no threshold."""
-    # Of a kind with many candidates, those of low hash are enough to hold the least ones.
-    share = {r["kind"]: 8 * sample / r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    low = F.coalesce(*[F.when(F.col("kind") == k, F.lit(min(1.0, s))) for k, s in share.items()], F.lit(1.0))
-    some = rows.where(F.pmod("h", F.lit(1 << 20)) < low * (1 << 20))
-    turn = F.row_number().over(Window.partitionBy("kind").orderBy("h", "row", "start", "end"))
-    drawn = write_down(some.withColumn("turn", turn).where(F.col("turn") <= 2 * sample).withColumn("side", F.col("turn") % 2).coalesce(2))
-    seen = {r["label"] for r in drawn.where("side = 0").select("label").distinct().collect()}
-    if seen != {0, 1}:
+    """Boosted trees, and a threshold for each kind.
+
+    At most ``sample`` candidates of a kind and label teach the trees, those of least hash of text, kind and start.
+    Thresholds come from all labelled candidates: the least score, in steps of 1 / ``BINS``, from which on
+    ``precision`` of them are right, counting one wrong one more; a kind without such a score gets none. With one label
+    only there is nothing to tell apart, and no trees.
+    """
+    known = rows.where("label is not null")
+    order = ("h", "row", "start", "end")
+    drawn = None
+    for kind in range(len(KINDS)):
+        for label in (0, 1):
+            some = known.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy(*order).limit(sample)
+            drawn = some if drawn is None else drawn.unionByName(some)
+    drawn = write_down(drawn.coalesce(2))
+    if drawn.select("label").distinct().count() < 2:
         return None, {}
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, seed=11).fit(_assembled(drawn.where("side = 0")))
-    ranked = Window.partitionBy("kind").orderBy(F.desc("score"))
-    judged = _scored(model, drawn.where("side = 1")).withColumns({
-        "n": F.count("*").over(ranked), "right": F.sum("label").over(ranked)})
-    limits = judged.where((F.col("right") >= precision * F.col("n")) & (F.col("n") >= LEAST_FOUND)) \
-        .groupBy("kind").agg(F.min("score").alias("limit")).collect()
-    return model, {r["kind"]: r["limit"] for r in limits}
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=16, maxDepth=4, seed=11).fit(_assembled(drawn))
+    bins = _scored(model, known).groupBy("kind", F.floor(F.col("score") * BINS).alias("bin")).agg(F.sum("label").alias("right"), F.sum("weight").alias("n"))
+    above = Window.partitionBy("kind").orderBy(F.desc("bin"))  # a row a bin
+    limits = bins.select("kind", "bin", F.sum("right").over(above).alias("right"), F.sum("n").over(above).alias("n")) \
+        .where(F.col("right") >= precision * (F.col("n") + 1)).groupBy("kind").agg(F.min("bin").alias("bin")).collect()
+    return model, {r["kind"]: r["bin"] / BINS for r in limits}
 
 
 def _of_kind(k: int) -> Column:
@@ -177,21 +223,21 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float =
     struct(kind, start, end, match), kind counted from 0 in ``KINDS``.
 
     ``base`` are the valid matches of the strict rules, which always stay. High-recall generators
-    propose further spans; of those that no base span meets, the ones whose score reaches their
-    kind's threshold are added, the higher score first where they overlap (then the earlier kind and
-    start). Null counts as empty text; repeated rows are rows of their own; null ids stay null; empty
+    propose further spans. Those that no base span meets and no format test proves wrong are added if their
+    score reaches their kind's threshold, the higher score first where they overlap (then the earlier kind and
+    start). Trees learn from base spans in disguise and from candidates proven wrong; there are no other labels. Null counts as empty text; repeated rows are rows of their own; null ids stay null; empty
     tables give an empty result; other columns are ignored. Nothing but the thresholds and the trees
     reaches the driver.
     """
     found = write_down(found_spans(docs))
-    rows = candidates(found)
+    rows = write_down(candidates(found))
     model, limits = train(rows, sample, precision)
     counts = [_of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     if model is None or not limits:
         return found.select("doc_id", *counts, "base", empty.alias("added"))
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in sorted(limits.items())], F.lit(2.0))
-    high = _scored(model, rows.where(~F.col("taken"))).where(F.col("score") >= limit) \
+    high = _scored(model, rows.where("open")).where(F.col("score") >= limit) \
         .groupBy("row").agg(F.collect_list(F.struct(F.negative("score").alias("score"), "kind", "start", "end")).alias("high"))
     beaten = lambda s, o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (o < s)
     best = F.filter("high", lambda s: ~F.exists("high", lambda o: beaten(s, o)))
