@@ -11,26 +11,25 @@ from pyspark.sql.types import IntegerType, NumericType, StructField, StructType
 from ledgerline.functions.aggregates import Measure
 from ledgerline.functions.values import all_of
 from ledgerline.operators.levels import SET, level_totals
-from ledgerline.operators.ordering import number_rows
 from ledgerline.session import write_down
 
 WIDEST = 10_000  # columns of a wide table
-CHUNK = 1000     # headers that a row value meets at once
+CHUNK = 1000     # headers that a row value meets at once, about
 MARGINS = ("cell", "row_total", "column_total", "grand_total")
 
 
 def _filled_grid(cells: DataFrame, rows: Sequence[str], column: str, measures: Sequence[Measure]) -> DataFrame:
     """Adds the combinations without rows.
 
-    The headers are numbered and cut into chunks; row values meet the chunks by number and then their
-    headers, so no array holds more than ``CHUNK`` of them. ``cells`` are read several times here, so
-    they are expected to be written down already.
+    The headers are dealt by hash into chunks of about ``CHUNK``; row values meet the chunks by number and then
+    their headers, so no array grows with the headers. ``cells`` are read several times here, so they are
+    expected to be written down already.
     """
     keys = [*rows, column]
-    headers = number_rows(cells.select(column).distinct(), [F.col(column).asc_nulls_first()], "__no")
-    headers = headers.groupBy(F.expr(f"__no div {CHUNK}").alias("__chunk")).agg(F.collect_list(F.struct(column)).alias("__h"))
-    last = headers.agg(F.coalesce(F.max("__chunk"), F.lit(0))).first()[0]
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
+    found = cells.select(column).distinct()
+    chunks = max(1, -(-found.count() // CHUNK))
+    headers = found.withColumn("__chunk", F.pmod(F.xxhash64(column), F.lit(chunks).cast("long"))).groupBy("__chunk").agg(F.collect_list(F.struct(column)).alias("__h"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))
     grid = cells.select(*rows).distinct().withColumn("__chunk", F.explode(numbers)).join(headers, "__chunk") \
         .select(*rows, F.explode("__h").alias("__h")).select(*rows, F.col(f"__h.{column}").alias(column))
     side = cells.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[m.name for m in measures])

@@ -7,6 +7,7 @@ from ledgerline.operators.bands import Summary, band, detail_list, group_list, m
 from ledgerline.operators.relations import Relationship, join_on, union_mapped
 from ledgerline.plans.model import DataModel, UnionDataset
 from ledgerline.reports.catalogue import nulled, report, rounded
+from ledgerline.session import write_down
 from ledgerline.sources.schema import Field
 
 LINKS = [
@@ -112,7 +113,7 @@ def join_chain(t):
 """)
 def master_detail(t):
     joined = join_on(t.customer, t.orders, [("c_custkey", "o_custkey")], left_unique=True)
-    rows = joined.select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    rows = write_down(joined.select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))  # read for the spans and for the rows
     spans = merge_spans(rows, ["c_custkey"], ["o_orderkey"], {"c_name": "c_custkey"})
     return detail_list(spans, ["c_custkey"], ["c_name", "o_orderkey", "o_totalprice", "c_name__span", "c_name__head"],
                        order_by=["o_orderkey"])
