@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import write_down
+from ledgerline.session import new_path, scratch, write_down
 
 LEADING = 2        # leading tokens on the path to a leaf, after the token count
 MIN_DOCS = 5       # texts that a template recurs in
@@ -135,8 +135,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     counts are replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = write_down(recurring_lines(docs, min_docs).select(
-        F.col("text_key").alias("_key"), F.xxhash64("text_key").alias("_hash"), F.col("gone").alias("_gone")))
+    path = new_path(docs.sparkSession)
+    with scratch(docs.sparkSession):  # only the line numbers stay of what is written down on the way
+        gone = write_down(recurring_lines(docs, min_docs).select(
+            F.col("text_key").alias("_key"), F.xxhash64("text_key").alias("_hash"), F.col("gone").alias("_gone")), path)
     # Texts that surely lose nothing are not shuffled.
     keyed = docs.select(*kept).withColumn("_key", identity(F.col("text")))
     keyed = keyed.withColumn("_hash", F.xxhash64("_key"))

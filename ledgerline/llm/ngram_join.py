@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.components import components
 from ledgerline.llm.shingles import shingle_set
 from ledgerline.llm.texts import map_texts
-from ledgerline.session import write_down
+from ledgerline.session import new_path, scratch, write_down
 
 WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
 LEAST_HEAD = 8   # tokens of a small set that are all looked at
@@ -218,6 +218,12 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def rooted_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """:func:`jaccard_groups` with ``root``, the component's key whatever the ids: null without shingles only."""
+    path = new_path(docs.sparkSession)
+    with scratch(docs.sparkSession):  # only the groups stay of what is written down on the way
+        return write_down(_rooted(docs, width, percent), path)
+
+
+def _rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = write_down(signatures(docs, width, percent))
     posts = write_down(postings(signed, percent))
     wanted = posts.select("class").distinct()
