@@ -14,7 +14,7 @@ from ledgerline.llm.language import NONE, held_out, predict, train
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import rooted_groups
-from ledgerline.session import write_down
+from ledgerline.session import new_path, scratch, write_down
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
@@ -84,8 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, from ``documents`` of ``sf_dir``."""
+    """All stages in order, from ``documents`` of ``sf_dir``; what a stage writes down in between goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = write_down(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        with scratch(spark):
+            docs = write_down(stage(spark, docs, sf_dir), path)
     return docs

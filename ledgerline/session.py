@@ -69,15 +69,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
-def write_down(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once and read back.
+def write_down(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder once, to ``path`` there if given, and read back.
 
     What reads the result starts from files: nothing is computed again after the loss of an
     executor, and Spark knows the size when it chooses a join.
     """
     untyped = {f.name for f in df.schema.fields if isinstance(f.dataType, NullType)}
     stored = df.select(*[F.col(c) if c not in untyped else F.lit(None).cast("string").alias(c) for c in df.columns])
-    path = new_path(df.sparkSession)
+    path = path or new_path(df.sparkSession)
     stored.write.parquet(path)
     read = df.sparkSession.read.schema(stored.schema).parquet(path)
     return read.withColumns({c: F.lit(None) for c in untyped}) if untyped else read
