@@ -11,8 +11,6 @@ LEADING = 2        # leading tokens on the path to a leaf, after the token count
 MIN_DOCS = 5       # texts that a template recurs in
 CONSTANT = 75      # per cent of a generalised template's tokens that stay
 LEAST_CONSTANT = 4
-MOST_FIELDS = 3    # tokens that a template generalises, besides masked ones
-PARTS = MOST_FIELDS + 1  # of a line: lines of one template share a part at least, whole
 FIELD = "<*>"
 WORDS = 1 << 16    # of 64 bits each, in a set of keys that is sent to all tasks
 
@@ -52,82 +50,89 @@ def _may_match(key: Column) -> Column:
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """``text_key, line_no, raw, line_key, leaf, parts`` of every line with tokens, once for equal texts.
+    """``text_key, line_no, spaced, leaf`` of every line with tokens, in rows as many as its text has.
 
-    A leaf of the tree holds the lines of one token count that begin with the same tokens. ``parts`` are hashes of
-    the line's quarters in their leaf. Of a line only keys go on, whatever its length.
+    A leaf of the tree holds the lines of one token count that begin with the same tokens. Only these tokens are
+    looked at here, so that a line is masked only where its leaf or its text is of interest.
     """
     texts = docs.where("text is not null").select(identity(F.col("text")).alias("text_key"), F.split("text", "\n").alias("lines"))
     lines = texts.select("text_key", F.posexplode("lines").alias("line_no", "line"))
-    lines = lines.select("text_key", "line_no", F.xxhash64("line").alias("raw"), spaced_line(F.col("line")).alias("spaced")).where("spaced != ''")
-    lines = lines.select("text_key", "line_no", "raw", masked(F.col("spaced")).alias("masked"))
-    lines = lines.select("text_key", "line_no", "raw", "masked", F.split("masked", " ").alias("tokens"))
-    lines = lines.select("text_key", "line_no", "raw", identity(F.col("masked")).alias("line_key"), "tokens", _leaf(F.col("tokens")).alias("leaf"))
-    n = F.size("tokens")
-    at = [F.floor(n * q / PARTS).cast("int") for q in range(PARTS + 1)]
-    parts = [F.when(at[q + 1] > at[q], F.xxhash64("leaf", F.lit(q), F.slice("tokens", at[q] + 1, at[q + 1] - at[q]))) for q in range(PARTS)]
-    return lines.select("text_key", "line_no", "raw", "line_key", "leaf", F.array_compact(F.array(*parts)).alias("parts")).distinct()
-
-
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
-
-
-def candidate_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``line_key, raw, lines`` of distinct lines that have a part which ``min_docs`` lines share. A template's
-    lines differ in fewer places than they have parts, so all lines of a template that recurs are found."""
-    parts = lines.select("line_key", "raw", F.explode("parts").alias("part"))
-    shared = write_down(parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("part"))
-    some = parts.join(_bits(shared, "part"), _word(F.col("part")) == F.col("_word")).where(_may_match(F.col("part"))).drop("_word", "_bits")
-    found = some.join(shared, "part", "left_semi").groupBy("line_key").agg(F.min("raw").alias("raw"))
-    counts = lines.groupBy("line_key").agg(F.count("*").alias("lines"))
-    return found.join(counts, "line_key")
-
-
-def line_templates(docs: DataFrame, candidates: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``line_key, template_key`` of candidate lines: in its leaf, a token that is rare at its place is a field too,
-    unless too many would be or too few constant tokens would stay; such a line is its own template. Lines are
-    read from ``docs`` again, one of each kind, and those of fields alone have no template."""
-    wanted = write_down(candidates)
-    raws = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).withColumn("raw", F.xxhash64("line"))
-    raws = raws.join(_bits(wanted.select("raw"), "raw"), _word(F.col("raw")) == F.col("_word")).where(_may_match(F.col("raw"))).select("raw", "line").distinct()
-    read = raws.join(wanted.select("raw"), "raw", "left_semi").select(F.split(masked(spaced_line(F.col("line"))), " ").alias("tokens"))
-    read = read.select(identity(F.array_join("tokens", " ")).alias("line_key"), "tokens", _leaf(F.col("tokens")).alias("leaf")).dropDuplicates(["line_key"])
-    kinds = write_down(read.join(wanted.select("line_key", "lines"), "line_key"))
-    tokens = kinds.select("leaf", "line_key", "lines", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != FIELD)
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("lines").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    lines = lines.select("text_key", "line_no", spaced_line(F.col("line")).alias("spaced")).where("spaced != ''")
+    n = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "))) + 1
+    lead = masked(F.substring_index("spaced", " ", LEADING))
+    return lines.select("text_key", "line_no", "spaced", F.xxhash64(n, lead).alias("leaf"))
+
+
+def _line_key(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("masked", masked(F.col("spaced"))).withColumn("line_key", identity(F.col("masked"))).drop("spaced")
+
+
+def held_lines(docs: DataFrame, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``text_key, line_no, leaf, masked, line_key`` of the lines in leaves of ``min_docs`` texts or more. Lines of one
+    template lie in one leaf, so no template that recurs is elsewhere."""
+    shared = keys.select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    shared = write_down(shared.select("leaf"))
+    some = tree_lines(docs).join(_bits(shared, "leaf"), _word(F.col("leaf")) == F.col("_word")).where(_may_match(F.col("leaf"))).drop("_word", "_bits")
+    return _line_key(some.join(shared, "leaf", "left_semi").select("text_key", "line_no", "leaf", "spaced"))
+
+
+def line_templates(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``line_key, template_key`` of held lines: in its leaf, a token that is rare at its place is a field too,
+    unless too few constant tokens would stay; such a line is its own template. A token is counted over all lines
+    of the leaf, each as often as it has distinct texts. Lines of fields alone have no template."""
+    kinds = held.select("line_key", "leaf", "masked", "text_key").distinct().groupBy("line_key", "leaf", "masked").agg(F.count("*").alias("texts"))
+    kinds = write_down(kinds.select("line_key", "leaf", "texts", F.split("masked", " ").alias("tokens")))
+    tokens = kinds.select("leaf", "line_key", "texts", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != FIELD)
+    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).drop("n")
     # A line that recurs as it is has common tokens only.
-    stay = tokens.where(F.col("lines") < min_docs).join(common, ["leaf", "place", "token"], "left_semi") \
+    stay = tokens.where(F.col("texts") < min_docs).join(common, ["leaf", "place", "token"], "left_semi") \
         .groupBy("line_key").agg(F.collect_set("place").alias("places"), F.count("*").alias("stays"))
     general = F.transform("tokens", lambda t, i: F.when(F.array_contains("places", i), t).otherwise(FIELD))
-    own = F.size(F.filter("tokens", lambda t: t != FIELD))
-    enough = (F.col("stays") >= LEAST_CONSTANT) & (F.col("stays") * 100 >= F.size("tokens") * CONSTANT) & (own - F.col("stays") <= MOST_FIELDS)
+    enough = (F.col("stays") >= LEAST_CONSTANT) & (F.col("stays") * 100 >= F.size("tokens") * CONSTANT)
     template = F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ")
-    return kinds.where(own > 0).join(stay, "line_key", "left").select("line_key", identity(template).alias("template_key"))
+    return kinds.where(F.exists("tokens", lambda t: t != FIELD)).join(stay, "line_key", "left").select("line_key", identity(template).alias("template_key"))
+
+
+def copies(docs: DataFrame, keys: DataFrame, gone: DataFrame, named: DataFrame) -> DataFrame:
+    """``text_key`` of the texts in ``gone`` of which all lines have the templates of another text's, in the same order.
+
+    Such texts agree in their lines' leaves as well, and both lose lines; only those that do are read again.
+    """
+    shapes = write_down(keys.groupBy("text_key").agg(F.count("*").alias("n"), F.bit_xor("leaf").alias("leaves"))
+                        .join(gone.select("text_key"), "text_key", "left_semi"))
+    alike = shapes.groupBy("n", "leaves").agg(F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    alike = write_down(shapes.join(alike, ["n", "leaves"], "left_semi").select("text_key", F.xxhash64("text_key").alias("hash")))
+    some = docs.where("text is not null").select("text", F.xxhash64(identity(F.col("text"))).alias("hash"))
+    some = some.join(_bits(alike, "hash"), _word(F.col("hash")) == F.col("_word")).where(_may_match(F.col("hash"))).select("text")
+    lines = _line_key(tree_lines(some)).select("text_key", "line_no", "line_key").distinct().join(alike.select("text_key"), "text_key", "left_semi")
+    names = lines.join(named.select("text_key", "line_no", "name"), ["text_key", "line_no"], "left") \
+        .select("text_key", "line_no", F.coalesce("name", "line_key").alias("name"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "name"))), lambda x: F.hex(x["name"]))
+    texts = write_down(names.groupBy("text_key").agg(identity(F.array_join(ordered, "")).alias("templates")))
+    several = texts.groupBy("templates").agg(F.count("*").alias("n")).where("n > 1").select("templates")
+    return texts.join(several, "templates", "left_semi").select("text_key")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``text_key, gone``: the line numbers (from 0) that go from each text that loses any."""
-    lines = write_down(tree_lines(docs))
-    templates = write_down(line_templates(docs, candidate_lines(lines, min_docs), min_docs))
-    named = write_down(lines.select("text_key", "line_no", "line_key").join(templates, "line_key", "left")
+    keys = write_down(tree_lines(docs).select("text_key", "line_no", "leaf").distinct())
+    held = write_down(held_lines(docs, keys, min_docs))
+    templates = write_down(line_templates(held, min_docs))
+    named = write_down(held.select("text_key", "line_no", "line_key").distinct().join(templates, "line_key", "left")
                        .select("text_key", "line_no", F.coalesce("template_key", "line_key").alias("name"), F.col("template_key").isNotNull().alias("found")))
     recurring = named.where("found").select("name", "text_key").distinct().groupBy("name").agg(F.count("*").alias("texts")) \
-        .where(F.col("texts") >= min_docs).select("name", F.lit(True).alias("recurs"))
-    marked = named.join(write_down(recurring), "name", "left")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "name"))), lambda x: F.hex(x["name"]))
-    texts = write_down(marked.groupBy("text_key").agg(identity(F.array_join(ordered, "")).alias("templates"),
-                                                      F.collect_list(F.when(F.col("recurs"), F.col("line_no"))).alias("gone")))
-    copies = texts.groupBy("templates").agg(F.count("*").alias("n")).where("n > 1").select("templates")
-    return texts.where(F.size("gone") > 0).join(copies, "templates", "left_anti").select("text_key", F.sort_array("gone").alias("gone"))
+        .where(F.col("texts") >= min_docs).select("name")
+    gone = write_down(named.where("found").join(write_down(recurring), "name", "left_semi").groupBy("text_key")
+                      .agg(F.sort_array(F.collect_list("line_no")).alias("gone")))
+    return gone.join(copies(docs, keys, gone, named), "text_key", "left_anti")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and the counts ``n_lines, n_dropped``.
 
     A line's path through the tree is its token count and first tokens; fields with digits or an at
-    sign, and up to ``MOST_FIELDS`` tokens rare at their place in the leaf, are generalised. A line goes if its
-    template occurs in ``min_docs`` distinct texts or more; equal texts count once. Texts whose lines have the same
+    sign, and tokens rare at their place in the leaf, are generalised as long as ``CONSTANT`` per cent of the tokens
+    and ``LEAST_CONSTANT`` of them stay. A line goes if its template occurs in ``min_docs`` distinct texts or more; equal texts count once. Texts whose lines have the same
     templates in the same order, all of them, are copies of one another rather than texts with boilerplate
     around them, and stay whole: they are for document deduplication to judge. Blank lines, and lines of
     fields alone, stay. Rows are never dropped: null stays null (no lines), an empty text has one
@@ -161,13 +166,12 @@ split AS (SELECT id, generate_subscripts(string_split(text, chr(10)), 1) AS line
 tokens AS (SELECT id, line_no, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
   lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END) AS toks FROM split),
 lines AS (SELECT id, line_no, toks, len(toks) AS n, toks[1:2] AS lead FROM tokens WHERE toks != ['']),
-parts AS (SELECT n, lead, toks, q, toks[q * n // 4 + 1:(q + 1) * n // 4] AS part FROM lines, range(4) r(q) WHERE (q + 1) * n // 4 > q * n // 4),
-shared AS (SELECT n, lead, q, part FROM parts GROUP BY n, lead, q, part HAVING count(*) >= 5),
-uniq AS (SELECT n, lead, toks, count(*) AS lines FROM lines SEMI JOIN (SELECT toks FROM parts SEMI JOIN shared USING (n, lead, q, part)) c USING (toks) GROUP BY n, lead, toks),
-places AS (SELECT n, lead, toks, lines, generate_subscripts(toks, 1) AS place, unnest(toks) AS tok FROM uniq),
-common AS (SELECT n, lead, place, tok FROM places GROUP BY n, lead, place, tok HAVING sum(lines) >= 5),
+leaves AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING count(DISTINCT id) >= 5),
+uniq AS (SELECT n, lead, toks, count(DISTINCT id) AS texts FROM lines SEMI JOIN leaves USING (n, lead) GROUP BY n, lead, toks),
+places AS (SELECT n, lead, toks, texts, generate_subscripts(toks, 1) AS place, unnest(toks) AS tok FROM uniq),
+common AS (SELECT n, lead, place, tok FROM places GROUP BY n, lead, place, tok HAVING sum(texts) >= 5),
 stay AS (SELECT toks, list(place) AS stays FROM places SEMI JOIN common USING (n, lead, place, tok) WHERE tok != '<*>' GROUP BY toks),
-templates AS (SELECT u.toks, CASE WHEN len(stays) >= 4 AND len(stays) * 100 >= n * 75 AND len(list_filter(u.toks, lambda t: t != '<*>')) - len(stays) <= 3
+templates AS (SELECT u.toks, CASE WHEN len(stays) >= 4 AND len(stays) * 100 >= n * 75
   THEN list_transform(u.toks, lambda t, i: CASE WHEN list_contains(stays, i) THEN t ELSE '<*>' END) ELSE u.toks END AS template
   FROM uniq u LEFT JOIN stay s ON u.toks = s.toks WHERE len(list_filter(u.toks, lambda t: t != '<*>')) > 0),
 named AS (SELECT id, line_no, coalesce(template, l.toks) AS name, template IS NOT NULL AS found FROM lines l LEFT JOIN templates t ON l.toks = t.toks),
