@@ -92,7 +92,7 @@ def postings(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("class", "n", "token", "df")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets link."""
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
@@ -110,7 +110,7 @@ def star_links(placed: DataFrame, sets: DataFrame, turn: int, percent: int = PER
                                                         F.col("n").alias("m"), F.col("component").alias("other"))).alias("leader"))
     pairs = tokens.join(leader, "token").select(F.col("class").alias("a"), "leader.b", "n", "leader.m", "component", "leader.other") \
         .where((F.col("component") != F.col("other")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
-    return _verified(pairs.select("a", "b").distinct(), sets, percent)
+    return verified_pairs(pairs.select("a", "b").distinct(), sets, percent)
 
 
 def _open(placed: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated passages: content-defined paragraphs that other documents have too, joined to runs of words."""
+"""Repeated passages: runs of words that other documents have too, linked by MinHash bands over their shingles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerline.llm.components import components
+from ledgerline.llm.ngram_join import star_components, verified_pairs
 from ledgerline.llm.shingles import hash_words, mix, shingle_hashes, words_of
 from ledgerline.llm.texts import map_texts
 from ledgerline.session import write_down
@@ -17,8 +19,13 @@ LEAST = 19    # words of a repeated passage
 LENGTH = 10   # words of a paragraph
 SPACING = 10  # of so many places in a row, one begins a paragraph; LENGTH + SPACING - 1 words hold one
 WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
+BANDS, ROWS = 8, 3  # a pair at 80 per cent meets in a band with 1 - (1 - 0.8 ** 3) ** 8 = 0.997
 LAST = (1 << 63) - 1  # stands for a null id, after all others
 
+_seeds = np.random.default_rng(20_261_203)
+_FACTORS = _seeds.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _seeds.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
+
 
 def paragraph_starts(words: list[bytes], length: int = LENGTH, spacing: int = SPACING) -> np.ndarray:
     """Where paragraphs of ``length`` words begin: at the least hash of three words among every ``spacing``
@@ -91,83 +98,156 @@ def _surroundings(length: int, most: int):
 
         for batch in batches:
             out: list[list[np.ndarray]] = []
-            for row, (text, *found) in enumerate(_columns(batch, "text", "at", "paragraph", "keeper", "ends", "sides")):
+            for row, (text, *found) in enumerate(_columns(batch, "text", "at", "paragraph", "ends", "sides")):
                 h = hash_words(words_of(text))
                 for side, step in ((0, -1), (1, 1)):
-                    here = (found[4] & (side + 1)) > 0
-                    at, names, keeper, ends = (c[here] for c in found[:4])
+                    here = (found[3] & (side + 1)) > 0
+                    at, names, ends = (c[here] for c in found[:3])
                     end, keys = (ends & (side + 1)) > 0, names.view(np.uint64) + np.uint64(side)
                     beside = at - 1 if side == 0 else at + length
                     for n in range(1, most + 1):
                         inside = (beside >= 0) & (beside < len(h))
-                        at, keeper, end, beside, keys = at[inside], keeper[inside], end[inside], beside[inside], mix(keys[inside] ^ h[beside[inside]])
+                        at, end, beside, keys = at[inside], end[inside], beside[inside], mix(keys[inside] ^ h[beside[inside]])
                         if not len(at):
                             break
-                        out.append([np.full(len(at), row), at, np.full(len(at), side), np.full(len(at), n), keeper, end, keys.view(np.int64)])
+                        out.append([np.full(len(at), row), at, np.full(len(at), side), np.full(len(at), n), end, keys.view(np.int64)])
                         beside = beside + step
-            rows, at, side, n, keeper, end, keys = np.concatenate(out, axis=1).astype(np.int64) if out else np.empty((7, 0), np.int64)
+            rows, at, side, n, end, keys = np.concatenate(out, axis=1).astype(np.int64) if out else np.empty((6, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("text_key").take(pa.array(rows)), batch.column("copies").take(pa.array(rows)), batch.column("id").take(pa.array(rows)),
-                 pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keeper), pa.array(end == 1), pa.array(keys)],
-                names=["text_key", "copies", "id", "at", "side", "n", "keeper", "end", "key"])
+                 pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(end == 1), pa.array(keys)],
+                names=["text_key", "copies", "id", "at", "side", "n", "end", "key"])
     return run
 
 
-def _passages(length: int, least: int, width: int, percent: int):
-    def shared_with(at, keeper, place, i, j, step):
-        """How far from paragraph ``i`` towards ``j`` the run is one of its keeper, place by place."""
-        k = i
-        while k != j and keeper[k + step] == keeper[i] and place[k + step] - at[k + step] == place[i] - at[i]:
-            k += step
-        return k
-
-    def joined(own, at, keeper, place, reach, which):
-        """Runs with the words on both sides that are repeated too; two that differ from the same earlier
-        text in a few words between them are one if they link with it as a whole."""
-        out: list[list[int]] = []
-        before = None  # of the last run: begin and end of its words that are the keeper's, text, place less own, shingles shared
-        for i, j in _runs(at, length):
-            start = int(at[i]) - reach.get((int(at[i]), 0), none)[which]
-            end = int(at[j]) + length + reach.get((int(at[j]), 1), none)[which]
-            first, last = shared_with(at, keeper, place, j, i, -1), shared_with(at, keeper, place, i, j, 1)
-            left, right = int(at[i]) - reach.get((int(at[i]), 0), none)[2], int(at[j]) + length + reach.get((int(at[j]), 1), none)[2]
-            # The part that follows the left end's keeper, and the one that leads to the right end's.
-            here = left, right if last == j else int(at[last]) + length, keeper[i], int(place[i] - at[i])
-            links = before is not None and here[2] == before[2] != own and left >= before[1]
-            if links:
-                theirs = left - before[1] + here[3] - before[3]
-                common = before[4] + max(0, here[1] - left - width + 1)
-                mine = here[1] - before[0] - width + 1
-                whole = mine + theirs - (left - before[1])
-                links = theirs >= 0 and 100 * common >= percent * (mine + whole - common)
-            if out and (links or start <= out[-1][1]):
-                out[-1][1] = max(end, out[-1][1])
-            else:
-                out.append([start, end])
-            if links and last == j:
-                before = before[0], right, keeper[j], here[3], common
-            else:
-                begin = left if first == i else int(at[first])
-                before = begin, right, keeper[j], int(place[j] - at[j]), max(0, right - begin - width + 1)
-        return [r for r in out if r[1] - r[0] >= least]
-    none = (0, 0, 0)
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _merged(spans) -> list[list[int]]:
+    """Spans that meet or overlap as one, in order."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return out
+
+
+def _paragraph_spans(runs: list[list[int]], least: int, width: int, percent: int) -> set[tuple[int, int]]:
+    """What is signed: each run, two neighbours with the words between, and as many in a row as may link with a text
+    that has other words between: of ``n`` shingles, ``width - 1`` and a place's words are lost at each place."""
+    def may_link(chain):
+        words = chain[-1][1] - chain[0][0]
+        lost = sum(b[0] - a[1] + width - 1 for a, b in zip(chain, chain[1:], strict=False))
+        return 100 * lost <= (100 - percent) * (words - width + 1)
+
+    chains, chain = [[r] for r in runs] + [[a, b] for a, b in zip(runs, runs[1:], strict=False) if may_link([a, b])], []
+    for run in runs:
+        if not may_link([*chain, run]):
+            chains.append(chain)
+            chain = []
+        chain = [*chain, run]
+    return {(c[0][0], c[-1][1]) for c in [*chains, chain] if c and c[-1][1] - c[0][0] >= least}
+
+
+def _covered(length: int, least: int, width: int, percent: int):
+    """``shared``: the runs of words that other texts have too, ``earlier``: those that an earlier one has, and
+    ``paragraphs``: what is signed."""
+    def extended(at, reach, which):
+        runs = _runs(at, length)
+        return _merged((int(at[i]) - reach.get((int(at[i]), 0), none)[which], int(at[j]) + length + reach.get((int(at[j]), 1), none)[which]) for i, j in runs)
+    none = (0, 0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for (own, at, first), far in zip(_columns(batch, "id", "at", "first"), batch.column("beyond").to_pylist(), strict=True):
+                reach = {(f["at"], f["side"]): (f["any"], f["earlier"]) for f in far or []}
+                runs = extended(at, reach, 0)
+                for column, spans in zip(out, (runs, extended(at[first != own], reach, 1), sorted(_paragraph_spans(runs, least, width, percent))), strict=True):
+                    column.append([{"start": s, "end": e} for s, e in spans])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text_key", "id", "copies")), *(pa.array(c, kind) for c in out)],
+                                             names=["text_key", "id", "copies", "shared", "earlier", "paragraphs"])
+    return run
+
+
+def band_keys(tokens: np.ndarray) -> np.ndarray:
+    """MinHash: the least values of a set of shingles under ``BANDS * ROWS`` functions, as a key for each band."""
+    least = mix(tokens.view(np.uint64)[None, :] * _FACTORS + _OFFSETS).min(axis=1).reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in range(ROWS):
+        keys = mix(keys ^ least[:, row])
+    return keys.view(np.int64)
+
+
+def _signed(width: int):
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            rows, out = [], {"start": [], "end": [], "class": [], "n": [], "tokens": [], "bands": []}
+            texts = batch.column("text").to_pylist()
+            for row, (text, paragraphs) in enumerate(zip(texts, batch.column("paragraphs").to_pylist(), strict=True)):
+                h = shingle_hashes(words_of(text), width)
+                for p in paragraphs:
+                    tokens = np.unique(h[p["start"]:p["end"] - width + 1])
+                    rows.append(row)
+                    name = np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64)
+                    for column, value in zip(out.values(), (p["start"], p["end"], int(name), len(tokens), tokens, band_keys(tokens)), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("text_key", "id", "copies")), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
+                names=["text_key", "id", "copies", *out])
+    return run
+
+
+def linked_paragraphs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``text_key, start, end, root, repeated, goes`` of signed paragraphs: ``root`` is the component of paragraphs that
+    meet in a band and link by their exact Jaccard similarity, ``repeated`` says that other texts are in it, and
+    ``goes`` that an earlier text is and that the paragraph links with the one that stays, the first of all.
+
+    Paragraphs of a bucket are held against its leaders in rounds, then every pair of a bucket between
+    different components is; equal sets of shingles are one from the start.
+    """
+    sets = write_down(signed.select("class", "n", "tokens").dropDuplicates(["class"]))
+    posts = signed.select("class", "n", F.explode("bands").alias("token")).distinct()
+    stars, placed = star_components(write_down(posts), sets, percent)
+    a, b = (placed.select("token", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    pairs = a.join(b, "token").where(f"c_a < c_b and n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}").select("a", "b", "c_a", "c_b").distinct()
+    rest = pairs.join(verified_pairs(pairs.select("a", "b"), sets, percent), ["a", "b"])
+    merged = components(rest, "c_a", "c_b").toDF("component", "root")
+    roots = write_down(stars.join(merged, "component", "left").select(F.col("node").alias("class"), F.coalesce("root", "component").alias("root")))
+    held = signed.select("text_key", "id", "copies", "start", "end", "class").join(roots, "class")
+    firsts = write_down(held.groupBy("root").agg(
+        F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("times"), F.min(F.struct("id", "text_key", "class")).alias("f"))
+        .where("low != high or times > 1").select("root", F.col("f.id").alias("first"), F.col("f.class").alias("stays")))
+    direct = roots.join(firsts, "root").where(F.col("class") != F.col("stays")).select(F.col("class").alias("a"), F.col("stays").alias("b"))
+    near = verified_pairs(direct, sets, percent).select(F.col("a").alias("class"), F.lit(True).alias("near"))
+    return held.join(firsts, "root", "left").join(near, "class", "left").select(
+        "text_key", "start", "end", "root", F.col("first").isNotNull().alias("repeated"),
+        F.coalesce((F.col("first") != F.col("id")) & ((F.col("class") == F.col("stays")) | F.col("near")), F.lit(False)).alias("goes"))
+
 
+def _judged(least: int):
     def run(batches):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        spans = lambda found: [(p["start"], p["end"]) for p in found]
         for batch in batches:
             out = {"n_repeated": [], "n_removed": [], "classes": [], "removed": []}
-            beyond = batch.column("beyond").to_pylist()
-            for (text, own, at, paragraph, first, keeper, place), far in zip(
-                    _columns(batch, "text_key", "id", "at", "paragraph", "first", "keeper", "place"), beyond, strict=True):
-                reach = {(f["at"], f["side"]): (f["any"], f["earlier"], f["kept"]) for f in far or []}
-                goes = first != own
-                runs, gone = joined(text, at, keeper, place, reach, 0), joined(text, at[goes], keeper[goes], place[goes], reach, 1)
-                inside = [paragraph[(at >= s) & (at + length <= e)] for s, e in runs]
-                out["n_repeated"].append(len(runs))
+            for shared, earlier, linked in zip(*(batch.column(c).to_pylist() for c in ("shared", "earlier", "linked")), strict=True):
+                runs = _merged(spans(shared) + spans(p for p in linked or [] if p["repeated"]))
+                gone = [r for r in _merged(spans(earlier) + spans(p for p in linked or [] if p["goes"])) if r[1] - r[0] >= least]
+                out["n_repeated"].append(sum(e - s >= least for s, e in runs))
                 out["n_removed"].append(len(gone))
-                out["classes"].append(np.unique(np.concatenate(inside)) if inside else [])
+                out["classes"].append(sorted({p["root"] for p in linked or []}))
                 out["removed"].append([{"start": s, "end": e} for s, e in gone])
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
                                              names=["text_key", *out])
@@ -184,10 +264,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     of two documents or more are repeated; they stay in the document of least id and go from the others.
     A run of them is extended on both sides, word by word, as far as another document (an earlier one, for
     what goes) goes on in the same way, which is less than ``spacing`` words. Equal surroundings are
-    counted, not compared: no pairs are built, and none is left out. Passages are runs of ``least`` words
-    or more. Two of them with changed words between are one if the whole links with the first holder's
-    words at a Jaccard similarity of ``percent`` on ``width``-word shingles. ``classes`` are the names of their paragraphs; ``removed`` are runs
-    struct(start, end) of words that go, counted from 0, end exclusive.
+    counted, not compared. Passages are runs of ``least`` words or more. Each passage, and neighbouring runs with the
+    changed words between, are signed by MinHash over ``width``-word shingles; those that meet in a band and link at a
+    Jaccard similarity of ``percent`` form components. What links with the first of its component goes as a
+    whole, the changed words with it. ``classes`` are the components of a document's passages; ``removed`` are
+    runs struct(start, end) of words that go, counted from 0, end exclusive.
 
     Null texts and texts of fewer than ``least`` words have no passages. Null ids stay null and come
     after all others; repeated rows are documents of their own, of which those with the least id keep
@@ -201,27 +282,31 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     found = texts.select("text_key", "copies", "id", F.inline(F.arrays_zip("at", "paragraph")))
     shared = found.groupBy("paragraph").agg(
         F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("copies"),
-        F.min(F.struct("id", "text_key", "at")).alias("f")).where("low != high or copies > 1") \
-        .select("paragraph", F.col("f.id").alias("first"), F.col("f.text_key").alias("keeper"), F.col("f.at").alias("place"))
+        F.min("id").alias("first")).where("low != high or copies > 1").select("paragraph", "first")
     lists = found.join(write_down(shared), "paragraph").groupBy("text_key", "id", "copies").agg(
-        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first", "keeper", "place"))).alias("p"))
-    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first", "keeper", "place")])
+        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first"))).alias("p"))
+    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first")])
     lists = write_down(lists.mapInArrow(_ends(length), StructType([*lists.schema.fields, *StructType.fromDDL("ends array<tinyint>").fields])))
     ends = lists.select(F.inline(F.arrays_zip("paragraph", "ends"))).where("ends > 0").groupBy("paragraph").agg(F.bit_or("ends").alias("sides"))
-    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "keeper", "ends"))).join(write_down(ends), "paragraph") \
-        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "keeper", "ends", "sides")).alias("p"))
-    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "keeper", "ends", "sides")])
-    beside = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id").join(there, ["text_key", "id"])
-    beside = write_down(beside.mapInArrow(_surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, keeper long, end boolean, key long"))
+    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "ends"))).join(write_down(ends), "paragraph") \
+        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "ends", "sides")).alias("p"))
+    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "ends", "sides")])
+    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id")
+    beside = keyed.join(there, ["text_key", "id"])
+    beside = write_down(beside.mapInArrow(_surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, end boolean, key long"))
     known = beside.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("times"),
-                                      F.min(F.struct("id", "text_key")).alias("f")).where("low != high or times > 1") \
-        .select("key", F.col("f.id").alias("first"), F.col("f.text_key").alias("holder"))
+                                      F.min("id").alias("first")).where("low != high or times > 1").select("key", "first")
     reach = beside.where("end").join(known, "key").groupBy("text_key", "at", "side").agg(
-        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"),
-        F.coalesce(F.max(F.when(F.col("holder") == F.col("keeper"), F.col("n"))), F.lit(0)).alias("kept"))
-    reach = reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier", "kept")).alias("beyond"))
-    judged = lists.join(reach, "text_key", "left").mapInArrow(
-        _passages(length, least, width, percent), "text_key long, n_repeated long, n_removed long, "
+        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"))
+    reach = reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier")).alias("beyond"))
+    covered = write_down(lists.join(reach, "text_key", "left").mapInArrow(
+        _covered(length, least, width, percent), f"text_key long, id long, copies long, shared {SPANS}, earlier {SPANS}, paragraphs {SPANS}")
+        .where("size(paragraphs) > 0"))
+    signed = write_down(keyed.join(covered.select("text_key", "id", "copies", "paragraphs"), ["text_key", "id"]).mapInArrow(
+        _signed(width), "text_key long, id long, copies long, start int, end int, class long, n long, tokens array<long>, bands array<long>"))
+    links = linked_paragraphs(signed, percent).groupBy("text_key").agg(F.collect_set(F.struct("start", "end", "root", "repeated", "goes")).alias("linked"))
+    judged = covered.join(links, "text_key", "left").mapInArrow(
+        _judged(least), "text_key long, n_repeated long, n_removed long, "
         "classes array<long>, removed array<struct<start:int,end:int>>").where("n_repeated > 0")
     rest = texts.select("text_key", "id")
     rows = cut.select("doc_id", "text_key", "words").join(judged, "text_key").join(rest, "text_key")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -14,7 +15,7 @@ from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import capped_targets, mix, sainte_lague
 from ledgerline.llm import ngram_join
 from ledgerline.llm.ngram_join import jaccard_groups
-from ledgerline.llm.passages import paragraph_starts, repeated_passages
+from ledgerline.llm.passages import band_keys, paragraph_starts, repeated_passages
 from ledgerline.llm.personal_data import KINDS, find_personal_data, listed_spans
 from ledgerline.llm.shingles import words_of
 
@@ -185,6 +186,31 @@ def test_near_copies_with_a_changed_word_go_as_a_whole(spark, documents):
     assert got == expected
 
 
+def test_near_copies_go_though_others_hold_their_parts(spark, documents):
+    """2 and 3 link as a whole, while 0 and 1 are the first holders of either half; every pair of a bucket counts."""
+    rows, expected = [], {}
+    for k in range(20):
+        passage = own_words(f"p{k}-", 51)
+        for copy, text in enumerate((passage[:25], passage[26:], [*passage[:25], "one", *passage[26:]], [*passage[:25], "other", *passage[26:]])):
+            before = own_words(f"b{k}-{copy}-", 9)
+            rows.append((4 * k + copy, " ".join(before + text + own_words(f"a{k}-{copy}-", 12))))
+            expected[4 * k + copy] = [[], [], [(9, 34), (35, 60)], [(9, 60)]][copy]
+    got = {r.doc_id: r for r in repeated_passages(documents(rows)).collect()}
+    assert {i: [tuple(x) for x in r.removed] for i, r in got.items()} == expected
+    assert all(set(got[4 * k + 2].classes) & set(got[4 * k + 3].classes) for k in range(20))
+
+
+def test_minhash_bands_meet_at_the_limit():
+    """Of 400 pairs of sets at a Jaccard similarity of 0.8, nearly all share a band; of unlike ones, none."""
+    rng, met = np.random.default_rng(7), 0
+    for _ in range(400):
+        both, one, other = rng.integers(-2**63, 2**63 - 1, 40), rng.integers(-2**63, 2**63 - 1, 5), rng.integers(-2**63, 2**63 - 1, 5)
+        a, b = band_keys(np.concatenate([both, one])), band_keys(np.concatenate([both, other]))
+        met += bool(set(a) & set(b))
+        assert not set(band_keys(one)) & set(band_keys(other))
+    assert met >= 396
+
+
 def test_every_passage_has_its_own_paragraph():
     for seed in range(60):
         passage = prose(seed, 51)
