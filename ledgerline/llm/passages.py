@@ -11,7 +11,7 @@ from ledgerline.llm.components import components
 from ledgerline.llm.ngram_join import star_components, verified_pairs
 from ledgerline.llm.shingles import hash_words, mix, shingle_hashes, words_of
 from ledgerline.llm.texts import map_texts
-from ledgerline.session import write_down
+from ledgerline.session import new_path, scratch, write_down
 
 # Two passages of 20 words or more that link at 80 per cent of their five-word shingles have 19 words in a
 # row in common: one changed word inside costs five shingles, which 45 shared ones must outweigh.
@@ -189,6 +189,7 @@ def _signed(width: int):
         import pyarrow as pa
         import xxhash
 
+        seen: set[int] = set()  # of this task: of equal sets, one sends its tokens and bands on
         for batch in batches:
             rows, out = [], {"start": [], "end": [], "class": [], "n": [], "tokens": [], "bands": []}
             texts = batch.column("text").to_pylist()
@@ -197,8 +198,10 @@ def _signed(width: int):
                 for p in paragraphs:
                     tokens = np.unique(h[p["start"]:p["end"] - width + 1])
                     rows.append(row)
-                    name = np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64)
-                    for column, value in zip(out.values(), (p["start"], p["end"], int(name), len(tokens), tokens, band_keys(tokens)), strict=True):
+                    name = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
+                    sent = (None, None) if name in seen else (tokens, band_keys(tokens))
+                    seen.add(name)
+                    for column, value in zip(out.values(), (p["start"], p["end"], name, len(tokens), *sent), strict=True):
                         column.append(value)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +218,7 @@ def linked_paragraphs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     Paragraphs of a bucket are held against its leaders in rounds, then every pair of a bucket between
     different components is; equal sets of shingles are one from the start.
     """
-    sets = write_down(signed.select("class", "n", "tokens").dropDuplicates(["class"]))
+    sets = write_down(signed.select("class", "n", "tokens").where("tokens is not null").dropDuplicates(["class"]))
     posts = signed.select("class", "n", F.explode("bands").alias("token")).distinct()
     stars, placed = star_components(write_down(posts), sets, percent)
     a, b = (placed.select("token", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
@@ -249,11 +252,38 @@ def _judged(least: int):
                 out["n_removed"].append(len(gone))
                 out["classes"].append(sorted({p["root"] for p in linked or []}))
                 out["removed"].append([{"start": s, "end": e} for s, e in gone])
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
-                                             names=["text_key", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))],
+                                             names=["text_key", "id", *out])
     return run
 
 
+def _repeated(texts: DataFrame, length: int) -> DataFrame:
+    """``text_key, id, copies, at, paragraph, first, ends``: the paragraphs of each text that other texts have too, or
+    its copies."""
+    once = texts.select("copies", "id", F.explode(F.array_distinct("paragraph")).alias("paragraph"))
+    shared = once.groupBy("paragraph").agg(F.sum("copies").alias("times"), F.min("id").alias("first")).where("times > 1").drop("times")
+    found = texts.select("text_key", "copies", "id", F.inline(F.arrays_zip("at", "paragraph")))
+    lists = found.join(write_down(shared), "paragraph").groupBy("text_key", "id", "copies").agg(
+        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first"))).alias("p"))
+    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first")])
+    return lists.mapInArrow(_ends(length), StructType([*lists.schema.fields, *StructType.fromDDL("ends array<tinyint>").fields]))
+
+
+def _reach(identified: DataFrame, lists: DataFrame, length: int, spacing: int) -> DataFrame:
+    """``text_key, beyond``: how many words beside each run's ends are repeated with it."""
+    ends = lists.select(F.inline(F.arrays_zip("paragraph", "ends"))).where("ends > 0").groupBy("paragraph").agg(F.bit_or("ends").alias("sides"))
+    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "ends"))).join(write_down(ends), "paragraph") \
+        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "ends", "sides")).alias("p"))
+    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "ends", "sides")])
+    beside = write_down(identified.join(there, ["text_key", "id"]).mapInArrow(
+        _surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, end boolean, key long"))
+    known = beside.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("times"),
+                                      F.min("id").alias("first")).where("low != high or times > 1").select("key", "first")
+    reach = beside.where("end").join(known, "key").groupBy("text_key", "at", "side").agg(
+        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"))
+    return reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier")).alias("beyond"))
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, least: int = LEAST,
                       width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per document with passages that other documents have too: ``doc_id, n_repeated, n_removed,
@@ -275,41 +305,32 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     their passages; other columns are ignored; an empty table gives an empty result.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    cut = write_down(map_texts(keyed, "at array<int>, paragraph array<long>, words int", _paragraphs(length, spacing)))
-    texts = write_down(cut.where(f"words >= {least}").groupBy("text_key").agg(
-        F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id"),
-        F.max("at").alias("at"), F.max("paragraph").alias("paragraph")))
-    found = texts.select("text_key", "copies", "id", F.inline(F.arrays_zip("at", "paragraph")))
-    shared = found.groupBy("paragraph").agg(
-        F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("copies"),
-        F.min("id").alias("first")).where("low != high or copies > 1").select("paragraph", "first")
-    lists = found.join(write_down(shared), "paragraph").groupBy("text_key", "id", "copies").agg(
-        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first"))).alias("p"))
-    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first")])
-    lists = write_down(lists.mapInArrow(_ends(length), StructType([*lists.schema.fields, *StructType.fromDDL("ends array<tinyint>").fields])))
-    ends = lists.select(F.inline(F.arrays_zip("paragraph", "ends"))).where("ends > 0").groupBy("paragraph").agg(F.bit_or("ends").alias("sides"))
-    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "ends"))).join(write_down(ends), "paragraph") \
-        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "ends", "sides")).alias("p"))
-    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "ends", "sides")])
-    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id")
-    beside = keyed.join(there, ["text_key", "id"])
-    beside = write_down(beside.mapInArrow(_surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, end boolean, key long"))
-    known = beside.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("times"),
-                                      F.min("id").alias("first")).where("low != high or times > 1").select("key", "first")
-    reach = beside.where("end").join(known, "key").groupBy("text_key", "at", "side").agg(
-        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"))
-    reach = reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier")).alias("beyond"))
-    covered = write_down(lists.join(reach, "text_key", "left").mapInArrow(
-        _covered(length, least, width, percent), f"text_key long, id long, copies long, shared {SPANS}, earlier {SPANS}, paragraphs {SPANS}")
-        .where("size(paragraphs) > 0"))
-    signed = write_down(keyed.join(covered.select("text_key", "id", "copies", "paragraphs"), ["text_key", "id"]).mapInArrow(
-        _signed(width), "text_key long, id long, copies long, start int, end int, class long, n long, tokens array<long>, bands array<long>"))
-    links = linked_paragraphs(signed, percent).groupBy("text_key").agg(F.collect_set(F.struct("start", "end", "root", "repeated", "goes")).alias("linked"))
+    identified = keyed.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).drop("doc_id")
+    spark = docs.sparkSession
+    rows_path, covered_path, links_path = (new_path(spark) for _ in range(3))
+    with scratch(spark):  # what is written down on the way goes as soon as nothing reads it
+        lists_path = new_path(spark)
+        with scratch(spark):
+            texts_path = new_path(spark)
+            with scratch(spark):
+                cut = write_down(map_texts(keyed, "at array<int>, paragraph array<long>, words int", _paragraphs(length, spacing)))
+                texts = write_down(cut.where(f"words >= {least}").groupBy("text_key").agg(
+                    F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id"),
+                    F.max("at").alias("at"), F.max("paragraph").alias("paragraph")), texts_path)
+                rows = write_down(cut.select("doc_id", "text_key", "words"), rows_path)
+            lists = write_down(_repeated(texts, length), lists_path)
+        covered = write_down(lists.join(_reach(identified, lists, length, spacing), "text_key", "left").mapInArrow(
+            _covered(length, least, width, percent), f"text_key long, id long, copies long, shared {SPANS}, earlier {SPANS}, paragraphs {SPANS}")
+            .where("size(paragraphs) > 0"), covered_path)
+    with scratch(spark):
+        signed = write_down(identified.join(covered.select("text_key", "id", "copies", "paragraphs"), ["text_key", "id"]).mapInArrow(
+            _signed(width), "text_key long, id long, copies long, start int, end int, class long, n long, tokens array<long>, bands array<long>"))
+        links = write_down(linked_paragraphs(signed, percent).groupBy("text_key").agg(
+            F.collect_set(F.struct("start", "end", "root", "repeated", "goes")).alias("linked")), links_path)
     judged = covered.join(links, "text_key", "left").mapInArrow(
-        _judged(least), "text_key long, n_repeated long, n_removed long, "
+        _judged(least), "text_key long, id long, n_repeated long, n_removed long, "
         "classes array<long>, removed array<struct<start:int,end:int>>").where("n_repeated > 0")
-    rest = texts.select("text_key", "id")
-    rows = cut.select("doc_id", "text_key", "words").join(judged, "text_key").join(rest, "text_key")
+    rows = rows.join(judged, "text_key")
     # Of equal texts all but those of least id go as a whole.
     copy = F.coalesce("doc_id", F.lit(LAST)) != F.col("id")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("end")))
