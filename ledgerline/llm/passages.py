@@ -98,25 +98,25 @@ def _surroundings(length: int, most: int):
 
         for batch in batches:
             out: list[list[np.ndarray]] = []
-            for row, (text, *found) in enumerate(_columns(batch, "text", "at", "paragraph", "ends", "sides")):
+            for row, (text, *found) in enumerate(_columns(batch, "text", "at", "paragraph", "keeper", "ends", "sides")):
                 h = hash_words(words_of(text))
                 for side, step in ((0, -1), (1, 1)):
-                    here = (found[3] & (side + 1)) > 0
-                    at, names, ends = (c[here] for c in found[:3])
+                    here = (found[4] & (side + 1)) > 0
+                    at, names, keeper, ends = (c[here] for c in found[:4])
                     end, keys = (ends & (side + 1)) > 0, names.view(np.uint64) + np.uint64(side)
                     beside = at - 1 if side == 0 else at + length
                     for n in range(1, most + 1):
                         inside = (beside >= 0) & (beside < len(h))
-                        at, end, beside, keys = at[inside], end[inside], beside[inside], mix(keys[inside] ^ h[beside[inside]])
+                        at, keeper, end, beside, keys = at[inside], keeper[inside], end[inside], beside[inside], mix(keys[inside] ^ h[beside[inside]])
                         if not len(at):
                             break
-                        out.append([np.full(len(at), row), at, np.full(len(at), side), np.full(len(at), n), end, keys.view(np.int64)])
+                        out.append([np.full(len(at), row), at, np.full(len(at), side), np.full(len(at), n), keeper, end, keys.view(np.int64)])
                         beside = beside + step
-            rows, at, side, n, end, keys = np.concatenate(out, axis=1).astype(np.int64) if out else np.empty((6, 0), np.int64)
+            rows, at, side, n, keeper, end, keys = np.concatenate(out, axis=1).astype(np.int64) if out else np.empty((7, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("text_key").take(pa.array(rows)), batch.column("copies").take(pa.array(rows)), batch.column("id").take(pa.array(rows)),
-                 pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(end == 1), pa.array(keys)],
-                names=["text_key", "copies", "id", "at", "side", "n", "end", "key"])
+                 pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keeper), pa.array(end == 1), pa.array(keys)],
+                names=["text_key", "copies", "id", "at", "side", "n", "keeper", "end", "key"])
     return run
 
 
@@ -157,7 +157,44 @@ def _covered(length: int, least: int, width: int, percent: int):
     def extended(at, reach, which):
         runs = _runs(at, length)
         return _merged((int(at[i]) - reach.get((int(at[i]), 0), none)[which], int(at[j]) + length + reach.get((int(at[j]), 1), none)[which]) for i, j in runs)
-    none = (0, 0)
+
+    def shared_with(at, keeper, place, i, j, step):
+        """How far from paragraph ``i`` towards ``j`` the run is one of its keeper, place by place."""
+        k = i
+        while k != j and keeper[k + step] == keeper[i] and place[k + step] - at[k + step] == place[i] - at[i]:
+            k += step
+        return k
+
+    def joined(own, at, keeper, place, reach, which):
+        """Runs with the words on both sides that are repeated too; two that differ from the same earlier
+        text in a few words between them are one if they link with it as a whole."""
+        out: list[list[int]] = []
+        before = None  # of the last run: begin and end of its words that are the keeper's, text, place less own, shingles shared
+        for i, j in _runs(at, length):
+            start = int(at[i]) - reach.get((int(at[i]), 0), none)[which]
+            end = int(at[j]) + length + reach.get((int(at[j]), 1), none)[which]
+            first, last = shared_with(at, keeper, place, j, i, -1), shared_with(at, keeper, place, i, j, 1)
+            left, right = int(at[i]) - reach.get((int(at[i]), 0), none)[2], int(at[j]) + length + reach.get((int(at[j]), 1), none)[2]
+            # The part that follows the left end's keeper, and the one that leads to the right end's.
+            here = left, right if last == j else int(at[last]) + length, keeper[i], int(place[i] - at[i])
+            links = before is not None and here[2] == before[2] != own and left >= before[1]
+            if links:
+                theirs = left - before[1] + here[3] - before[3]
+                common = before[4] + max(0, here[1] - left - width + 1)
+                mine = here[1] - before[0] - width + 1
+                whole = mine + theirs - (left - before[1])
+                links = theirs >= 0 and 100 * common >= percent * (mine + whole - common)
+            if out and (links or start <= out[-1][1]):
+                out[-1][1] = max(end, out[-1][1])
+            else:
+                out.append([start, end])
+            if links and last == j:
+                before = before[0], right, keeper[j], here[3], common
+            else:
+                begin = left if first == i else int(at[first])
+                before = begin, right, keeper[j], int(place[j] - at[j]), max(0, right - begin - width + 1)
+        return out
+    none = (0, 0, 0)
 
     def run(batches):
         import pyarrow as pa
@@ -165,10 +202,13 @@ def _covered(length: int, least: int, width: int, percent: int):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out: list[list] = [[], [], []]
-            for (own, at, first), far in zip(_columns(batch, "id", "at", "first"), batch.column("beyond").to_pylist(), strict=True):
-                reach = {(f["at"], f["side"]): (f["any"], f["earlier"]) for f in far or []}
-                runs = extended(at, reach, 0)
-                for column, spans in zip(out, (runs, extended(at[first != own], reach, 1), sorted(_paragraph_spans(runs, least, width, percent))), strict=True):
+            for (text, own, at, first, keeper, place), far in zip(
+                    _columns(batch, "text_key", "id", "at", "first", "keeper", "place"), batch.column("beyond").to_pylist(), strict=True):
+                reach = {(f["at"], f["side"]): (f["any"], f["earlier"], f["kept"]) for f in far or []}
+                goes = first != own
+                runs, gone = joined(text, at, keeper, place, reach, 0), joined(text, at[goes], keeper[goes], place[goes], reach, 1)
+                paragraphs = _paragraph_spans(extended(at, reach, 0), least, width, percent)
+                for column, spans in zip(out, (runs, gone, sorted(paragraphs)), strict=True):
                     column.append([{"start": s, "end": e} for s, e in spans])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text_key", "id", "copies")), *(pa.array(c, kind) for c in out)],
                                              names=["text_key", "id", "copies", "shared", "earlier", "paragraphs"])
@@ -258,30 +298,34 @@ def _judged(least: int):
 
 
 def _repeated(texts: DataFrame, length: int) -> DataFrame:
-    """``text_key, id, copies, at, paragraph, first, ends``: the paragraphs of each text that other texts have too, or
+    """``text_key, id, copies, at, paragraph, first, keeper, place, ends``: the paragraphs of each text that other texts have too, or
     its copies."""
-    once = texts.select("copies", "id", F.explode(F.array_distinct("paragraph")).alias("paragraph"))
-    shared = once.groupBy("paragraph").agg(F.sum("copies").alias("times"), F.min("id").alias("first")).where("times > 1").drop("times")
     found = texts.select("text_key", "copies", "id", F.inline(F.arrays_zip("at", "paragraph")))
+    shared = found.groupBy("paragraph").agg(
+        F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("copies"),
+        F.min(F.struct("id", "text_key", "at")).alias("f")).where("low != high or copies > 1") \
+        .select("paragraph", F.col("f.id").alias("first"), F.col("f.text_key").alias("keeper"), F.col("f.at").alias("place"))
     lists = found.join(write_down(shared), "paragraph").groupBy("text_key", "id", "copies").agg(
-        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first"))).alias("p"))
-    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first")])
+        F.sort_array(F.collect_list(F.struct("at", "paragraph", "first", "keeper", "place"))).alias("p"))
+    lists = lists.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "first", "keeper", "place")])
     return lists.mapInArrow(_ends(length), StructType([*lists.schema.fields, *StructType.fromDDL("ends array<tinyint>").fields]))
 
 
 def _reach(identified: DataFrame, lists: DataFrame, length: int, spacing: int) -> DataFrame:
     """``text_key, beyond``: how many words beside each run's ends are repeated with it."""
     ends = lists.select(F.inline(F.arrays_zip("paragraph", "ends"))).where("ends > 0").groupBy("paragraph").agg(F.bit_or("ends").alias("sides"))
-    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "ends"))).join(write_down(ends), "paragraph") \
-        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "ends", "sides")).alias("p"))
-    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "ends", "sides")])
+    there = lists.select("text_key", "id", "copies", F.inline(F.arrays_zip("at", "paragraph", "keeper", "ends"))).join(write_down(ends), "paragraph") \
+        .groupBy("text_key", "id", "copies").agg(F.collect_list(F.struct("at", "paragraph", "keeper", "ends", "sides")).alias("p"))
+    there = there.select("text_key", "id", "copies", *[F.col(f"p.{c}").alias(c) for c in ("at", "paragraph", "keeper", "ends", "sides")])
     beside = write_down(identified.join(there, ["text_key", "id"]).mapInArrow(
-        _surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, end boolean, key long"))
+        _surroundings(length, spacing - 1), "text_key long, copies long, id long, at int, side int, n int, keeper long, end boolean, key long"))
     known = beside.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("copies").alias("times"),
-                                      F.min("id").alias("first")).where("low != high or times > 1").select("key", "first")
+                                      F.min(F.struct("id", "text_key")).alias("f")).where("low != high or times > 1") \
+        .select("key", F.col("f.id").alias("first"), F.col("f.text_key").alias("holder"))
     reach = beside.where("end").join(known, "key").groupBy("text_key", "at", "side").agg(
-        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"))
-    return reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier")).alias("beyond"))
+        F.max("n").alias("any"), F.coalesce(F.max(F.when(F.col("first") != F.col("id"), F.col("n"))), F.lit(0)).alias("earlier"),
+        F.coalesce(F.max(F.when(F.col("holder") == F.col("keeper"), F.col("n"))), F.lit(0)).alias("kept"))
+    return reach.groupBy("text_key").agg(F.collect_list(F.struct("at", "side", "any", "earlier", "kept")).alias("beyond"))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, least: int = LEAST,
@@ -294,7 +338,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     of two documents or more are repeated; they stay in the document of least id and go from the others.
     A run of them is extended on both sides, word by word, as far as another document (an earlier one, for
     what goes) goes on in the same way, which is less than ``spacing`` words. Equal surroundings are
-    counted, not compared. Passages are runs of ``least`` words or more. Each passage, and neighbouring runs with the
+    counted, not compared. Passages are runs of ``least`` words or more. Two of them with changed words between
+    are one if the whole links with the first holder's words. Each passage, and neighbouring runs with the
     changed words between, are signed by MinHash over ``width``-word shingles; those that meet in a band and link at a
     Jaccard similarity of ``percent`` form components. What links with the first of its component goes as a
     whole, the changed words with it. ``classes`` are the components of a document's passages; ``removed`` are
@@ -321,7 +366,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
             lists = write_down(_repeated(texts, length), lists_path)
         covered = write_down(lists.join(_reach(identified, lists, length, spacing), "text_key", "left").mapInArrow(
             _covered(length, least, width, percent), f"text_key long, id long, copies long, shared {SPANS}, earlier {SPANS}, paragraphs {SPANS}")
-            .where("size(paragraphs) > 0"), covered_path)
+            .where("size(paragraphs) > 0 or size(shared) > 0"), covered_path)
     with scratch(spark):
         signed = write_down(identified.join(covered.select("text_key", "id", "copies", "paragraphs"), ["text_key", "id"]).mapInArrow(
             _signed(width), "text_key long, id long, copies long, start int, end int, class long, n long, tokens array<long>, bands array<long>"))
