@@ -16,9 +16,10 @@ WIDTH, PERCENT = 5, 80  # five words; 100 * intersection >= 80 * union
 LEAST_HEAD = 8   # tokens of a small set that are all looked at
 LEADERS = 2      # that each document is held against in a round before the matrix
 WORTHWHILE = 50  # a round is followed by another if it joined one in so many components
-GROUP = 32       # documents in a group of the matrix
-BUNDLE = 8       # groups of one kind that a query is sent to at once
-QUERIES = 512    # queries that meet one bundle in one task
+BUNDLE = 1024    # documents of one kind that a query meets at once
+QUERIES = 2048   # that meet one bundle in one task
+TOKENS = 1 << 20  # of the sets in a bundle, or of its queries in a task
+BITS = 1 << 24   # of the map of documents whose texts are read again, 2 MB
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -92,6 +93,17 @@ def postings(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("class", "n", "token", "df")
 
 
+def possible(df: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df`` whose keys may be in ``found``, and few others: a map of ``BITS`` bits of the keys' hashes
+    goes to all tasks, however many keys there are, so that a join need not shuffle the rest."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    bits = found.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("stretch")) \
+        .agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    held = df.withColumn("bit", bit).withColumn("stretch", F.expr("bit div 32768")).join(F.broadcast(bits), "stretch")
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    return held.where(F.expr("cast(power(2, bit % 8) as int)").bitwiseAND(byte) != 0).select(*df.columns)
+
+
 def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets link."""
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
@@ -143,63 +155,72 @@ def star_components(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -
         turn += 1
 
 
-def _open_groups(percent: int):
+def _open_bundles(percent: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        theirs, m = members["theirs"].to_numpy(), members["m"].to_numpy()
+        held = np.concatenate(members["held"].to_list())
+        order = np.argsort(held, kind="stable")
+        at = np.repeat(np.arange(len(m)), [len(h) for h in members["held"]])[order]  # the members by token
+        tokens, first, times = np.unique(held[order], return_index=True, return_counts=True)
         found: set[tuple[int, int]] = set()
-        groups = {}
-        for group, rows in members.groupby("g"):
-            union = np.unique(np.concatenate(rows["held"].to_list()))
-            groups[group] = union, int(rows["m"].min()), list(zip(rows["theirs"], rows["m"], rows["held"], strict=True))
-        for own, n, tokens, asked in zip(*[queries[c] for c in ("component", "n", "tokens", "groups")], strict=True):
-            for union, least, sets in (groups[g] for g in asked):
-                kept = tokens[np.isin(tokens, union, assume_unique=True)]
-                if 100 * len(kept) < percent * (n + max(n, least) - len(kept)):
-                    continue  # the union bounds the overlap with every document of the group
-                for theirs, m, held in sets:
-                    if theirs == own or m < n or 100 * n < percent * m or (own, theirs) in found:
-                        continue
-                    if linked(len(np.intersect1d(kept, held, assume_unique=True)), n, m, percent):
-                        found.add((own, theirs))
+        for own, n, asked in zip(*[queries[c] for c in ("component", "n", "tokens")], strict=True):
+            place = np.searchsorted(tokens, asked)
+            place = place[tokens[np.minimum(place, len(tokens) - 1)] == asked]
+            counts = times[place]
+            ends = np.cumsum(counts)
+            if not len(ends):
+                continue
+            rows = at[np.arange(ends[-1]) + np.repeat(first[place] - ends + counts, counts)]
+            shared = np.bincount(rows, minlength=len(m))  # with every member of the bundle at once
+            links = (theirs != own) & (m >= n) & (100 * shared >= percent * (n + m - shared))
+            found.update((own, other) for other in theirs[links].tolist())
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
     return run
 
 
+def _parts(members: int, n: str = "n"):
+    """Into how many parts sets go, for ``members`` and ``TOKENS`` in each at most, or nearly."""
+    return F.ceil(F.greatest(F.count("*") / members, F.sum(n) / TOKENS))
+
+
 def matrix_links(placed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between the components of ``placed``, none left out.
 
-    The documents still in question are partitioned into groups of similar ones: by component, else
-    by the most frequent token they are looked up under, then by size, in parts of about ``GROUP``.
-    The matrix holds which tokens each group's documents are found under; a query goes to ``BUNDLE``
-    groups of one kind at once. A document no larger than a
-    group's largest meets the group if it shares such a token; the group's token union then bounds
-    its overlap with any document there, and only groups that may reach the limit are opened. A link
-    to a component that is already joined is not looked for again.
+    The documents still in question are partitioned into bundles of about ``BUNDLE`` similar ones: by component,
+    else by the most frequent token they are looked up under, then by size. Such groups, if small, share
+    a bundle with others around the same frequent token, so few bundles hold a token that many
+    documents have. The matrix holds which tokens each bundle's documents are found under. A document no
+    larger than a bundle's largest is sent there once, however many such tokens it shares, and its overlap with
+    all documents of the bundle is counted in one go. Links within a component are not looked for again.
     """
-    members = placed.groupBy("class", "component", "n").agg(F.max(F.struct("df", "token"))["token"].alias("anchor"))
-    grouped = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component") \
-        .withColumn("anchor", F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("anchor"))) \
-        .withColumn("scale", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
-    counts = grouped.groupBy("anchor", "scale").agg(F.count("*").alias("size"))
-    grouped = grouped.drop("size").join(counts, ["anchor", "scale"]) \
-        .withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP)))
-    grouped = write_down(grouped.select("class", "component", "n", F.xxhash64("anchor", "scale", "part").alias("group"),
-                                        F.xxhash64("anchor", "scale", F.expr(f"part div {BUNDLE}")).alias("bundle")))
-    sizes = grouped.groupBy("group", "bundle").agg(F.min("n").alias("least"), F.max("n").alias("most"),
-                                         F.min("component").alias("low"), F.max("component").alias("high"))
-    matrix = placed.join(grouped.select("class", "group"), "class").select("token", "group").distinct().join(sizes, "group")
+    members = placed.groupBy("class", "component", "n").agg(F.max(F.struct("df", "token")).alias("anchor"))
+    around = placed.select("class", "token").join(members.select("class", "anchor"), "class").groupBy("token").agg(F.max("anchor").alias("around"))
+    labels = placed.select("class", "token").join(around, "token").groupBy("class").agg(F.max("around")["token"].alias("label"))
+    grouped = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component").join(labels, "class") \
+        .withColumn("own", F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("anchor.token"))) \
+        .withColumn("scale", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))).select("class", "component", "n", "own", "scale", "label")
+    counts = grouped.groupBy("own", "scale").agg(_parts(BUNDLE).alias("own_parts"), _parts(BUNDLE // 2).alias("halves"))
+    grouped = write_down(grouped.join(counts, ["own", "scale"]))
+    counts = grouped.where("halves = 1").groupBy("label", "scale").agg(_parts(BUNDLE).alias("parts"))
+    grouped = grouped.join(counts, ["label", "scale"], "left").withColumn("bundle", F.when(
+        F.col("halves") == 1, F.xxhash64("label", "scale", F.pmod(F.xxhash64("own"), F.col("parts")))).otherwise(
+        F.xxhash64("own", "scale", F.pmod(F.xxhash64("class"), F.col("own_parts")))))
+    grouped = write_down(grouped.select("class", "component", "n", "bundle"))
+    sizes = grouped.groupBy("bundle").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+                                          F.min("component").alias("low"), F.max("component").alias("high"))
+    matrix = placed.join(grouped.select("class", "bundle"), "class").select("token", "bundle").distinct().join(sizes, "bundle")
     meets = placed.join(matrix, "token").where(
         (F.col("n") <= F.col("most")) & (F.col("n") * 100 >= F.col("least") * percent)
         & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))))
-    meets = write_down(meets.groupBy("class", "component", "n", "bundle").agg(F.collect_set("group").alias("groups")))
-    parts = meets.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    meets = write_down(meets.select("class", "component", "n", "bundle").distinct())
+    parts = meets.groupBy("bundle").agg(_parts(QUERIES).alias("parts"))
     asking = meets.join(parts, "bundle").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))) \
-        .join(sets.select("class", "tokens"), "class").select("bundle", "part", "component", "n", "tokens", "groups")
+        .join(sets.select("class", "tokens"), "class").select("bundle", "part", "component", "n", "tokens")
     asked = grouped.join(parts, "bundle").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
         .join(sets.select("class", F.col("tokens").alias("held")), "class") \
-        .select(F.col("bundle").alias("d"), F.col("part").alias("p"), F.col("group").alias("g"),
-                F.col("component").alias("theirs"), F.col("n").alias("m"), "held")
+        .select(F.col("bundle").alias("d"), F.col("part").alias("p"), F.col("component").alias("theirs"), F.col("n").alias("m"), "held")
     return asking.groupBy("bundle", "part").cogroup(asked.groupBy("d", "p")) \
-        .applyInPandas(_open_groups(percent), "a long, b long")
+        .applyInPandas(_open_bundles(percent), "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -230,8 +251,8 @@ def _rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = signed.join(wanted, "class").groupBy("class").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text_key")).alias("at"))
     found = write_down(found.select(F.col("at.id").alias("id"), F.col("at.text_key").alias("text_key")).distinct())
-    texts = docs.select("text", F.xxhash64("text").alias("text_key"), F.coalesce("doc_id", F.lit(-1)).alias("id")) \
-        .join(found, ["text_key", "id"], "left_semi").select("text")
+    texts = docs.select("text", F.xxhash64("text").alias("text_key"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    texts = possible(texts, found, "text_key", "id").join(found, ["text_key", "id"], "left_semi").select("text")
     sets = map_texts(texts, "class long, n long, tokens array<long>", _token_sets(width))
     sets = write_down(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
     stars, placed = star_components(posts, sets, percent)

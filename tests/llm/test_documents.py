@@ -8,13 +8,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import language
+from ledgerline.llm import language, ngram_join
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import drop_recurring_lines
 from ledgerline.llm.mixing import capped_targets, mix, sainte_lague
-from ledgerline.llm import ngram_join
-from ledgerline.llm.ngram_join import jaccard_groups
+from ledgerline.llm.ngram_join import jaccard_groups, matrix_links
 from ledgerline.llm.passages import band_keys, paragraph_starts, repeated_passages
 from ledgerline.llm.personal_data import KINDS, find_personal_data, listed_spans
 from ledgerline.llm.shingles import words_of
@@ -89,6 +88,45 @@ def test_jaccard_groups_of_drifting_copies(spark, documents, monkeypatch):
         assert got == {i: 0 if i < 100 else 100 if i < 400 else 400 for i, _ in rows}
 
 
+def test_a_common_passage_meets_few_bundles(spark, monkeypatch):
+    """Sets that share some of a passage's tokens and little else are sent to one or two bundles each, whatever
+    frequent token each of them is looked up under; the links among them are found."""
+    rng, sent = np.random.default_rng(5), []
+    held = [sorted({*rng.choice(12, 8, replace=False).tolist(), *rng.integers(100, 2**62, 12).tolist()}) for _ in range(300)]
+    held += [[*h[:-1], 2**62 + k] for k, h in enumerate(held[:300:30])]
+    posts = [(k, k, 20, t, sum(t in h for h in held)) for k, own in enumerate(held) for t in own if t < 12]
+
+    def counted(df, *path):
+        if "bundle" in df.columns and "own" not in df.columns:
+            sent.append(df.count())
+        return write_down(df, *path)
+    write_down = ngram_join.write_down
+    monkeypatch.setattr(ngram_join, "write_down", counted)
+    links = matrix_links(spark.createDataFrame(posts, "class long, component long, n long, token long, df long"),
+                         spark.createDataFrame([(k, 20, h) for k, h in enumerate(held)], "class long, n long, tokens array<long>"))
+    assert {frozenset(r) for r in links.collect()} == {frozenset((30 * k, 300 + k)) for k in range(10)}
+    members, meets = sent
+    assert members == 310 and meets <= 2 * members
+
+
+def test_matrix_finds_all_links_in_many_bundles(spark, documents, monkeypatch):
+    rows = list(enumerate(near_copies(11, 60) + near_copies(12, 30, 40, 7)))
+    expected = sorted(jaccard_groups(documents(rows)).select("doc_id", "component_id").collect())
+    for name, value in (("WORTHWHILE", 0), ("BUNDLE", 4), ("QUERIES", 3), ("TOKENS", 200), ("BITS", 32768)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "LEADERS", 0)  # no stars: the matrix has to find every link
+    assert sorted(jaccard_groups(documents(rows)).select("doc_id", "component_id").collect()) == expected
+
+
+def test_possible_rows_hold_all_wanted_ones(spark):
+    keys = spark.range(20_000).selectExpr("id as a", "id * 7 as b", "'t' as text")
+    wanted = keys.where("a % 100 = 3").select("a", "b")
+    kept = ngram_join.possible(keys, wanted, "a", "b")
+    assert kept.columns == keys.columns and 200 <= kept.count() < 220
+    assert kept.join(wanted, ["a", "b"], "left_semi").count() == 200
+    assert not ngram_join.possible(keys, wanted.limit(0), "a", "b").count()
+
+
 def test_contamination_equals_brute_force(spark, documents):
     items = [(1, " ".join(prose(50, 30))), (2, "Short ITEM, here."), (3, None), (4, "!!"), (5, " ".join(prose(50, 14))), (None, "no id item")]
     a, b = prose(50, 30), prose(51, 200)
