@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerline.llm.components import components
-from ledgerline.llm.ngram_join import star_components, verified_pairs
+from ledgerline.llm.ngram_join import matrix_links, star_components, verified_pairs
 from ledgerline.llm.shingles import hash_words, mix, shingle_hashes, words_of
 from ledgerline.llm.texts import map_texts
 from ledgerline.session import new_path, scratch, write_down
@@ -255,16 +255,14 @@ def linked_paragraphs(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     meet in a band and link by their exact Jaccard similarity, ``repeated`` says that other texts are in it, and
     ``goes`` that an earlier text is and that the paragraph links with the one that stays, the first of all.
 
-    Paragraphs of a bucket are held against its leaders in rounds, then every pair of a bucket between
-    different components is; equal sets of shingles are one from the start.
+    Paragraphs of a bucket are held against its leaders in rounds, then each against bundles of those that it
+    meets in a bucket and is not joined to; equal sets of shingles are one from the start.
     """
     sets = write_down(signed.select("class", "n", "tokens").where("tokens is not null").dropDuplicates(["class"]))
     posts = signed.select("class", "n", F.explode("bands").alias("token")).distinct()
     stars, placed = star_components(write_down(posts), sets, percent)
-    a, b = (placed.select("token", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    pairs = a.join(b, "token").where(f"c_a < c_b and n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}").select("a", "b", "c_a", "c_b").distinct()
-    rest = pairs.join(verified_pairs(pairs.select("a", "b"), sets, percent), ["a", "b"])
-    merged = components(rest, "c_a", "c_b").toDF("component", "root")
+    often = placed.groupBy("token").agg(F.count("*").alias("df"))
+    merged = components(matrix_links(write_down(placed.join(often, "token")), sets, percent), "a", "b").toDF("component", "root")
     roots = write_down(stars.join(merged, "component", "left").select(F.col("node").alias("class"), F.coalesce("root", "component").alias("root")))
     held = signed.select("text_key", "id", "copies", "start", "end", "class").join(roots, "class")
     firsts = write_down(held.groupBy("root").agg(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import language, ngram_join
+from ledgerline.llm import language, ngram_join, passages
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.language import identify
 from ledgerline.llm.line_templates import drop_recurring_lines
@@ -238,6 +238,19 @@ def test_near_copies_go_though_others_hold_their_parts(spark, documents):
     assert all(set(got[4 * k + 2].classes) & set(got[4 * k + 3].classes) for k in range(20))
 
 
+def test_unlike_paragraphs_of_a_bucket_make_no_pairs(spark, monkeypatch):
+    """Sets that share a band key and little else are compared in bundles, not joined pair by pair."""
+    rng, made = np.random.default_rng(3), []
+    rows = [(i, i, 1, 0, 30, i, 26, sorted(rng.integers(-2**62, 2**62, 26).tolist()), [7, 1000 + i]) for i in range(300)]
+    both = sorted(rng.integers(-2**62, 2**62, 26).tolist())
+    rows += [(300, 300, 1, 0, 30, 300, 26, both, [7, 5]), (301, 301, 1, 0, 30, 301, 25, both[:25], [7, 6])]
+    signed = spark.createDataFrame(rows, "text_key long, id long, copies long, start int, end int, class long, n long, tokens array<long>, bands array<long>")
+    monkeypatch.setattr(passages, "matrix_links", lambda *a: made.append(matrix_links(*a)) or made[-1])
+    got = {r.text_key: (r.root, r.repeated, r.goes) for r in passages.linked_paragraphs(signed).collect()}
+    assert len(made) == 1 and got[301] == (got[300][0], True, True) and got[300][1:] == (True, False)
+    assert all(got[i] == (i, False, False) for i in range(300))
+
+
 def test_minhash_bands_meet_at_the_limit():
     """Of 400 pairs of sets at a Jaccard similarity of 0.8, nearly all share a band; of unlike ones, none."""
     rng, met = np.random.default_rng(7), 0
