@@ -113,7 +113,7 @@ def copies(docs: DataFrame, keys: DataFrame, gone: DataFrame, named: DataFrame)
     return texts.join(several, "templates", "left_semi").select("text_key")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spare_copies: bool = True) -> DataFrame:
     """``text_key, gone``: the line numbers (from 0) that go from each text that loses any."""
     keys = write_down(tree_lines(docs).select("text_key", "line_no", "leaf").distinct())
     held = write_down(held_lines(docs, keys, min_docs))
@@ -124,25 +124,26 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .where(F.col("texts") >= min_docs).select("name")
     gone = write_down(named.where("found").join(write_down(recurring), "name", "left_semi").groupBy("text_key")
                       .agg(F.sort_array(F.collect_list("line_no")).alias("gone")))
-    return gone.join(copies(docs, keys, gone, named), "text_key", "left_anti")
+    return gone.join(copies(docs, keys, gone, named), "text_key", "left_anti") if spare_copies else gone
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spare_copies: bool = True) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and the counts ``n_lines, n_dropped``.
 
     A line's path through the tree is its token count and first tokens; fields with digits or an at
     sign, and tokens rare at their place in the leaf, are generalised as long as ``CONSTANT`` per cent of the tokens
-    and ``LEAST_CONSTANT`` of them stay. A line goes if its template occurs in ``min_docs`` distinct texts or more; equal texts count once. Texts whose lines have the same
-    templates in the same order, all of them, are copies of one another rather than texts with boilerplate
-    around them, and stay whole: they are for document deduplication to judge. Blank lines, and lines of
-    fields alone, stay. Rows are never dropped: null stays null (no lines), an empty text has one
+    and ``LEAST_CONSTANT`` of them stay. A line goes if its template occurs in ``min_docs`` distinct texts or more;
+    equal texts count once. It goes from every text that holds it. ``spare_copies`` is for callers that deduplicate
+    documents afterwards: texts whose lines have the same templates in the same order, all of them, are then taken
+    for copies of one another rather than texts with boilerplate around them, and stay whole. Blank lines, and lines
+    of fields alone, stay. Rows are never dropped: null stays null (no lines), an empty text has one
     line, repeated rows lose the same lines, and other columns pass through; columns named as the two
     counts are replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     path = new_path(docs.sparkSession)
     with scratch(docs.sparkSession):  # only the line numbers stay of what is written down on the way
-        gone = write_down(recurring_lines(docs, min_docs).select(
+        gone = write_down(recurring_lines(docs, min_docs, spare_copies).select(
             F.col("text_key").alias("_key"), F.xxhash64("text_key").alias("_hash"), F.col("gone").alias("_gone")), path)
     # Texts that surely lose nothing are not shuffled.
     keyed = docs.select(*kept).withColumn("_key", identity(F.col("text")))
@@ -166,20 +167,16 @@ split AS (SELECT id, generate_subscripts(string_split(text, chr(10)), 1) AS line
 tokens AS (SELECT id, line_no, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
   lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END) AS toks FROM split),
 lines AS (SELECT id, line_no, toks, len(toks) AS n, toks[1:2] AS lead FROM tokens WHERE toks != ['']),
-leaves AS (SELECT n, lead FROM lines GROUP BY n, lead HAVING count(DISTINCT id) >= 5),
-uniq AS (SELECT n, lead, toks, count(DISTINCT id) AS texts FROM lines SEMI JOIN leaves USING (n, lead) GROUP BY n, lead, toks),
+uniq AS (SELECT n, lead, toks, count(DISTINCT id) AS texts FROM lines GROUP BY n, lead, toks),
 places AS (SELECT n, lead, toks, texts, generate_subscripts(toks, 1) AS place, unnest(toks) AS tok FROM uniq),
 common AS (SELECT n, lead, place, tok FROM places GROUP BY n, lead, place, tok HAVING sum(texts) >= 5),
 stay AS (SELECT toks, list(place) AS stays FROM places SEMI JOIN common USING (n, lead, place, tok) WHERE tok != '<*>' GROUP BY toks),
 templates AS (SELECT u.toks, CASE WHEN len(stays) >= 4 AND len(stays) * 100 >= n * 75
   THEN list_transform(u.toks, lambda t, i: CASE WHEN list_contains(stays, i) THEN t ELSE '<*>' END) ELSE u.toks END AS template
   FROM uniq u LEFT JOIN stay s ON u.toks = s.toks WHERE len(list_filter(u.toks, lambda t: t != '<*>')) > 0),
-named AS (SELECT id, line_no, coalesce(template, l.toks) AS name, template IS NOT NULL AS found FROM lines l LEFT JOIN templates t ON l.toks = t.toks),
-recurring AS (SELECT name FROM named WHERE found GROUP BY name HAVING count(DISTINCT id) >= 5),
-marked AS (SELECT id, list(n.name ORDER BY line_no) AS templates, list(line_no) FILTER (r.name IS NOT NULL) AS nos
-  FROM named n LEFT JOIN recurring r ON n.name = r.name GROUP BY id),
-gone AS (SELECT text, nos FROM marked JOIN texts USING (id) WHERE nos IS NOT NULL
-  AND templates NOT IN (SELECT templates FROM marked GROUP BY templates HAVING count(*) > 1))
+named AS (SELECT id, line_no, template FROM lines JOIN templates USING (toks)),
+recurring AS (SELECT template FROM named GROUP BY template HAVING count(DISTINCT id) >= 5),
+gone AS (SELECT text, list(line_no) AS nos FROM named SEMI JOIN recurring USING (template) JOIN texts USING (id) GROUP BY text)
 SELECT d.doc_id,
   CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
   CASE WHEN g.nos IS NULL THEN 0 ELSE len(g.nos) END::BIGINT AS n_dropped,

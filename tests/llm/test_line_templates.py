@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from ledgerline.llm.line_templates import drop_recurring_lines
+from ledgerline.llm.queries import ORACLE_SQL, QUERIES
 
 FIELD = "<*>"
 
@@ -99,3 +100,34 @@ def test_a_template_of_many_fields_goes(spark, documents):
     rows = [(i, f"{letters(i, 50)} {letters(i, 60)} own line\n{notice(i)}") for i in range(6)]
     for r in drop_recurring_lines(documents(rows)).collect():
         assert (r.n_dropped, r.text) == (1, rows[r.doc_id][1].split("\n")[0])
+
+
+def test_the_query_drops_recurring_lines_from_copies_too(spark, documents, tmp_path):
+    """A pair with the same templates loses its footer as others do, and so do eight texts with equal templates."""
+    foot, letters = "the same footer under all of these", lambda i, k: "".join(chr(97 + (i * 7 + k * 5 + j * 3) % 26) for j in range(6))
+    pair = [(i, f"An article printed on day {i}\nits second line\n{foot}") for i in range(2)]
+    others = [(10 + i, f"{letters(i, 50)} {letters(i, 60)} own line\n{foot}") for i in range(4)]
+    notices = [(20 + i, f"A line of notice {i}\nanother line of all of them\n{letters(i, 70)} 7\nlast words of it @{i}") for i in range(8)]
+    documents(pair + others + notices).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_line_templates"](spark, str(tmp_path)).collect()}
+    for i, text in pair + others:
+        assert (got[i].n_dropped, got[i].text) == (1, text.rpartition("\n")[0])
+    for i, text in notices:
+        assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (4, 3, text.split("\n")[2])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_query_agrees_with_sql_on_texts_with_copies(spark, documents, many_parts, tmp_path, seed):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "the", "of", "n1", "x@y"])
+    stock = [" ".join(word() for _ in range(rng.choice([1, 2, 5, 8, 13]))) for _ in range(12)]
+    texts = ["\n".join(rng.choice(stock) if rng.random() < 0.7 else " ".join(word() for _ in range(9)) for _ in range(rng.randrange(1, 6))) for _ in range(50)]
+    texts += [t.replace("n1", f"n{k}").replace("x@y", f"x@{k}") for t in texts[:12] for k in range(2, 6)] + [texts[0], None, "", "\n"]
+    documents(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(ORACLE_SQL["op10_line_templates"])
+    df = QUERIES["op10_line_templates"](spark, str(tmp_path))
+    at = [[d[0] for d in cursor.description].index(c) for c in df.columns]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in cursor.fetchall())
